@@ -6,13 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, storage, tokenbin
+from . import bpe, embeddings, packing, simhash, storage, tokenbin, urlfilter, warc
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(storage.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = storage.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.read(warc.write(pages, storage.fresh_dir(spark, "warc"))).drop("url")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(storage.table(spark, sf_dir, "pages", "page_id", "url")).drop("url")
+
+
+OP7_SQL = """
+WITH r(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+b AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
+j AS (SELECT b.*, r.h || r.p AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h) + length(r.p) DESC NULLS LAST, length(r.h) DESC) AS k
+      FROM b LEFT JOIN r ON (b.host = r.h OR suffix(b.host, '.' || r.h)) AND starts_with(b.path, r.p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE k = 1
+"""
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.table(spark, sf_dir, "documents", "doc_id", "text")
     return tokenbin.read(tokenbin.write(docs, storage.fresh_dir(spark, "tokens")))
@@ -23,8 +58,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op9_token_output": op9_token_output, "op10_packing": op10_packing}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_warc": op2_warc, "op4_simhash": op4_simhash, "op7_url_filter": op7_url_filter, "op5_bpe": op5_bpe, "op9_token_output": op9_token_output, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL, "op7_url_filter": OP7_SQL}

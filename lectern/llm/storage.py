@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; also makes ``checkpoint()`` use it."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
+    """The shared folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -32,14 +32,8 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write once to the shared folder, read from there afterwards."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As ``keep``, but as Parquet, so that later reads prune columns."""
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Cut the lineage: write once as Parquet to the shared folder, read from there afterwards."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
