@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embeddings, packing, simhash, storage, tokenbin, urlfilter, warc
+from . import ann, bpe, embeddings, packing, simhash, storage, suffix, tokenbin, urlfilter, warc
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,6 +39,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(storage.table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(storage.table(spark, sf_dir, "pages", "page_id", "url")).drop("url")
 
@@ -58,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_warc": op2_warc, "op4_simhash": op4_simhash, "op7_url_filter": op7_url_filter, "op5_bpe": op5_bpe, "op9_token_output": op9_token_output, "op10_packing": op10_packing}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_warc": op2_warc, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_simhash": op4_simhash, "op6_multi_index_hashing": op6_multi_index_hashing, "op7_url_filter": op7_url_filter, "op5_bpe": op5_bpe, "op9_token_output": op9_token_output, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
