@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embeddings, packing, simhash, storage, suffix, tokenbin, urlfilter, warc
+from . import ann, bpe, embeddings, packing, quality, simhash, storage, suffix, tokenbin, urlfilter, warc
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j W
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(storage.table(spark, sf_dir, "documents", "doc_id", "text"), storage.table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.table(spark, sf_dir, "documents", "doc_id", "text")
     return tokenbin.read(tokenbin.write(docs, storage.fresh_dir(spark, "tokens")))
@@ -67,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_warc": op2_warc, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_simhash": op4_simhash, "op6_multi_index_hashing": op6_multi_index_hashing, "op7_url_filter": op7_url_filter, "op5_bpe": op5_bpe, "op9_token_output": op9_token_output, "op10_packing": op10_packing}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_warc": op2_warc, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_simhash": op4_simhash, "op6_multi_index_hashing": op6_multi_index_hashing, "op7_url_filter": op7_url_filter, "op5_bpe": op5_bpe, "op8_quality": op8_quality, "op9_token_output": op9_token_output, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
