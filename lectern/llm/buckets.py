@@ -33,6 +33,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return data[offsets[0] : offsets[-1]].reshape(len(column), -1)
 
 
+def arrays(column: pa.Array) -> np.ndarray:
+    """Binary values of any length, each as an array of unsigned 64-bit numbers."""
+    out = np.empty(len(column), dtype=object)
+    for k, value in enumerate(column):
+        out[k] = np.frombuffer(value.as_buffer(), dtype="<u8")
+    return out
+
+
 def tied(linked: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """For rows and columns of a boolean matrix the smallest id they are tied to."""
     mx, my = ids_x.copy(), (ids_x if same else ids_y).copy()
@@ -58,18 +66,19 @@ def units(rows: DataFrame, block: int) -> DataFrame:
     return paired.select("id", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
-def links(rows: DataFrame, compare: Callable[[np.ndarray, np.ndarray, int], np.ndarray], block: int = BLOCK, weigh: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def links(rows: DataFrame, compare: Callable[[np.ndarray, np.ndarray, int], np.ndarray], block: int = BLOCK, weigh: Callable[[np.ndarray], np.ndarray] | None = None, load: Callable[[pa.Array], np.ndarray] = matrix) -> DataFrame:
     """``rows``: ``id long, data binary, keys array<long>``, ids distinct. Returns ``(id, root, n)``, possibly several
     rows for an id. A pair of rows that share several buckets is linked in each, so whoever sums
     ``n`` has ``compare`` link it in one only: its third argument is the bucket's key. With
-    ``weigh``, a link counts as many times as what it returns for the row at the other end."""
+    ``weigh``, a link counts as many times as what it returns for the row at the other end. ``load``
+    turns a column of bytes into what ``compare`` gets slices of."""
     weigh = weigh or (lambda data: np.ones(len(data), dtype=np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(part: list[pa.RecordBatch]):
             table = pa.Table.from_batches(part).combine_chunks()
             key, lo, hi, own, ids = (table.column(k).to_numpy() for k in ("key", "lo", "hi", "own", "id"))
-            data = matrix(table.column("data").chunk(0))
+            data = load(table.column("data").chunk(0))
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             out = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):

@@ -8,6 +8,11 @@ survivors are compared bit by bit. To bring pairs together without comparing all
 bits are split into ``d + 2`` pieces: ``d`` differing bits leave two pieces equal, so nodes meet in a bucket
 for each pair of pieces. Large buckets are compared block by block (see ``buckets``); nothing is capped.
 
+``similar_groups`` groups by the Jaccard similarity of word shingles instead. There fingerprints have
+``WIDE`` bits; nodes meet where all of some sampled bits agree, in as many samples as ``miss`` asks for, and
+are tied when the fingerprints are as near as those of a pair at the threshold may be. The sets of shingles
+themselves are compared, exactly, within the groups that this leaves.
+
 Defined cases: a null text is an empty one and has fingerprint zero, which is linked like any other; texts of
 any length are read whole; equal rows share a fingerprint and so a component; a row without an id
 doesn't name a component but has the one of its fingerprint, if any row with an id shares it or links to it;
@@ -16,6 +21,7 @@ other columns are left alone; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +35,9 @@ from . import bpe, buckets, components, storage
 
 SEED = 42
 PIVOTS = 16
+WIDE = 256
+#: Standard deviations of a wide fingerprint's distance that a pair at the threshold is given.
+MARGIN = 2.0
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -122,3 +131,123 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(tied, nodes["id"] == tied["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = prints.join(named, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- by similarity of shingles -------------------------------------------------------------------
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """``WIDE`` majority bits of distinct hashes, each stretched to that many bits."""
+    ones = np.zeros(WIDE, dtype=np.int64)
+    steps = (np.arange(WIDE // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 1 << 14):
+        x = hashes[at : at + (1 << 14), None] + steps[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def agreement(similarity: float) -> float:
+    """Chance that a bit agrees for two sets of this Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_nodes(nodes: DataFrame, bits: int, samples: int) -> DataFrame:
+    rng = np.random.default_rng(101)
+    chosen = np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(samples)])
+    reference = rng.integers(0, 2, (PIVOTS, WIDE), dtype=np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = buckets.matrix(batch.column(1))
+            ones = np.unpackbits(prints, axis=1, bitorder="little")
+            away = ones.sum(axis=1, dtype=np.int32)[:, None] + reference.sum(axis=1, dtype=np.int32)[None, :] - 2 * (ones.astype(np.float32) @ reference.T.astype(np.float32)).astype(np.int32)
+            data = np.concatenate([prints, away.astype("<u2").view(np.uint8)], axis=1)
+            values = np.stack([ones[:, c].astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64)) for c in chosen], axis=1)
+            mixed = values << np.uint64(12) | np.arange(samples, dtype=np.uint64)[None, :]
+            offsets = np.arange(0, mixed.size + 1, samples, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in data], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(mixed.astype(np.int64).ravel()))], names=["id", "data", "keys"])
+
+    return nodes.mapInArrow(run, "id long, data binary, keys array<long>")
+
+
+def within_wide(distance: int):
+    def compare(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+        (fa, ta), (fb, tb) = ((np.ascontiguousarray(x[:, : WIDE // 8]).view("<u8"), np.ascontiguousarray(x[:, WIDE // 8 :]).view("<u2").astype(np.int16)) for x in (a, b))
+        linked = np.ones((len(a), len(b)), dtype=bool)
+        for k in range(PIVOTS):
+            linked &= np.abs(ta[:, k][:, None] - tb[:, k][None, :]) <= distance
+        i, j = np.nonzero(linked)
+        linked[i, j] = np.bitwise_count(fa[i] ^ fb[j]).sum(axis=1) <= distance
+        return linked
+
+    return compare
+
+
+def jaccard_at_least(similarity: float):
+    """Links sets whose shared part is large enough; exact."""
+
+    def compare(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+        sizes = np.array([len(x) for x in (*a, *b)])
+        items = np.concatenate([*a, *b])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        _, number, count = np.unique(items, return_inverse=True, return_counts=True)
+        shared = count[number] > 1
+        owner, number = owner[shared], np.unique(number[shared], return_inverse=True)[1]
+        common = np.zeros((len(a), len(b)), dtype=np.float32)
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        for at in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+            lo, hi = np.searchsorted(number, [at, at + 4096])
+            has = np.zeros((len(sizes), 4096), dtype=np.float32)
+            has[owner[lo:hi], number[lo:hi] - at] = 1
+            common += has[: len(a)] @ has[len(a) :].T
+        na, nb = sizes[: len(a), None], sizes[None, len(a) :]
+        return common >= similarity * (na + nb - common) - 1e-9
+
+    return compare
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, wide: bool) -> DataFrame:
+    """``(id, data)``: distinct shingle hashes in order, or their wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in bpe.in_blocks(batch):
+                found = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([wide_fingerprint(x) if wide else x.tobytes() for x in found], pa.binary())], names=["id", "data"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, data binary")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
+    """``(id, component_id)`` of the rows that aren't the smallest id of their group. Texts without
+    words make a group."""
+    prints = storage.keep(shingle_sets(docs, id_col, text_col, shingle, True), "prints")
+    nodes = storage.keep(prints.groupBy(F.col("data").alias("fp")).agg(F.min("id").alias("id")).where("id is not null").select("id", "fp"), "nodes")
+    agree = agreement(similarity)
+    bits = min(40, max(8, math.ceil(math.log2(max(nodes.count(), 1) / 256)) if nodes.count() > 256 else 8))
+    samples = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
+    distance = math.ceil(WIDE * (1 - agree) + MARGIN * math.sqrt(WIDE * agree * (1 - agree)))
+    near = buckets.links(storage.keep(wide_nodes(nodes, bits, samples), "wide"), within_wide(distance))
+    loose = storage.keep(components.connected_components(near.select("id", "root")), "loose")
+    # whoever is in a group of two or more
+    members = loose.select(F.col("node").alias("id"), "component").union(loose.select(F.col("component").alias("id"), "component")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(members.select("id"), "id", "left_semi")
+    sets = shingle_sets(texts, "id", text_col, shingle, False).groupBy("id").agg(F.max("data").alias("data"))
+    rows = storage.keep(sets.join(members, "id").select("id", "data", F.array("component").alias("keys")), "sets")
+    close = buckets.links(rows, jaccard_at_least(similarity), block=256, load=buckets.arrays)
+    tied = components.connected_components(close.select("id", "root"))
+    named = nodes.join(tied, nodes["id"] == tied["node"], "left").select(F.col("fp").alias("data"), F.coalesce("component", "id").alias("component_id"))
+    out = prints.join(named, "data")
+    return out.where("id is not null and id <> component_id").select(F.col("id").alias(id_col), "component_id").distinct()
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of ``similar_groups``, that with the smallest id; of rows that share an id one stays."""
+    gone = similar_groups(docs, id_col, text_col, shingle, similarity).select(id_col)
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull())) if repeated else kept

@@ -265,9 +265,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tupl
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column and where each value begins, nulls as empty."""
-    column = column.fill_null(b"") if column.null_count else column
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    """The bytes of a binary or string column and where each value begins, nulls as empty."""
+    column = column.fill_null(pa.scalar("", column.type)) if column.null_count else column
+    kind = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
     offsets = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8), offsets
