@@ -68,7 +68,7 @@ def context_window(text: Column, wanted: Column, around: int = 200) -> Column:
 
 
 def contexts(citations: DataFrame, blocks: DataFrame, pages: DataFrame, around: int = 200) -> DataFrame:
-    """Citations with ``context`` from the blocks of their page that touch their box, widened and kept to the page."""
+    """Citations with ``context`` from the blocks of their page that touch their box, widened and kept to the page (from the whole page where the box isn't known)."""
     box, b = F.col("coordinates"), F.col("bbox")
     wide = citations.join(pages.select(F.col("doc_id").alias("document_id"), F.col("page_num").alias("page_number"), "width", "height"), ["document_id", "page_number"])
     texts = blocks.where("block_type = 'text'").select(F.col("doc_id").alias("document_id"), F.col("page_num").alias("page_number"), "block_no", "text", "bbox")
