@@ -120,7 +120,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{k:04d}"
             arrays = pack_block(held, width)
             for what, x in arrays.items():
-                with fs.open_output_stream(f"{root}/{name}.{what}.npy") as f:
+                with fs.open_output_stream(f"{root}/{name}.{what}.npy", compression=None) as f:
                     np.lib.format.write_array(f, x, allow_pickle=False)
             n = len(arrays["ids"])
             return pa.RecordBatch.from_pydict({"block": [f"{folder}/{name}"], "sequence_base": [(task.partitionId() << 33) + rows], "n_rows": [n], "n_tokens": [size]})

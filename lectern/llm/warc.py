@@ -130,7 +130,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             for i in range(len(batch)):
                 if archive is None:
                     name, k = f"{task.partitionId():06d}-{task.taskAttemptId()}-{k:04d}.warc.zst", k + 1
-                    archive = Archive(fs.open_output_stream(f"{root}/{name}"))
+                    archive = Archive(fs.open_output_stream(f"{root}/{name}", compression=None))
                 archive.add(record(*(c[i].as_py() for c in columns)))
                 if archive.compressor is not None and archive.size >= ARCHIVE_BYTES:
                     archive.close()
@@ -192,7 +192,7 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 fs, path = storage.filesystem(name)
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream):
                         rows.append(parse(data))
                         held += len(data) if with_payload else 200
