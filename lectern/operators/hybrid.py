@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
@@ -21,9 +21,16 @@ NO_ANSWER = "❌ Нет доступных методов поиска"
 
 
 def fuse(lexical_results: DataFrame, vector_results: DataFrame, alpha: float = 0.5, rrf_k: int = RRF_K) -> DataFrame:
-    """``alpha / (k + lexical rank) + (1 - alpha) / (k + vector rank)``, ranked anew. What only one list has keeps its own part, even if that is zero."""
-    parts = lexical_results.select("query_id", "chunk_id", (F.lit(alpha) / (rrf_k + F.col("rank"))).alias("part")).unionByName(vector_results.select("query_id", "chunk_id", (F.lit(1 - alpha) / (rrf_k + F.col("rank"))).alias("part")))
-    return lexical.ranked(parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")), None)
+    """``alpha / (k + lexical rank) + (1 - alpha) / (k + vector rank)``, ranked anew. What only one list has
+    keeps its own part, even if that is zero; with ``alpha`` 0 lexical hits drop out. A question
+    without vector results keeps its lexical scores. Each list is gone through once."""
+    words = lexical_results.select("query_id", "chunk_id", (F.lit(alpha) / (rrf_k + F.col("rank"))).alias("part"), F.col("score").alias("own"), F.lit(False).alias("is_vector"))
+    near = vector_results.select("query_id", "chunk_id", (F.lit(1 - alpha) / (rrf_k + F.col("rank"))).alias("part"), F.lit(None).cast("double").alias("own"), F.lit(True).alias("is_vector"))
+    both = words.unionByName(near).withColumn("fused", F.max("is_vector").over(Window.partitionBy("query_id")))
+    if alpha == 0:
+        both = both.where("is_vector OR NOT fused")
+    each = both.groupBy("query_id", "chunk_id", "fused").agg(F.round(F.sum("part"), 6).alias("sum"), F.max("own").alias("own"))
+    return lexical.ranked(each.select("query_id", "chunk_id", F.when(F.col("fused"), F.col("sum")).otherwise(F.col("own")).alias("score")), None)
 
 
 def matches(columns: list[str], filters: dict | None) -> Column:
@@ -53,13 +60,11 @@ def search(index: lexical.LexicalIndex, chunks: DataFrame, queries: DataFrame, t
         narrowed = lexical.LexicalIndex(index.postings.join(kept, "chunk_id", "left_semi"), index.lengths, index.terms, index.totals)
     else:
         narrowed = index
-    by_words = lexical.search(narrowed, queries, 2 * top_k).select("query_id", "chunk_id", "score", "rank")
-    by_vector = vectors.search(allowed, queries, 2 * top_k).select("query_id", "chunk_id", "score", "rank")
-    with_vector = by_vector.select("query_id").distinct()
-    fused = fuse(by_words.join(with_vector, "query_id", "left_semi") if alpha > 0 else by_words.limit(0), by_vector, alpha)
-    results = fused.unionByName(by_words.join(with_vector, "query_id", "left_anti"))
-    out = results if before else apply_filters(results, chunks, filters)
-    best = out.withColumn("at", F.row_number().over(lexical.Window.partitionBy("query_id").orderBy("rank")))
+    by_words = lexical.search(narrowed, queries, 2 * top_k)
+    by_vector = vectors.search(allowed, queries, 2 * top_k)
+    fused = fuse(by_words, by_vector, alpha)
+    out = fused if before else apply_filters(fused, chunks, filters)
+    best = out.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     return best.where(F.col("at") <= top_k).select("query_id", "chunk_id", "score", "rank")
 
 

@@ -125,11 +125,7 @@ def _hybrid(spark: SparkSession, sf_dir: str, filters: dict | None = None) -> Da
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both lists of each question, twenty long, fused and not cut."""
     asked = tables.questions(spark, sf_dir, True)
-    by_words = lexical.search(_index(spark, sf_dir), asked, 20).select("query_id", "chunk_id", "score", "rank")
-    by_vector = vectors.search(tables.chunks(spark, sf_dir), asked, 20)
-    has = by_vector.select("query_id").distinct()
-    fused = hybrid.fuse(by_words.join(has, "query_id", "left_semi"), by_vector).select("query_id", "chunk_id", "score", "rank")
-    return fused.unionByName(by_words.join(has, "query_id", "left_anti"))
+    return hybrid.fuse(lexical.search(_index(spark, sf_dir), asked, 20), vectors.search(tables.chunks(spark, sf_dir), asked, 20))
 
 
 @query(f"WITH {_HYBRID} SELECT * FROM hyb", ints="rank")
