@@ -118,7 +118,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Context vectors of all buckets (8 MiB at most, whatever the corpus)."""
-    most = 2 * docs.sparkSession.sparkContext.defaultParallelism  # each task sends one matrix
+    most = 8 * docs.sparkSession.sparkContext.defaultParallelism  # each task sends one matrix
     schema = "block int, part binary"
     rows = docs.select(text_col).coalesce(most).mapInArrow(_contexts, schema).repartition("block").mapInArrow(_summed, schema).collect()
     whole = np.zeros((BUCKETS, SIZE + 1), dtype=np.float64)
