@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SHARED_INDEX = "pdf-qa-shared"
 PERSONAL_PREFIX = "pdf-qa-personal-"
 USER_INDEX = {"Стас": "stas", "Макс": "max", "Вова": "vova", "Семен": "semen"}
-ENHANCED = "enhanced_v3"
+BUCKETS = 256
 
 
 def user_index_id(user: Column, mapping: dict[str, str] | None = None) -> Column:
@@ -25,11 +25,17 @@ def index_name(user: Column, kind: Column) -> Column:
     return F.when(personal, F.concat(F.lit(PERSONAL_PREFIX), user_index_id(user))).otherwise(F.lit(SHARED_INDEX))
 
 
-def add(catalog: DataFrame, new: DataFrame, order: str = "filename") -> DataFrame:
-    """The catalog with new documents, whose ids go on from the greatest, in ``order`` (for batches that are small beside the catalog)."""
-    start = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-    numbered = new.join(F.broadcast(start)).withColumn("id", (F.col("start") + F.row_number().over(Window.orderBy(order))).cast("long")).drop("start")
-    return catalog.unionByName(numbered, allowMissingColumns=True)
+def add(catalog: DataFrame, new: DataFrame, key: str = "filename") -> DataFrame:
+    """The catalog with new documents, whose ids go on from the greatest without gaps. Rows are numbered within
+    ``BUCKETS`` buckets of a hash of ``key``, and a bucket's numbers follow those of the buckets before it, so no task sees all rows."""
+    start = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_start"))
+    rows = new.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over BUCKETS rows at most
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    numbered = rows.join(F.broadcast(offsets), "_bucket").join(F.broadcast(start)).withColumn("id", (F.col("_start") + F.col("_offset") + place).cast("long"))
+    return catalog.unionByName(numbered.drop("_bucket", "_offset", "_start"), allowMissingColumns=True)
 
 
 def of_user(catalog: DataFrame, user: str) -> DataFrame:

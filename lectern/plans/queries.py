@@ -73,14 +73,14 @@ def _short(text: str, most: int, least: int) -> str:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build_index(tables.chunks(spark, sf_dir))
+    return lexical.build_index(tables.contents(spark, sf_dir))
 
 
 @query(f"WITH {_BM25}, src AS (SELECT br.*, text, 'chunk_' || substr(md5(text), 1, 12) AS content_id FROM br JOIN documents ON doc_id = chunk_id WHERE rank <= 10) SELECT query_id, chunk_id, content_id, score, rank, short AS snippet FROM ({_short('text', 200, 120)})", ints="rank")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best ten documents of every benchmark text, with content id and snippet."""
     found = lexical.search(_index(spark, sf_dir), tables.questions(spark, sf_dir), 10)
-    rows = found.join(tables.chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    rows = found.join(tables.contents(spark, sf_dir), "chunk_id")
     return rows.select("query_id", "chunk_id", tx.chunk_id(F.col("content")).alias("content_id"), "score", "rank", tx.snippet(F.col("content")).alias("snippet"))
 
 
@@ -511,12 +511,13 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("id", "upload_user", F.row_number().over(Window.partitionBy("upload_user").orderBy(F.desc("upload_date"), "id")).alias("place"))
 
 
-@query("SELECT 'c' || (custkey % 7) AS filename, c_custkey AS id FROM (SELECT c_custkey, c_custkey AS custkey FROM customer)")
+@query("SELECT c_custkey AS id, c_custkey > (SELECT max(c_custkey) // 2 FROM customer) AS is_new FROM customer")
 def catalog_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as documents, the second half added to the first in order of their key."""
-    rows = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.concat(F.lit("c"), (F.col("c_custkey") % 7).cast("string")).alias("filename"), "c_custkey")
+    """Customers as documents, the second half of their keys added to the first."""
+    rows = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), "c_custkey")
     half = rows.agg(F.floor(F.max("id") / 2)).first()[0]
-    return catalog.add(rows.where(F.col("id") <= half), rows.where(F.col("id") > half).drop("id"), "c_custkey").select("filename", "id")
+    old, new = (rows.where(F.col("id") <= half).withColumn("is_new", F.lit(False)), rows.where(F.col("id") > half).drop("id").withColumn("is_new", F.lit(True)))
+    return catalog.add(old, new, "c_custkey").select("id", "is_new")
 
 
 @query("SELECT CASE WHEN n_chars > 0 AND n_chars % 10 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN lang = 'en' THEN 'enhanced_v3' ELSE 'legacy' END AS processing_method, count(*) AS files, CAST(sum(n_chars // 1000) AS BIGINT) AS total_chunks, round(sum(n_chars / 1000)::DOUBLE, 6) AS total_time, CAST(sum(n_chars % 9) AS BIGINT) AS total_sections, count_if(n_chars % 2 = 1) AS formula_docs, count_if(n_chars % 3 = 1) AS table_docs FROM documents GROUP BY 1, 2", longs="formula_docs table_docs")

@@ -14,6 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(chunk_id, content)``: a document is a chunk."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(chunk_id, content, lang, source, section_id, content_type, embedding)``; a document is a chunk, its vector that of the same number, if there is one."""
     docs = read(spark, sf_dir, "documents")
