@@ -22,15 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
+
 BLOCK = 512
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Binary values of one length as rows of bytes."""
-    column = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
+    """Binary values as rows of bytes; where they differ in length, shorter ones end in zeros."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-    return data[offsets[0] : offsets[-1]].reshape(len(column), -1)
+    lengths = np.diff(offsets)
+    if (lengths == lengths[0]).all():
+        return data[offsets[0] : offsets[-1]].reshape(len(column), -1)
+    out = np.zeros((len(column), lengths.max()), dtype=np.uint8)
+    row = np.repeat(np.arange(len(column)), lengths)
+    out[row, np.arange(len(row)) - (offsets[:-1] - offsets[0])[row]] = data[offsets[0] : offsets[-1]]
+    return out
 
 
 def arrays(column: pa.Array) -> np.ndarray:
@@ -59,7 +66,8 @@ def tied(linked: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray, same: bool) -
 def units(rows: DataFrame, block: int) -> DataFrame:
     """``(id, unit key, lo, hi, own)``: ``lo`` and ``hi`` name the pair of blocks, ``own`` the row's block."""
     keyed = rows.select("id", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # stored, so that Spark may split the join's tasks where one bucket is very large
+    sizes = storage.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "sizes")
     kept = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = kept.select("id", "key", "own", other)

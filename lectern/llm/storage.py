@@ -35,8 +35,18 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """Cut the lineage: write once as Parquet to the shared folder, read from there afterwards."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``keep`` wrote, once everything made from it has been written too."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):

@@ -440,11 +440,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one row for each text with anchors
     anchored = storage.keep(keyed.where(F.octet_length("raw") >= window).select("d", "h", "raw").mapInArrow(_anchor_rows(window), "d long, h long, grams array<long>, places array<long>"), "anchors")
     single = anchored.select("d", "h", F.explode(F.arrays_zip("places", "grams")).alias("x")).select("d", "h", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
-    often = anchored.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # stored, so that Spark may split the join's tasks where one string is very frequent
+    often = storage.keep(anchored.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
     found = single.join(often, "gram").groupBy("d", "h").agg(F.collect_list(F.struct("place", "gram", "c")).alias("found"))
     # equal rows of one id have one list; distinct rows for it suffice, as their contexts are equal
     rows = keyed.select("d", "h", "raw").join(found, ["d", "h"]).select("d", "h", "raw", "found")
     contexts = storage.keep(rows.mapInArrow(_context_rows(window), "d long, h long, start long, gram long, c long, k1 long, k2 long, at int, twice boolean, context binary"), "contexts")
+    storage.discard(anchored, often)
     blocks = F.ceil(F.col("c") / UNIT).cast("int")
     units = contexts.where("context IS NOT NULL OR twice").select("gram", F.pmod(F.xxhash64("k1"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "k1", "k2", "at", "twice", "context")
     resolved = storage.keep(units.repartition("gram", "block").sortWithinPartitions("gram", "block", "k1", "k2").mapInArrow(_resolve(window), "k1 long, k2 long, first int, last int, w1 long, w2 long"), "resolved")
