@@ -92,14 +92,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, bucket in words(*text_bytes(batch.column(0))):
             counts += np.bincount(bucket, minlength=BUCKETS)
-            at, by = [], []
             for reach in range(1, REACH + 1):
                 near = text[reach:] == text[:-reach]
                 a, b = bucket[:-reach][near], bucket[reach:][near]
                 for x, y in ((a, b), (b, a)):
-                    at.append((x[:, None] * SIZE + places[y]).ravel())
-                    by.append(signs[y].ravel())
-            total += np.bincount(np.concatenate(at), weights=np.concatenate(by), minlength=BUCKETS * SIZE).astype(np.int64)
+                    at = (x[:, None] * SIZE + places[y]).ravel()
+                    total += np.bincount(at, weights=signs[y].ravel(), minlength=BUCKETS * SIZE).astype(np.int64)
     if counts.any():
         whole = np.concatenate([total.reshape(BUCKETS, SIZE), counts[:, None]], axis=1)
         for k in range(0, BUCKETS, BLOCK):
