@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 SHORT = 96
 #: Chunks of text whose ids a Python worker remembers; it starts afresh beyond that.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 NONE = 1 << 62
 
 #: Fixed value: the pattern of the vocabulary file, for text in lower case without white space.
