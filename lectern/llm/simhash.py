@@ -8,10 +8,13 @@ survivors are compared bit by bit. To bring pairs together without comparing all
 bits are split into ``d + 2`` pieces: ``d`` differing bits leave two pieces equal, so nodes meet in a bucket
 for each pair of pieces. Large buckets are compared block by block (see ``buckets``); nothing is capped.
 
-``similar_groups`` groups by the Jaccard similarity of word shingles instead. There fingerprints have
-``WIDE`` bits; nodes meet where all of some sampled bits agree, in as many samples as ``miss`` asks for, and
-are tied when the fingerprints are as near as those of a pair at the threshold may be. The sets of shingles
-themselves are compared, exactly, within the groups that this leaves.
+``similar_groups`` groups by the Jaccard similarity of word shingles instead, and loses no pair. Most pairs are found by
+fingerprints of ``WIDE`` bits: nodes meet where all of some sampled bits agree, in as many samples as ``miss`` asks for, and
+are tied when the fingerprints are as near as those of a pair at the threshold mostly are. The sets of shingles
+themselves are compared, exactly, within the groups that this leaves. Fingerprints may miss pairs, those of few shingles above
+all. So all sets then meet by the shingles of their prefixes (of two sets with a similarity of ``t``, in one order
+of all shingles, the first ``n - ceil(t n) + 1`` of each share one), but only where a shingle is in sets that aren't tied yet; what sizes and counts
+don't rule out is compared exactly too.
 
 Defined cases: a null text is an empty one and has fingerprint zero, which is linked like any other; texts of
 any length are read whole; equal rows share a fingerprint and so a component; a row without an id
@@ -38,6 +41,10 @@ PIVOTS = 16
 WIDE = 256
 #: Standard deviations of a wide fingerprint's distance that a pair at the threshold is given.
 MARGIN = 2.0
+#: Places that a set's hashes are counted by; documents sampled for common shingles, and how many of these are used.
+COUNTS = 512
+SAMPLE = 20_000
+COMMON = 100_000
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -210,38 +217,134 @@ def jaccard_at_least(similarity: float):
     return compare
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, wide: bool) -> DataFrame:
-    """``(id, data)``: distinct shingle hashes in order, or their wide fingerprint."""
+def within_counts(similarity: float):
+    """Links sets of different components unless their sizes or counts rule the similarity out. Sets that are similar enough differ in at most
+    a share of their elements, and counts differ by no more than the sets do, so no such pair is lost."""
+    apart = (1 - similarity) / (1 + similarity)
+
+    def compare(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+        (ca, na), (cb, nb) = (np.ascontiguousarray(x[:, :16]).view("<i8").T for x in (a, b))
+        linked = (ca[:, None] != cb[None, :]) & (np.minimum(na[:, None], nb[None, :]) >= similarity * np.maximum(na[:, None], nb[None, :]) - 1e-6)
+        i, j = np.nonzero(linked)
+        for at in range(0, len(i), 8192):
+            x, y = i[at : at + 8192], j[at : at + 8192]
+            differ = np.abs(a[x, 16:].astype(np.int16) - b[y, 16:]).sum(axis=1, dtype=np.int64)
+            linked[x, y] = differ <= apart * (na[x] + nb[y]) + 1e-6
+        return linked
+
+    return compare
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
+    """Hashes of shingles that several documents of a sample have, in order. They only say which shingles of a set come last."""
+    n = docs.count()
+    some = docs.select(id_col, text_col).sample(min(1.0, SAMPLE / max(n, 1)), SEED)
+    hashes = shingle_sets(some, id_col, text_col, shingle).select(F.explode("keys").alias("key"))
+    found = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON)
+    return np.sort(np.array([r.key for r in found.select("key").collect()], dtype=np.int64).view(np.uint64))
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """Of a set's distinct hashes, common ones last, so many that any two similar sets share one of them."""
+    if not len(hashes):
+        return hashes
+    rare = ~np.isin(hashes, common)
+    return np.concatenate([hashes[rare], hashes[~rare]])[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(id, keys)``: distinct shingle hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in bpe.in_blocks(batch):
-                found = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([wide_fingerprint(x) if wide else x.tobytes() for x in found], pa.binary())], names=["id", "data"])
+                found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(found, pa.list_(pa.int64()))], names=["id", "keys"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, keys array<long>")
+
+
+def shingle_bytes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(id, data)``: distinct shingle hashes in order, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in bpe.in_blocks(batch):
+                found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(found, pa.binary())], names=["id", "data"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, data binary")
 
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """``(id, data, counts, keys)``: of each document's set of shingles the wide fingerprint and a digest, its size and how many hashes fall to each of ``COUNTS`` places
+    (255 at most), and its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in bpe.in_blocks(batch):
+                data, counts, keys = [], [], []
+                for text in texts:
+                    x = np.unique(shingle_hashes(text, shingle))
+                    data.append(wide_fingerprint(x) + xxhash.xxh128_digest(x.tobytes()))
+                    held = np.bincount((x % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+                    counts.append(np.array([len(x)], dtype="<i8").tobytes() + np.minimum(held, 255).astype(np.uint8).tobytes())
+                    keys.append(prefix(x, similarity, common).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(data, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "data", "counts", "keys"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, data binary, counts binary, keys array<long>")
+
+
+def confirmed(docs: DataFrame, near: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links of the sets that are similar enough among those that ``near`` connects, directly or not; exact."""
+    loose = storage.keep(components.connected_components(near.select("id", "root")), "loose")
+    # whoever is in a group of two or more
+    members = loose.select(F.col("node").alias("id"), "component").union(loose.select(F.col("component").alias("id"), "component")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(members.select("id"), "id", "left_semi")
+    sets = shingle_bytes(texts, "id", text_col, shingle).groupBy("id").agg(F.max("data").alias("data"))
+    rows = storage.keep(sets.join(members, "id").select("id", "data", F.array("component").alias("keys")), "sets")
+    return buckets.links(rows, jaccard_at_least(similarity), block=256, load=buckets.arrays).select("id", "root")
+
+
+def across(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    """``rows``: ``id, counts, keys``. Those of the keys that sets of different components have, with the component before the counts."""
+    placed = rows.join(tied, rows["id"] == tied["node"], "left").select("id", "counts", "keys", F.coalesce("component", "id").alias("component"))
+    placed = storage.keep(placed, "placed")
+    keyed = placed.select("id", "component", F.explode("keys").alias("key"))
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    mixed = storage.keep(mixed, "mixed")
+    shared = keyed.join(mixed, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column(1).to_numpy().astype("<i8")
+            data = [head.tobytes() + held.as_py() for head, held in zip(heads, batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), batch.column(3)], names=["id", "data", "keys"])
+
+    joined = placed.select("id", "component", "counts").join(shared, "id")
+    return joined.mapInArrow(run, "id long, data binary, keys array<long>")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
     """``(id, component_id)`` of the rows that aren't the smallest id of their group. Texts without
-    words make a group."""
-    prints = storage.keep(shingle_sets(docs, id_col, text_col, shingle, True), "prints")
-    nodes = storage.keep(prints.groupBy(F.col("data").alias("fp")).agg(F.min("id").alias("id")).where("id is not null").select("id", "fp"), "nodes")
+    words make a group. ``miss`` only says how much of the work the fingerprints take from the prefixes."""
+    common = common_shingles(docs, id_col, text_col, shingle)
+    prints = storage.keep(sketches(docs, id_col, text_col, shingle, similarity, common), "prints")
+    nodes = storage.keep(prints.groupBy("data").agg(F.min("id").alias("id")).where("id is not null"), "nodes")
     agree = agreement(similarity)
     bits = min(40, max(8, math.ceil(math.log2(max(nodes.count(), 1) / 256)) if nodes.count() > 256 else 8))
     samples = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
     distance = math.ceil(WIDE * (1 - agree) + MARGIN * math.sqrt(WIDE * agree * (1 - agree)))
-    near = buckets.links(storage.keep(wide_nodes(nodes, bits, samples), "wide"), within_wide(distance))
-    loose = storage.keep(components.connected_components(near.select("id", "root")), "loose")
-    # whoever is in a group of two or more
-    members = loose.select(F.col("node").alias("id"), "component").union(loose.select(F.col("component").alias("id"), "component")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(members.select("id"), "id", "left_semi")
-    sets = shingle_sets(texts, "id", text_col, shingle, False).groupBy("id").agg(F.max("data").alias("data"))
-    rows = storage.keep(sets.join(members, "id").select("id", "data", F.array("component").alias("keys")), "sets")
-    close = buckets.links(rows, jaccard_at_least(similarity), block=256, load=buckets.arrays)
-    tied = components.connected_components(close.select("id", "root"))
-    named = nodes.join(tied, nodes["id"] == tied["node"], "left").select(F.col("fp").alias("data"), F.coalesce("component", "id").alias("component_id"))
-    out = prints.join(named, "data")
+    wide = wide_nodes(nodes.select("id", F.substring("data", 1, WIDE // 8).alias("fp")), bits, samples)
+    near = buckets.links(storage.keep(wide, "wide"), within_wide(distance))
+    tied = storage.keep(components.connected_components(confirmed(docs, near, id_col, text_col, shingle, similarity)), "tied")
+    # pairs that fingerprints missed share a shingle of their prefixes
+    rows = prints.select("id", "counts", "keys").join(nodes.select("id"), "id", "left_semi")
+    left = buckets.links(storage.keep(across(rows, tied), "across"), within_counts(similarity))
+    more = confirmed(docs, left, id_col, text_col, shingle, similarity)
+    tied = components.connected_components(tied.toDF("id", "root").union(more))
+    named = nodes.join(tied, nodes["id"] == tied["node"], "left").select("data", F.coalesce("component", "id").alias("component_id"))
+    out = prints.select("id", "data").join(named, "data")
     return out.where("id is not null and id <> component_id").select(F.col("id").alias(id_col), "component_id").distinct()
 
 

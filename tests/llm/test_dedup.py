@@ -141,6 +141,24 @@ def test_similar_groups(spark):
     assert sorted(i for i in ids if i is not None) == sorted(i for i, _ in rows if i not in want) and ids.count(None) == 1
 
 
+def at_threshold(seed):
+    """Two texts with a similarity of exactly 0.8: 4 of 5 shingles, or 200 shared and 25 on either side."""
+    words = [f"w{seed}x{k}" for k in range(229)]
+    if seed % 2:
+        return " ".join(words[:8]), " ".join(words[:9])
+    return " ".join(words), " ".join([f"v{seed}x{k}" for k in range(25)] + words[25:])
+
+
+def test_similar_groups_lose_no_pair_at_the_threshold(spark):
+    pairs = [at_threshold(k) for k in range(600)]
+    sets = lambda t: {" ".join(w[a : a + 5]) for w in [t.split()] for a in range(len(w) - 4)}
+    assert all(len(sets(a) & sets(b)) == 0.8 * len(sets(a) | sets(b)) for a, b in pairs)
+    rows = [(2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    rows += [(5000 + k, f"a {k} b c d") for k in range(20)]  # of one shingle each, all different
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, rows)).collect()}
+    assert got == {2 * k + 1: 2 * k for k in range(600)}
+
+
 def plain_removal(rows, window):
     counts = Counter(b[a : a + window] for _, b in rows for a in range(len(b) - window + 1))
     out = []
