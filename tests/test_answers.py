@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import answers, catalog, chat
+from lectern.plans import queries
 from lectern.sources import store
 from lectern.streaming import streams
 
@@ -141,3 +142,14 @@ def test_every_query_runs(spark, small):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_document_is_cited(spark, tmp_path, monkeypatch):
+    docs = [(1, "One.", "en", "a", 10), (2, "Two.", "de", "b", 2500), (3, "Three.", "fr", "a", 1200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = spark.createDataFrame([(7, 1, 0.5, 1), (7, 2, 0.4, 2), (7, 3, 0.3, 3), (7, 99, 0.2, 4)], "query_id long, chunk_id long, score double, rank int")
+    monkeypatch.setattr(queries, "_hybrid", lambda *_: found)
+    got = {r.chunk_id: r.citation for r in queries.citation_join(spark, str(tmp_path)).collect()}
+    assert got == {1: 'Title a, en - "One."', 2: 'Title b, p. 2, de - "Two."', 3: 'Title a, p. 1, fr - "Three."', 99: None}
+    assert queries.citation_sources(spark, str(tmp_path)).count() == 3
+    assert queries.detailed_citations(spark, str(tmp_path)).first().citation_count == 3
