@@ -233,8 +233,8 @@ def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LINES}, p AS (SELECT doc_id, lower(string_agg(text, chr(10) ORDER BY block_no)) AS t FROM lines WHERE page_num <= 1 GROUP BY 1), n AS (SELECT doc_id, list_sum(list_transform({_TERMS}, lambda w: CAST((length(t) - length(replace(t, w, ''))) / length(w) AS INT))) AS n, t FROM p) SELECT doc_id, n > 5 AS has_financial_terms, CAST(n AS BIGINT) AS financial_term_count, regexp_matches(t, 'license|references') AS mentions FROM n")
 def term_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = layout.page_texts(tables.blocks(spark, sf_dir))
-    found = metadata.indicators(pages, COMMON_TERMS, most_pages=1)
-    text = pages.where("page_num = 1").select("doc_id", F.lower("page_text").rlike("license|references").alias("mentions"))
+    found = metadata.indicators(pages, COMMON_TERMS)
+    text = pages.where("page_num <= 10").groupBy("doc_id").agg(F.max(F.lower("page_text").rlike("license|references")).alias("mentions"))
     return found.join(text, "doc_id").select("doc_id", "has_financial_terms", F.col("financial_term_count").cast("long").alias("financial_term_count"), "mentions")
 
 

@@ -153,3 +153,14 @@ def test_every_document_is_cited(spark, tmp_path, monkeypatch):
     assert got == {1: 'Title a, en - "One."', 2: 'Title b, p. 2, de - "Two."', 3: 'Title a, p. 1, fr - "Three."', 99: None}
     assert queries.citation_sources(spark, str(tmp_path)).count() == 3
     assert queries.detailed_citations(spark, str(tmp_path)).first().citation_count == 3
+
+
+def test_term_indicators_read_ten_pages(spark, tmp_path):
+    lines = ["x"] * 220
+    for k in (0, 25, 60, 100, 150, 199):
+        lines[k] = "the"
+    lines[199] += " license"
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["x"] * 200 + ["the license"]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.term_indicators(spark, str(tmp_path)).collect())
+    assert got == [(1, True, 6, True), (2, False, 0, False)]
