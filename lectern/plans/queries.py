@@ -449,11 +449,11 @@ round((CASE WHEN {_ANY.format(_WORDS, 'lower(question)')} THEN 0.3 ELSE 0 END +
 s AS (SELECT *, round(0.3::DOUBLE * 0.6::DOUBLE + 0.3::DOUBLE * 1.0::DOUBLE + 0.2::DOUBLE * response_coherence + 0.2::DOUBLE * domain_relevance, 6) AS score FROM f)
 SELECT *, CASE WHEN score > 0.8 THEN 'High' WHEN score > 0.6 THEN 'Medium' WHEN score > 0.4 THEN 'Low' ELSE 'Very Low' END AS level FROM s""")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last answers of the conversations, each with one chunk of fitting length that has a section."""
+    """Answers of the conversations, each with one chunk of fitting length that has a section."""
     rows = tables.answers(spark, sf_dir)
     chunks = rows.select("query_id", F.rpad(F.lit("x"), 100, "x").alias("content"), F.lit("t").alias("document_title"), F.lit("1").alias("section_id"), F.lit(0).alias("formula_count"), F.lit(0).alias("table_count"))
     out = answers.score_answers(rows.select("query_id", "question"), rows.select("query_id", "raw_response"), chunks)
-    return out.select("query_id", "response_coherence", "domain_relevance", F.col("confidence.score").alias("score"), F.col("confidence.level").alias("level"))
+    return out.select("query_id.conv_id", "query_id.turn", "response_coherence", "domain_relevance", F.col("confidence.score").alias("score"), F.col("confidence.level").alias("level"))
 
 
 @query(f"WITH {_BM25}, r AS (SELECT item_id AS query_id, avg(score) AS m, max(score) AS x FROM benchmark LEFT JOIN br ON query_id = item_id AND rank <= 10 GROUP BY 1), s AS (SELECT query_id, round((CASE WHEN m > 1 THEN CASE WHEN x > 0 THEN m / x ELSE 0 END ELSE m END) * 0.7::DOUBLE + 0.24::DOUBLE, 6) AS v FROM r) SELECT query_id, coalesce(v, 0) AS score, CASE WHEN v IS NULL THEN 'Very Low' WHEN v > 0.8 THEN 'High' WHEN v > 0.6 THEN 'Medium' WHEN v > 0.4 THEN 'Low' ELSE 'Very Low' END AS level FROM s")
@@ -470,7 +470,7 @@ def key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = answers.parse(tables.answers(spark, sf_dir))
-    return out.select("query_id", "answer", "explanation", "confidence_text", F.size("sources").alias("n_sources"), F.col("sources")[0]["citation"].alias("first_citation"))
+    return out.select("query_id.conv_id", "query_id.turn", "answer", "explanation", "confidence_text", F.size("sources").alias("n_sources"), F.col("sources")[0]["citation"].alias("first_citation"))
 
 
 @query()
@@ -480,7 +480,7 @@ def formatted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     sources = F.transform("sources", lambda s: F.struct(s["citation"].alias("citation"), s["quote"].alias("quote"), none.alias("document_title"), F.lit(0).alias("page_number"), none.alias("section_title")))
     text = answers.formatted(F.col("answer"), F.col("explanation"), sources, F.lit("High"), F.lit("stated"), F.lit(0.85))
-    return rows.select("query_id", text.alias("formatted")).withColumn("summary", answers.summary(F.col("formatted")))
+    return rows.select("query_id.conv_id", "query_id.turn", text.alias("formatted")).withColumn("summary", answers.summary(F.col("formatted")))
 
 
 # --- catalog and chat ----------------------------------------------------------------------------

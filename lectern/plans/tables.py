@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE_LINES = 20
@@ -70,9 +70,9 @@ def messages(spark: SparkSession, sf_dir: str, by_day: bool) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns wrapped as raw answers: ``(query_id, question, raw_response)``."""
-    turns = read(spark, sf_dir, "conversations")
-    asked = turns.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
-    said = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("said"))
-    raw = F.concat(F.lit("Answer: "), F.substring("said", 1, 120), F.lit("\n\nExplanation: "), F.col("said"), F.lit("\n\nSources:\n1. [Paper "), F.col("conv_id").cast("string"), F.lit(', Page 2] - "'), F.substring("said", 1, 40), F.lit('"\n2. nothing in brackets\n\nConfidence: High - stated'))
-    return asked.join(said, "conv_id").select(F.col("conv_id").alias("query_id"), "question", raw.alias("raw_response"))
+    """Assistant turns wrapped as raw answers, each with the user turn before it (``''`` without one): ``(query_id struct(conv_id, turn), question, raw_response)``."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before)
+    said = read(spark, sf_dir, "conversations").withColumn("question", F.coalesce(asked, F.lit(""))).where("role = 'assistant'").withColumnRenamed("text", "said")
+    raw = F.concat(F.lit("Answer: "), F.col("said"), F.lit("\n\nExplanation: "), F.col("said"), F.lit("\n\nSources:\n1. [Paper "), F.col("conv_id").cast("string"), F.lit(', Page 2] - "'), F.substring("said", 1, 40), F.lit('"\n2. nothing in brackets\n\nConfidence: High - stated'))
+    return said.select(F.struct("conv_id", "turn").alias("query_id"), "question", raw.alias("raw_response"))

@@ -164,3 +164,15 @@ def test_term_indicators_read_ten_pages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in queries.term_indicators(spark, str(tmp_path)).collect())
     assert got == [(1, True, 6, True), (2, False, 0, False)]
+
+
+def test_every_assistant_turn_is_an_answer(spark, tmp_path):
+    long = "y" * 501
+    rows = [(1, 0, "user", "beta?"), (1, 1, "assistant", "z" * 130), (1, 2, "user", "why"), (1, 3, "assistant", long), (2, 0, "assistant", "short")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    parsed = {(r.conv_id, r.turn): r.answer for r in queries.parse_responses(spark, str(tmp_path)).collect()}
+    assert parsed == {(1, 1): "z" * 130, (1, 3): long, (2, 0): "short"}
+    scored = {(r.conv_id, r.turn): (r.response_coherence, r.domain_relevance) for r in queries.confidence(spark, str(tmp_path)).collect()}
+    assert scored == {(1, 1): (0.8, 0.3), (1, 3): (0.5, 0.0), (2, 0): (0.2, 0.0)}
+    shown = {(r.conv_id, r.turn): r.formatted for r in queries.formatted_answers(spark, str(tmp_path)).collect()}
+    assert len(shown) == 3 and long in shown[(1, 3)]
