@@ -21,7 +21,7 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["", "ΑΣ ΟΔΟΣ İstanbul ß ǅ", "a\x1cb \x85 c d", "<|endoftext|> hi <|EndOfText|><|startoftext|>x", "it's we'll 'S don't  123 ½²", "é ﬁ é", "x" * 700 + "y", "ab" * 200, "héllo😀 👍🏽", "'''s", "a_b __ c", " ", "\n"]
+ODD = ["", "ΑΣ ΟΔΟΣ İstanbul ß ǅ", "a\x1cb \x85 c d", "<|endoftext|> hi <|EndOfText|><|startoftext|>x", "it's we'll 'S don't  123 ½²", "é ﬁ é", "x" * 700 + "y", "ab" * 200, "héllo😀 👍🏽", "'''s", "a_b __ c", " ", "\n", "'s't 're'llo .'s ''ve x'd'", "1'2 'r 'rex '", "日本 語 " * 30, "a\u2028b\u3000c\x1d d"]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -52,6 +52,23 @@ def test_cache_starts_afresh(library, monkeypatch):
         assert np.frombuffer(packed, dtype="<u2").tolist() == ids_of(library, text)
 
 
+def test_long_texts_are_cut_at_white_space_alone(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 64)
+    bpe.powers.cache_clear()
+    ours = bpe.WordBPE(bpe.default_path())
+    texts = [t for _, t in DOCS if t and len(t) < 5000] + ODD + ["x" * 1000 + " it's é " + "日" * 600]
+    for text, packed in zip(texts, ours.packed(texts)):
+        assert np.frombuffer(packed, dtype="<u2").tolist() == ids_of(library, text)
+    bpe.powers.cache_clear()
+
+
+def test_words_whose_hashes_are_equal(library):
+    ours = bpe.WordBPE(bpe.default_path())
+    ours.packed(["one two"])
+    ours.words.bytes[:3] = list(b"own")  # as if another word had the hash of "one"
+    assert ours.encode("one two").tolist() == ids_of(library, "one two")
+
+
 def test_round_trip(spark, library):
     rows = bpe.round_trip(documents(spark)).collect()
     want = sorted((i is None, i or 0, len(ids := ids_of(library, t)), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()) for i, t in DOCS)
