@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from . import hashing
+
 SHORT = 96
 #: Words whose ids a Python worker remembers; the half seen most often stays when there are more.
 REMEMBERED = 400_000
@@ -161,14 +163,6 @@ def classes() -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=1)
-def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, and a random number for each byte."""
-    base = 0x9E3779B97F4A7C15
-    up, down = (np.cumprod(np.full(2 * PIECE, x, dtype=np.uint64), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
-    return up, down, np.random.default_rng(13).integers(0, 1 << 64, 256, dtype=np.uint64)
-
-
 class WordBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -331,13 +325,7 @@ class WordBPE:
         lengths = ends - starts
         if not len(starts):
             return np.zeros(0, dtype="<u2"), lengths, starts
-        up, down, values = powers()
-        if len(raw) >= len(up):  # only a single word can make a piece so long
-            return *self.merge(raw, starts, lengths), starts
-        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * down[starts]
-        hashes = ((hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).astype(np.int64)
+        hashes = (hashing.run_hashes(raw, starts, ends) >> np.uint64(1)).astype(np.int64)
         known = self.words
         number = known.find(hashes)
         new = np.flatnonzero(number == NONE)

@@ -10,8 +10,9 @@ length of that mean and the logarithm of the number of words.
 The network (one hidden layer, numpy) learns from at most ``TRAIN_ROWS`` labelled rows, taken in
 the order of a hash of their id; a fifth of them sets the temperature that calibrates the probabilities.
 
-Defined cases: a null text is an empty one and is scored as having no words; texts of over a mebibyte are read
-in pieces of that size (a word on a cut counts as two); equal texts get equal scores; without labelled
+Defined cases: a null text is an empty one and is scored as having no words; texts of any length are read whole, a piece at
+a time, and words and pairs of words count across pieces; equal texts get equal scores; of labelled rows that share an id the
+first text in order is learned from; without labelled
 rows of both kinds every score is the share of label 1 (0.5 without any); a null id isn't held out; other columns are left
 alone; an empty table gives no rows.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import hashing
 from .suffix import text_bytes
 
 BUCKETS = 1 << 14
@@ -43,10 +45,6 @@ _KIND = np.full(256, 3, dtype=np.uint8)  # other signs
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[48:58] = 2
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.full(PIECE + 1, _BASE, dtype=np.uint64), dtype=np.uint64)
-_INVERSES = np.cumprod(np.full(PIECE + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64), dtype=np.uint64)
-_VALUES = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -57,32 +55,26 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(text, bucket)`` of the words of texts laid end to end, about a mebibyte at a time."""
-    cuts = [int(offsets[0])]
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        if b - cuts[-1] > PIECE and a > cuts[-1]:
-            cuts.append(a)
-        while b - cuts[-1] > PIECE:
-            cuts.append(cuts[-1] + PIECE)
-    cuts.append(int(offsets[-1]))
-    for a, b in zip(cuts, cuts[1:]):
-        if a == b:
-            continue
-        piece = data[a:b]
-        kind = _KIND[piece]
+    """``(text, bucket)`` of the words of texts laid end to end, about ``PIECE`` bytes at a time; words are never cut."""
+    a, last = int(offsets[0]), int(offsets[-1])
+    while a < last:
+        b = min(a + PIECE, last)
+        end = int(offsets[np.searchsorted(offsets, b)])  # of the text that b is in
+        while b < end and _KIND[data[b]] == _KIND[data[b - 1]]:  # the word that b is in ends there
+            run = _KIND[data[b : min(b + PIECE, end)]] != _KIND[data[b - 1]]
+            b += int(run.argmax()) if run.any() else len(run)
+        kind = _KIND[data[a:b]]
         new = np.ones(b - a + 1, dtype=bool)
         new[1:-1] = kind[1:] != kind[:-1]
-        first = offsets[(offsets > a) & (offsets < b)] - a
+        first = offsets[np.searchsorted(offsets, a, side="right") : np.searchsorted(offsets, b)] - a
         new[first] = True
         edges = np.flatnonzero(new)
         starts, ends = edges[:-1], edges[1:]
         real = kind[starts] > 0
         starts, ends = starts[real], ends[real]
-        sums = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[piece] * _POWERS[: b - a], out=sums[1:])
-        hashed = (sums[ends] - sums[starts]) * _INVERSES[starts]
-        hashed = (hashed ^ (hashed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashed = hashing.run_hashes(data[a:b], starts, ends)
         yield np.searchsorted(offsets[1:], a + starts, side="right"), (hashed >> np.uint64(50)).astype(np.int64)
+        a = b
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +82,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total, counts = np.zeros(BUCKETS * SIZE, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
+        before = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # the last words of the piece before
         for text, bucket in words(*text_bytes(batch.column(0))):
             counts += np.bincount(bucket, minlength=BUCKETS)
+            held = len(before[0])
+            text, bucket = np.concatenate([before[0], text]), np.concatenate([before[1], bucket])
             for reach in range(1, REACH + 1):
-                near = text[reach:] == text[:-reach]
-                a, b = bucket[:-reach][near], bucket[reach:][near]
+                since = max(held - reach, 0)  # pairs with a new word
+                near = text[since + reach :] == text[since : len(text) - reach]
+                a, b = bucket[since : len(text) - reach][near], bucket[since + reach :][near]
                 for x, y in ((a, b), (b, a)):
                     at = (x[:, None] * SIZE + places[y]).ravel()
                     total += np.bincount(at, weights=signs[y].ravel(), minlength=BUCKETS * SIZE).astype(np.int64)
+            before = text[-REACH:], bucket[-REACH:]
     if counts.any():
         whole = np.concatenate([total.reshape(BUCKETS, SIZE), counts[:, None]], axis=1)
         for k in range(0, BUCKETS, BLOCK):
@@ -228,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # TRAIN_ROWS rows of two numbers are a bounded broadcast
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw")).join(F.broadcast(sample), "id").select("id", "label", "raw")
     kind = dict(labels.dtypes)[id_col]
-    rows = found.dropDuplicates(["id"]).mapInArrow(run, f"id {kind}, label {dict(labels.dtypes)[label_col]}, x binary").collect()
+    once = found.groupBy("id").agg(F.max("label").alias("label"), F.min("raw").alias("raw"))
+    rows = once.mapInArrow(run, f"id {kind}, label {dict(labels.dtypes)[label_col]}, x binary").collect()
     rows.sort(key=lambda r: r["id"])
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     if len(y) < 10 or y.min() == y.max():
