@@ -74,12 +74,13 @@ def units(rows: DataFrame, block: int) -> DataFrame:
     return paired.select("id", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
-def links(rows: DataFrame, compare: Callable[[np.ndarray, np.ndarray, int], np.ndarray], block: int = BLOCK, weigh: Callable[[np.ndarray], np.ndarray] | None = None, load: Callable[[pa.Array], np.ndarray] = matrix) -> DataFrame:
+def links(rows: DataFrame, compare: Callable[[np.ndarray, np.ndarray, int], np.ndarray], block: int = BLOCK, weigh: Callable[[np.ndarray], np.ndarray] | None = None, load: Callable[[pa.Array], np.ndarray] = matrix, with_key: bool = False) -> DataFrame:
     """``rows``: ``id long, data binary, keys array<long>``, ids distinct. Returns ``(id, root, n)``, possibly several
-    rows for an id. A pair of rows that share several buckets is linked in each, so whoever sums
+    rows for an id, and with ``with_key`` the ``key`` of the bucket they were linked in. A pair of rows that share several buckets is linked in each, so whoever sums
     ``n`` has ``compare`` link it in one only: its third argument is the bucket's key. With
     ``weigh``, a link counts as many times as what it returns for the row at the other end. ``load``
     turns a column of bytes into what ``compare`` gets slices of."""
+    names = ["id", "root", "n"] + ["key"] * with_key
     weigh = weigh or (lambda data: np.ones(len(data), dtype=np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,7 @@ def links(rows: DataFrame, compare: Callable[[np.ndarray, np.ndarray, int], np.n
                         roots, _ = tied(linked, ids[a:b], ids[a:b], True)
                         n = linked @ weigh(data[a:b])
                         some = np.flatnonzero(n)
-                        out.append((ids[a:b][some], roots[some], n[some]))
+                        out.append((ids[a:b][some], roots[some], n[some], key[a:b][some]))
                     continue
                 m = a + int(np.searchsorted(own[a:b], hi[a]))
                 if m in (a, b):
@@ -107,14 +108,14 @@ def links(rows: DataFrame, compare: Callable[[np.ndarray, np.ndarray, int], np.n
                 linked = compare(data[a:m], data[m:b], int(key[a]))
                 if linked.any():
                     rx, ry = tied(linked, ids[a:m], ids[m:b], False)
-                    for i, r, n in ((ids[a:m], rx, linked @ weigh(data[m:b])), (ids[m:b], ry, weigh(data[a:m]) @ linked)):
+                    for i, r, n, own_key in ((ids[a:m], rx, linked @ weigh(data[m:b]), key[a:m]), (ids[m:b], ry, weigh(data[a:m]) @ linked, key[m:b])):
                         some = np.flatnonzero(n)
-                        out.append((i[some], r[some], n[some]))
+                        out.append((i[some], r[some], n[some], own_key[some]))
             return [np.concatenate(x) for x in zip(*out)] if out else None
 
         def whole(part: list[pa.RecordBatch]):
             if part and (found := work(part)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["id", "root", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found[: len(names)]], names=names)
 
         held: list[pa.RecordBatch] = []  # ends with a unit that may go on in the next batch
         for batch in batches:
@@ -136,4 +137,4 @@ def links(rows: DataFrame, compare: Callable[[np.ndarray, np.ndarray, int], np.n
 
     with_data = units(rows, block).join(rows.select("id", "data"), "id").select("key", "lo", "hi", "own", "id", "data")
     dealt = with_data.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "id")
-    return dealt.mapInArrow(run, "id long, root long, n long")
+    return dealt.mapInArrow(run, ", ".join(f"{name} long" for name in names))

@@ -34,9 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, buckets, components, storage
+from . import bpe, buckets, components, hashing, storage
 
 SEED = 42
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 PIVOTS = 16
 WIDE = 256
 #: Standard deviations of a wide fingerprint's distance that a pair at the threshold is given.
@@ -70,10 +71,7 @@ def majority(hashes: np.ndarray) -> int:
     """The number whose bits are set in over half of the hashes."""
     if not len(hashes):
         return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * hashing.bit_counts(hashes[:, None]) > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -143,16 +141,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- by similarity of shingles -------------------------------------------------------------------
 
 
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes, in order, of the runs of ``size`` words (of the whole text, if it has fewer)."""
+    raw = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    words = hashing.run_hashes(raw, edges[::2], edges[1::2])
+    if not len(words):
+        return words
+    n = max(1, len(words) - size + 1)
+    found = words[:n].copy()
+    for k in range(1, min(size, len(words))):
+        found = hashing.mixed(found * np.uint64(hashing.BASE) + words[k : k + n])
+    return np.unique(found)
+
+
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
     """``WIDE`` majority bits of distinct hashes, each stretched to that many bits."""
     ones = np.zeros(WIDE, dtype=np.int64)
     steps = (np.arange(WIDE // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(hashes), 1 << 14):
-        x = hashes[at : at + (1 << 14), None] + steps[None, :]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += hashing.bit_counts(hashing.mixed(hashing.mixed(hashes[at : at + (1 << 14), None] + steps[None, :])))
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
@@ -161,10 +170,16 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_nodes(nodes: DataFrame, bits: int, samples: int) -> DataFrame:
+def sampled_bits(bits: int, samples: int) -> np.ndarray:
+    """Which ``bits`` of a wide fingerprint each sample takes."""
     rng = np.random.default_rng(101)
-    chosen = np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(samples)])
-    reference = rng.integers(0, 2, (PIVOTS, WIDE), dtype=np.uint8)
+    return np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(samples)])
+
+
+def wide_nodes(nodes: DataFrame, bits: int, samples: int) -> DataFrame:
+    """``nodes``: ``id, fp``. Returns ``id``, ``data`` (fingerprint and its distances to the pivots) and ``keys``, each with the sample's number in its low bits."""
+    chosen = sampled_bits(bits, samples)
+    reference = np.random.default_rng(103).integers(0, 2, (PIVOTS, WIDE), dtype=np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,14 +195,27 @@ def wide_nodes(nodes: DataFrame, bits: int, samples: int) -> DataFrame:
     return nodes.mapInArrow(run, "id long, data binary, keys array<long>")
 
 
-def within_wide(distance: int):
+def within_wide(distance: int, bits: int, samples: int):
+    """Links fingerprints at ``distance`` or fewer differing bits; a pair that an earlier sample brings together is left to it."""
+    masks = np.zeros((samples, WIDE), dtype=np.uint8)
+    np.put_along_axis(masks, sampled_bits(bits, samples), 1, axis=1)
+    masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
+
     def compare(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
         (fa, ta), (fb, tb) = ((np.ascontiguousarray(x[:, : WIDE // 8]).view("<u8"), np.ascontiguousarray(x[:, WIDE // 8 :]).view("<u2").astype(np.int16)) for x in (a, b))
         linked = np.ones((len(a), len(b)), dtype=bool)
         for k in range(PIVOTS):
             linked &= np.abs(ta[:, k][:, None] - tb[:, k][None, :]) <= distance
         i, j = np.nonzero(linked)
-        linked[i, j] = np.bitwise_count(fa[i] ^ fb[j]).sum(axis=1) <= distance
+        linked[i, j] = False
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            differ = fa[x] ^ fb[y]
+            near = np.bitwise_count(differ).sum(axis=1) <= distance
+            for mask in masks[: key & 4095]:
+                x, y, differ = x[near], y[near], differ[near]
+                near = (differ & mask).any(axis=1)
+            linked[x[near], y[near]] = True
         return linked
 
     return compare
@@ -248,7 +276,10 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndar
     """Of a set's distinct hashes, common ones last, so many that any two similar sets share one of them."""
     if not len(hashes):
         return hashes
-    rare = ~np.isin(hashes, common)
+    rare = np.ones(len(hashes), dtype=bool)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rare = common[at] != hashes
     return np.concatenate([hashes[rare], hashes[~rare]])[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]
 
 
@@ -258,7 +289,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in bpe.in_blocks(batch):
-                found = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+                found = [shingles(t, shingle).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(found, pa.list_(pa.int64()))], names=["id", "keys"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, keys array<long>")
@@ -270,7 +301,7 @@ def shingle_bytes(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in bpe.in_blocks(batch):
-                found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts]
+                found = [shingles(t, shingle).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(found, pa.binary())], names=["id", "data"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, data binary")
@@ -285,7 +316,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
             for at, texts in bpe.in_blocks(batch):
                 data, counts, keys = [], [], []
                 for text in texts:
-                    x = np.unique(shingle_hashes(text, shingle))
+                    x = shingles(text, shingle)
                     data.append(wide_fingerprint(x) + xxhash.xxh128_digest(x.tobytes()))
                     held = np.bincount((x % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
                     counts.append(np.array([len(x)], dtype="<i8").tobytes() + np.minimum(held, 255).astype(np.uint8).tobytes())
@@ -295,15 +326,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, data binary, counts binary, keys array<long>")
 
 
-def confirmed(docs: DataFrame, near: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Links of the sets that are similar enough among those that ``near`` connects, directly or not; exact."""
-    loose = storage.keep(components.connected_components(near.select("id", "root")), "loose")
-    # whoever is in a group of two or more
-    members = loose.select(F.col("node").alias("id"), "component").union(loose.select(F.col("component").alias("id"), "component")).distinct()
+def confirmed(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``members``: ``id, keys``. Links of the sets that are similar enough among those that share a key; exact."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(members.select("id"), "id", "left_semi")
     sets = shingle_bytes(texts, "id", text_col, shingle).groupBy("id").agg(F.max("data").alias("data"))
-    rows = storage.keep(sets.join(members, "id").select("id", "data", F.array("component").alias("keys")), "sets")
-    return buckets.links(rows, jaccard_at_least(similarity), block=256, load=buckets.arrays).select("id", "root")
+    rows = storage.keep(sets.join(members, "id").select("id", "data", "keys"), "sets")
+    return storage.keep(buckets.links(rows, jaccard_at_least(similarity), block=256, load=buckets.arrays).select("id", "root"), "tied")
 
 
 def across(rows: DataFrame, tied: DataFrame) -> DataFrame:
@@ -336,12 +364,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     samples = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
     distance = math.ceil(WIDE * (1 - agree) + MARGIN * math.sqrt(WIDE * agree * (1 - agree)))
     wide = wide_nodes(nodes.select("id", F.substring("data", 1, WIDE // 8).alias("fp")), bits, samples)
-    near = buckets.links(storage.keep(wide, "wide"), within_wide(distance))
-    tied = storage.keep(components.connected_components(confirmed(docs, near, id_col, text_col, shingle, similarity)), "tied")
+    near = buckets.links(storage.keep(wide, "wide"), within_wide(distance, bits, samples), with_key=True)
+    # sets are compared in the buckets that brought their fingerprints together, at most one for each sample
+    members = storage.keep(near.groupBy("id").agg(F.collect_set("key").alias("keys")), "near")
+    first = confirmed(docs, members, id_col, text_col, shingle, similarity)
+    tied = storage.keep(components.connected_components(first), "tied")
     # pairs that fingerprints missed share a shingle of their prefixes
     rows = prints.select("id", "counts", "keys").join(nodes.select("id"), "id", "left_semi")
     left = buckets.links(storage.keep(across(rows, tied), "across"), within_counts(similarity))
-    more = confirmed(docs, left, id_col, text_col, shingle, similarity)
+    loose = storage.keep(components.connected_components(left.select("id", "root")), "loose")
+    members = loose.select(F.col("node").alias("id"), "component").union(loose.select(F.col("component").alias("id"), "component")).distinct()
+    more = confirmed(docs, members.select("id", F.array("component").alias("keys")), id_col, text_col, shingle, similarity)
     tied = components.connected_components(tied.toDF("id", "root").union(more))
     named = nodes.join(tied, nodes["id"] == tied["node"], "left").select("data", F.coalesce("component", "id").alias("component_id"))
     out = prints.select("id", "data").join(named, "data")
