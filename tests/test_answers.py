@@ -75,8 +75,8 @@ def test_catalog(spark):
     assert (s.total_documents, s.total_chunks, s.shared_documents, s.personal_documents) == (3, 6, 1, 2) and s.total_size_mb == pytest.approx(100.000001, abs=1e-5)
     asked = spark.createDataFrame([(1, "b"), (3, "a")], "id long, upload_user string")
     assert {r.id for r in catalog.delete(table, asked).collect()} == {1, 2}
-    names = spark.createDataFrame([("Стас", "personal"), ("Bob", "personal"), ("Bob", "shared"), (None, "personal")], "u string, k string").select(catalog.index_name(F.col("u"), F.col("k")).alias("n")).collect()
-    assert [r.n for r in names] == ["pdf-qa-personal-stas", "pdf-qa-personal-bob", "pdf-qa-shared", "pdf-qa-shared"]
+    names = spark.createDataFrame([("Анна", "personal"), ("Bob", "personal"), ("Bob", "shared"), (None, "personal")], "u string, k string").select(catalog.index_name(F.col("u"), F.col("k"), {"Анна": "anna"}).alias("n")).collect()
+    assert [r.n for r in names] == ["pdf-qa-personal-anna", "pdf-qa-personal-bob", "pdf-qa-shared", "pdf-qa-shared"]
     added = catalog.add(table, spark.createDataFrame([("z", "c"), ("y", "c")], "filename string, upload_user string"))
     assert {r.filename for r in added.where("id > 3").collect()} == {"y", "z"} and sorted(r.id for r in added.collect()) == [1, 2, 3, 4, 5]
 
