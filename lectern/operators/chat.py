@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEPT = 50
@@ -19,11 +19,18 @@ def last_messages(messages: DataFrame, most: int = KEPT) -> DataFrame:
     return messages.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most).drop("_at")
 
 
+def once(messages: DataFrame, origin: Column | None = None) -> DataFrame:
+    """One row for each place in a conversation: of the least ``origin``, then the earliest, then by type and content."""
+    order = Window.partitionBy(*KEY, "seq").orderBy(F.lit(0) if origin is None else origin, "ts", "type", "content")
+    return messages.withColumn("_at", F.row_number().over(order)).where("_at = 1").drop("_at")
+
+
 def append(messages: DataFrame, new: DataFrame, most: int = KEPT) -> DataFrame:
     """New messages after those of their conversation (``seq`` of new ones counts within the batch), with the present time if they
-    have none; a message that is there already is not taken twice, and each conversation keeps its last."""
+    have none; what is there already stays as it is, and each conversation keeps its last."""
     stamped = new.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
-    return last_messages(messages.unionByName(stamped).dropDuplicates([*KEY, "seq"]), most)
+    both = messages.withColumn("_new", F.lit(0)).unionByName(stamped.withColumn("_new", F.lit(1)))
+    return last_messages(once(both, F.col("_new")).drop("_new"), most)
 
 
 def without(messages: DataFrame, conversations: DataFrame) -> DataFrame:

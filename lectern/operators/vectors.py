@@ -1,6 +1,6 @@
 """Exact cosine search of many query vectors over many vectors.
 
-Both sides are dealt into blocks by a hash of their id, and each pair of blocks is a group of bounded size: one
+Both sides are dealt into blocks by length and a hash of their id, and each pair of blocks is a group of bounded size: one
 matrix product, of which the best ``k`` of each query go on. So neither side is broadcast, and what is
 ranked at the end is ``k`` rows for each query and block.
 """
@@ -9,43 +9,57 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
 SALT = 17
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def _dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows in blocks of their own side, once for each block of the other side."""
+    return rows.withColumn(own, F.pmod(F.xxhash64("id", F.lit(SALT)), F.col(f"{own}_blocks"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1))).select("size", "i", "j", "id", "v")
+
+
 def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, min_score: float | None = 0.0, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """``(query_id, chunk_id, score, rank)`` by cosine to six places, equals by chunk id; only scores above ``min_score``, if one is
-    set. Null vectors take no part, vectors of length zero score zero. ``exclude_self`` leaves out
-    chunks with the query's id."""
-    left = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    right = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("v"))
+    set. Vectors that are null or hold null or non-finite components take no part, on either side; a query is compared with vectors of its own length; vectors
+    of zeros score zero. ``exclude_self`` leaves out chunks with the query's id."""
+    side = lambda df, key, v: df.select(F.col(key).alias("id"), F.col(v).cast("array<double>").alias("v")).where(usable(F.col("v"))).withColumn("size", F.size("v"))
+    left, right = side(vectors, id_col, vector_col), side(queries, query_id, query_vector)
     key, asked = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
-    n, m = (-(-x.count() // size) or 1 for x, size in ((left, VECTOR_BLOCK), (right, QUERY_BLOCK)))
-
-    def dealt(df: DataFrame, own: int, other: int, own_name: str, other_name: str) -> DataFrame:
-        return df.withColumn(own_name, F.pmod(F.xxhash64("id", F.lit(SALT)), F.lit(own))).withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+    count = lambda df, name, block: df.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    blocks = count(left, "i_blocks", VECTOR_BLOCK).join(count(right, "j_blocks", QUERY_BLOCK), "size")
 
     def best(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if x.empty or q.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
         a, b = np.stack(x["v"].to_numpy()), np.stack(q["v"].to_numpy())
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        scores = np.round((b / np.where(nb, nb, 1)[:, None]) @ (a / np.where(na, na, 1)[:, None]).T, 6)
-        ids = x["id"].to_numpy()
+        for m in (a, b):
+            m /= np.maximum(np.abs(m).max(axis=1, keepdims=True), np.finfo(float).tiny)  # so that squares stay finite
+            length = np.linalg.norm(m, axis=1, keepdims=True)
+            m /= np.where(length, length, 1)
+        scores = np.round(b @ a.T, 6)
+        ids, asking = x["id"].to_numpy(), q["id"].to_numpy()
+        allowed = scores > (-np.inf if min_score is None else min_score)
         if exclude_self:
-            scores[q["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        out = []
-        for i, row in enumerate(scores):
-            at = np.flatnonzero(row >= np.partition(row, len(row) - min(top_k, len(row)))[len(row) - min(top_k, len(row))])
-            at = at[row[at] > (-np.inf if min_score is None else min_score)]
-            at = at[np.lexsort((ids[at], -row[at]))][:top_k]
-            out.append(pd.DataFrame({"query_id": q["id"].iat[i], "chunk_id": ids[at], "score": row[at]}))
-        return pd.concat(out)
-
-    pairs = dealt(left, n, m, "i", "j").groupBy("i", "j").cogroup(dealt(right, m, n, "j", "i").groupBy("i", "j"))
+            allowed &= asking[:, None] != ids[None, :]
+        scores[~allowed] = -np.inf
+        k = min(top_k, len(ids))
+        least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+        i, j = np.nonzero(allowed & (scores >= least[:, None]))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1][j], -scores[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pd.DataFrame({"query_id": asking[i], "chunk_id": ids[j], "score": scores[i, j]})
+
+    pairs = _dealt(left.join(blocks, "size"), "i", "j").groupBy("size", "i", "j").cogroup(_dealt(right.join(blocks, "size"), "j", "i").groupBy("size", "i", "j"))
     found = pairs.applyInPandas(best, f"query_id {asked}, chunk_id {key}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

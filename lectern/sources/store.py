@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -63,12 +64,20 @@ def search_stats(chunks: DataFrame, has_lexical: bool = True, rrf_k: int = 60) -
     return chunks.agg(F.count(F.lit(1)).alias("total_documents"), F.count("embedding").alias("total_embeddings"), F.lit(has_lexical).alias("has_bm25_index"), F.lit(rrf_k).alias("rrf_k_parameter"), F.array_sort(F.collect_set(F.coalesce("content_type", F.lit("unknown")))).alias("content_types"), F.array_sort(F.collect_set(F.when(F.col("section_id") != "", F.col("section_id")))).alias("sections"))
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A folder of its own inside the one that driver and executors share."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share. Where a session on a single machine (tests) has none, one is made and set; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if not folder:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own inside the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def save_lexical(index: lexical.LexicalIndex, path: str) -> None:

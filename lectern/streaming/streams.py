@@ -1,4 +1,9 @@
-"""Documents and messages that keep arriving. Both jobs write through ``foreachBatch`` and may be given a batch again without effect."""
+"""Documents and messages that keep arriving. Both jobs write through ``foreachBatch`` and may be given a batch again without effect.
+
+What is stored lies in buckets of a hash of its key. A batch reads and writes the buckets that it has rows for, into a folder of
+its own (``v=<batch>``), and then a list that says which folder holds each bucket's latest rows (``m=<batch>``).
+The list before it is kept for readers; older lists, and folders that neither names, are deleted.
+"""
 
 from __future__ import annotations
 
@@ -11,44 +16,69 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import chat
 from ..sources import store
 
+BUCKETS = 64
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    where, fs = _files(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    done = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(where, f"{name}/_SUCCESS"))
+    return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and done(n))
+
+
+def _list(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Which batch wrote each bucket last (before a batch)."""
+    lists = [n for n in _numbers(spark, path, "m") if before is None or n < before]
+    return {r.bucket: r.version for r in spark.read.parquet(f"{path}/m={lists[-1]}").collect()} if lists else {}
 
-def _stored(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The latest complete version under ``path`` (before a number); versions are folders ``v=<n>``."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(files):
-        return None
-    versions = [int(s.getPath().getName()[2:]) for s in fs.listStatus(files) if s.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{path}/v={max(versions)}") if versions else None
+
+def _read(spark: SparkSession, path: str, held: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*(f"{path}/v={v}/bucket={b}" for b, v in sorted(held.items()))) if held else None
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    return _stored(spark, path)
+    """All that is stored."""
+    return _read(spark, path, _list(spark, path))
+
 
+def _run(rows: DataFrame, path: str, keys: list[str], prepare: Callable[[DataFrame, int], DataFrame], merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, buckets: int) -> StreamingQuery:
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-def _run(rows: DataFrame, path: str, merge: Callable[[DataFrame | None, DataFrame, int], DataFrame], checkpoint: str) -> StreamingQuery:
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merge(_stored(spark, path, number), batch, number).write.mode("overwrite").parquet(f"{path}/v={number}")
+        new = prepare(batch, number).persist()
+        held = _list(spark, path, number)
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]  # ``buckets`` at most
+        if touched:
+            merged = merge(_read(spark, path, {b: v for b, v in held.items() if b in touched}), new)
+            merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+            held |= dict.fromkeys(touched, number)
+            spark.createDataFrame(sorted(held.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/m={number}")
+        new.unpersist()
+        lists = [n for n in _numbers(spark, path, "m") if n <= number]
+        named = {v for n in lists[-2:] for v in _list(spark, path, n + 1).values()}
+        for kind, gone in (("m", lists[:-2]), ("v", [v for v in _numbers(spark, path, "v") if v < number and v not in named])):
+            for n in gone:
+                where, fs = _files(spark, f"{path}/{kind}={n}")
+                fs.delete(where, True)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def ingest(blocks: DataFrame, path: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], index: str = "pdf-qa-shared") -> StreamingQuery:
+def ingest(blocks: DataFrame, path: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], index: str = "pdf-qa-shared", buckets: int = BUCKETS) -> StreamingQuery:
     """Streamed blocks are chunked by ``chunk`` and stored in an index by chunk id; a document's blocks must arrive together."""
+    prepare = lambda batch, number: chunk(batch).withColumns({"index_name": F.lit(index), "ingest_seq": F.lit(number).cast("long")})
+    return _run(blocks, path, ["index_name", "chunk_id"], prepare, store.upsert, checkpoint, buckets)
 
-    def merge(stored: DataFrame | None, batch: DataFrame, number: int) -> DataFrame:
-        rows = chunk(batch).withColumns({"index_name": F.lit(index), "ingest_seq": F.lit(number).cast("long")})
-        return store.upsert(stored, rows)
-
-    return _run(blocks, path, merge, checkpoint)
 
-
-def keep_messages(messages: DataFrame, path: str, checkpoint: str, most: int = chat.KEPT) -> StreamingQuery:
+def keep_messages(messages: DataFrame, path: str, checkpoint: str, most: int = chat.KEPT, buckets: int = BUCKETS) -> StreamingQuery:
     """Streamed messages are added to those stored; each conversation keeps its last."""
-
-    def merge(stored: DataFrame | None, batch: DataFrame, number: int) -> DataFrame:
-        return chat.last_messages(batch.dropDuplicates([*chat.KEY, "seq"]), most) if stored is None else chat.append(stored, batch, most)
-
-    return _run(messages, path, merge, checkpoint)
+    merge = lambda stored, new: chat.last_messages(chat.once(new), most) if stored is None else chat.append(stored, new, most)
+    return _run(messages, path, chat.KEY, lambda batch, _: batch, merge, checkpoint, buckets)
