@@ -11,9 +11,8 @@ block (see ``buckets``).
 
 Defined cases: a vector that is null, zero, or holds null or non-finite components, or whose label
 is null, links with nothing and is its own component; vectors of different lengths don't link; equal
-rows link with each other; rows that share an id but not a vector are one node of the components,
-and each is given the links of all of them; a row without an id links with nothing, has a null
-component and isn't kept; other columns are left alone; an empty table gives no rows.
+rows link with each other; rows that share an id but not a vector are vectors of their own, each with its own links and
+component; a row without an id links with nothing, has a null component and isn't kept; other columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,22 +107,37 @@ def weight(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows[:, 8:16]).view(np.int64)[:, 0]
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows``: ``id, label, vector``. Equal vectors of a label as one row ``(node, group, first, weight, vector)``, stored, and the seed of the hashes that number
+    vectors and labels; it is changed until no two share a number."""
+    for seed in range(SEED, SEED + 100):
+        node, group = F.xxhash64("label", "vector", F.lit(seed)), F.xxhash64("label", F.lit(seed))
+        each = rows.groupBy("label", "vector", node.alias("node"), group.alias("group")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"))
+        kept = storage.keep(each, "vectors")
+        counts = kept.agg(F.count(F.lit(1)), F.countDistinct("node"), F.countDistinct("group"), F.countDistinct("label")).first()
+        if counts[0] == counts[1] and counts[2] == counts[3]:
+            return kept, seed
+        storage.discard(kept)
+    raise RuntimeError("no seed gives distinct numbers")
+
+
 def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, miss: float = 1e-4) -> DataFrame:
-    """``(id, n_links, component_id, kept)`` of every row."""
+    """``(id, n_links, component_id, kept)`` of every row. Labels of any type are compared as they are."""
     kind = "<f4" if embeddings.select(vector_col).schema[0].dataType.elementType.simpleString() == "float" else "<f8"
     vector = F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>")
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), vector.alias("vector"))
+    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), vector.alias("vector"))
     fine = usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull()
-    # equal vectors of a label are one node; the smallest of its ids stands for it
-    grouped = rows.where(fine).groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
-    grouped = storage.keep(grouped, "vectors")
+    grouped, seed = numbered(rows.where(fine))
     bits, tables = plan(grouped.count(), threshold, miss)
-    table = storage.keep(nodes(grouped.select(F.col("node").alias("id"), "label", "weight", "vector"), bits, tables, kind), "nodes")
+    table = storage.keep(nodes(grouped.select(F.col("node").alias("id"), F.col("group").alias("label"), "weight", "vector"), bits, tables, kind), "nodes")
     found = storage.keep(buckets.links(table, comparing(threshold, tables, kind), weigh=weight), "found")
-    tied = components.connected_components(found.select("id", "root"))
-    counts = found.select(F.col("id").alias("node"), "n").union(grouped.where("weight > 1").select("node", F.col("weight") - 1)).groupBy("node").agg(F.sum("n").alias("n_links"))
-    shared = grouped.where("weight > 1").select("label", "vector", "node")
-    out = rows.withColumn("fine", fine).join(shared, ["label", "vector"], "left")
-    out = out.select("id", F.when(F.col("fine"), F.coalesce("node", "id")).alias("node")).join(counts, "node", "left").join(tied, "node", "left")
-    component = F.coalesce("component", "node", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    storage.discard(table)
+    tied = storage.keep(components.connected_components(found.select("id", "root")).withColumnRenamed("component", "root"), "tied")
+    # components are of nodes; each is named by the smallest id in it
+    placed = storage.keep(grouped.select("node", "first", "weight").join(tied, "node", "left").select("node", "first", "weight", F.coalesce("root", "node").alias("root")), "placed")
+    named = storage.keep(placed.groupBy("root").agg(F.min("first").alias("component_id")), "named")
+    counts = storage.keep(found.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "counts")
+    each = placed.join(named, "root").join(counts, "node", "left").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    own = rows.select("id", F.when(fine, F.xxhash64("label", "vector", F.lit(seed))).alias("node"))
+    out = own.join(storage.keep(each, "each"), "node", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

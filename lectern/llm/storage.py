@@ -1,16 +1,15 @@
 """Where the operators read tables and keep what must outlive an executor.
 
 Everything a job writes goes to the folder in ``spark.checkpoint.dir``, which the driver and all
-executors share. Only where a session has none (single-machine tests) is a temporary one made.
+executors share.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.store import fresh_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; columns that a file lacks come back as an error from Spark."""
@@ -18,20 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A folder of its own inside the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """Cut the lineage: write once as Parquet to the shared folder, read from there afterwards."""
     path = fresh_dir(df.sparkSession, name)
