@@ -141,19 +141,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- by similarity of shingles -------------------------------------------------------------------
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Distinct hashes, in order, of the runs of ``size`` words (of the whole text, if it has fewer)."""
-    raw = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
+def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """Of each text the distinct hashes, in order, of the runs of ``size`` words (of the whole text, if it has fewer)."""
+    parts = [(t or "").encode().lower() for t in texts]
+    raw = np.frombuffer(b"\n".join(parts), dtype=np.uint8)
     inside = np.concatenate([[False], ~_SPACE[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    words = hashing.run_hashes(raw, edges[::2], edges[1::2])
-    if not len(words):
-        return words
-    n = max(1, len(words) - size + 1)
-    found = words[:n].copy()
-    for k in range(1, min(size, len(words))):
-        found = hashing.mixed(found * np.uint64(hashing.BASE) + words[k : k + n])
-    return np.unique(found)
+    starts = edges[::2]
+    words = hashing.run_hashes(raw, starts, edges[1::2])
+    cuts = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts]))  # each text's first word
+    counts = np.diff(cuts)
+    n = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)  # shingles of each text
+    ends = np.cumsum(n)
+    first = np.repeat(cuts[:-1] - (ends - n), n) + np.arange(int(n.sum()))
+    long = np.repeat(np.minimum(counts, size), n)
+    found = words[first]
+    for k in range(1, size):
+        own = np.flatnonzero(long > k)
+        found[own] = hashing.mixed(found[own] * np.uint64(hashing.BASE) + words[first[own] + k])
+    out = []
+    for a, b in zip((ends - n).tolist(), ends.tolist()):
+        own = np.sort(found[a:b])
+        out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+    return out
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -203,19 +213,21 @@ def within_wide(distance: int, bits: int, samples: int):
 
     def compare(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
         (fa, ta), (fb, tb) = ((np.ascontiguousarray(x[:, : WIDE // 8]).view("<u8"), np.ascontiguousarray(x[:, WIDE // 8 :]).view("<u2").astype(np.int16)) for x in (a, b))
-        linked = np.ones((len(a), len(b)), dtype=bool)
+        ones = [np.unpackbits(x[:, : WIDE // 8], axis=1).astype(np.float32) for x in (a, b)]
+        # counts up to WIDE are exact in single precision
+        linked = ones[0].sum(axis=1)[:, None] + ones[1].sum(axis=1)[None, :] - 2 * (ones[0] @ ones[1].T) <= distance
         for k in range(PIVOTS):
-            linked &= np.abs(ta[:, k][:, None] - tb[:, k][None, :]) <= distance
+            if max(int(ta[:, k].max()) - int(tb[:, k].min()), int(tb[:, k].max()) - int(ta[:, k].min())) > distance:  # else no pair is too far apart
+                linked &= np.abs(ta[:, k][:, None] - tb[:, k][None, :]) <= distance
         i, j = np.nonzero(linked)
         linked[i, j] = False
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             differ = fa[x] ^ fb[y]
-            near = np.bitwise_count(differ).sum(axis=1) <= distance
             for mask in masks[: key & 4095]:
-                x, y, differ = x[near], y[near], differ[near]
-                near = (differ & mask).any(axis=1)
-            linked[x[near], y[near]] = True
+                apart = np.flatnonzero(((differ[:, 0] & mask[0]) | (differ[:, 1] & mask[1]) | (differ[:, 2] & mask[2]) | (differ[:, 3] & mask[3])) != 0)
+                x, y, differ = x[apart], y[apart], differ[apart]
+            linked[x, y] = True
         return linked
 
     return compare
@@ -272,15 +284,26 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -
     return np.sort(np.array([r.key for r in found.select("key").collect()], dtype=np.int64).view(np.uint64))
 
 
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+class Common:
+    """Which hashes are among some; a table of their high bits answers for most that aren't."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.high = hashes, np.zeros(1 << 20, dtype=bool)
+        self.high[hashes >> np.uint64(44)] = True
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        out = self.high[asked >> np.uint64(44)]
+        some = np.flatnonzero(out)
+        if len(some):
+            at = np.minimum(np.searchsorted(self.hashes, asked[some]), len(self.hashes) - 1)
+            out[some] = self.hashes[at] == asked[some]
+        return out
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: Common) -> np.ndarray:
     """Of a set's distinct hashes, common ones last, so many that any two similar sets share one of them."""
-    if not len(hashes):
-        return hashes
-    rare = np.ones(len(hashes), dtype=bool)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rare = common[at] != hashes
-    return np.concatenate([hashes[rare], hashes[~rare]])[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1]
+    last = common(hashes)
+    return np.concatenate([hashes[~last], hashes[last]])[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1] if len(hashes) else hashes
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -289,7 +312,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in bpe.in_blocks(batch):
-                found = [shingles(t, shingle).view(np.int64) for t in texts]
+                found = [x.view(np.int64) for x in shingles(texts, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(found, pa.list_(pa.int64()))], names=["id", "keys"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, keys array<long>")
@@ -301,7 +324,7 @@ def shingle_bytes(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in bpe.in_blocks(batch):
-                found = [shingles(t, shingle).tobytes() for t in texts]
+                found = [x.tobytes() for x in shingles(texts, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(found, pa.binary())], names=["id", "data"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, data binary")
@@ -312,15 +335,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     (255 at most), and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = Common(common)
         for batch in batches:
             for at, texts in bpe.in_blocks(batch):
                 data, counts, keys = [], [], []
-                for text in texts:
-                    x = shingles(text, shingle)
+                for x in shingles(texts, shingle):
                     data.append(wide_fingerprint(x) + xxhash.xxh128_digest(x.tobytes()))
                     held = np.bincount((x % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
                     counts.append(np.array([len(x)], dtype="<i8").tobytes() + np.minimum(held, 255).astype(np.uint8).tobytes())
-                    keys.append(prefix(x, similarity, common).view(np.int64))
+                    keys.append(prefix(x, similarity, last).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(data, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "data", "counts", "keys"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, data binary, counts binary, keys array<long>")
