@@ -77,6 +77,21 @@ def listing(catalog: DataFrame, user: str | None = None, kind: str | None = None
     return out.orderBy(F.desc("upload_date"), "id")
 
 
+def placed(rows: DataFrame, keys: list[Column], name: str = "place") -> DataFrame:
+    """Adds the place, from 1, by rising ``keys``, which no two rows share. Rows are dealt by a bounded sample of keys into ranges, which follow each other,
+    so no task sees all rows, even where they agree in all keys but the last."""
+    key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    marked = rows.withColumn("_key", key)
+    sample = marked.select("_key").orderBy(F.xxhash64("_key")).limit(40 * BUCKETS).agg(F.array_sort(F.collect_list("_key")).alias("_all"))
+    bounds = sample.select(F.filter("_all", lambda x, i: i % 40 == 39).alias("_bounds"))
+    ranged = marked.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over BUCKETS + 1 rows at most
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_offset") + own).cast("int")).drop("_key", "_range", "_offset")
+
+
 def users(catalog: DataFrame) -> DataFrame:
     return catalog.select("upload_user").distinct()
 

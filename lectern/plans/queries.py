@@ -390,11 +390,13 @@ def export_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.export_citations(_citations(spark, sf_dir), "src4").select("document_id", "chunk_id", "citation_count")
 
 
-@query("WITH w AS (SELECT doc_id, text, substr(text, 301, 120) AS chunk FROM documents), a AS (SELECT *, instr(text, substr(chunk, 1, 50)) - 1 AS pos FROM w) SELECT doc_id, chunk, CASE WHEN pos < 0 THEN '' ELSE substr(text, CAST(greatest(0, pos - 200) + 1 AS BIGINT), CAST(pos - greatest(0, pos - 200) AS BIGINT)) END AS before, CASE WHEN pos < 0 THEN '' ELSE substr(text, CAST(pos + length(chunk) + 1 AS BIGINT), CAST(greatest(0, least(length(text), pos + length(chunk) + 200) - pos - length(chunk)) AS BIGINT)) END AS after FROM a")
+@query(f"WITH {_PAGES}, w AS (SELECT l.doc_id, l.block_no, page_text AS text, l.text AS chunk FROM lines l JOIN pages_of USING (doc_id, page_num)), a AS (SELECT *, instr(text, substr(chunk, 1, 50)) - 1 AS pos FROM w) SELECT doc_id, block_no, md5(CASE WHEN pos < 0 THEN '' ELSE substr(text, CAST(greatest(0, pos - 200) + 1 AS BIGINT), CAST(pos - greatest(0, pos - 200) AS BIGINT)) END) AS before, md5(CASE WHEN pos < 0 THEN '' ELSE substr(text, CAST(pos + length(chunk) + 1 AS BIGINT), CAST(greatest(0, least(length(text), pos + length(chunk) + 200) - pos - length(chunk)) AS BIGINT)) END) AS after FROM a")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read(spark, sf_dir, "documents").withColumn("chunk", F.substring("text", 301, 120))
-    found = citations.context_window(F.col("text"), F.col("chunk"))
-    return docs.select("doc_id", "chunk", found["before"].alias("before"), found["after"].alias("after"))
+    """Every line in its page, with the text before and after it."""
+    lines = tables.blocks(spark, sf_dir)
+    rows = lines.join(layout.page_texts(lines), ["doc_id", "page_num"])
+    found = citations.context_window(F.col("page_text"), F.col("text"))
+    return rows.select("doc_id", "block_no", F.md5(found["before"].cast("binary")).alias("before"), F.md5(found["after"].cast("binary")).alias("after"))
 
 
 # --- answers -------------------------------------------------------------------------------------
@@ -517,7 +519,7 @@ def catalog_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CATALOG} SELECT id, upload_user, row_number() OVER (ORDER BY file_size DESC, id) AS place FROM cat WHERE upload_user = 'src1' AND index_name = 'pdf-qa-shared'", ints="place")
 def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = catalog.listing(tables.catalog(spark, sf_dir).withColumn("upload_date", F.col("file_size")), "src1", "shared")
-    return listed.select("id", "upload_user", F.row_number().over(Window.partitionBy("upload_user").orderBy(F.desc("upload_date"), "id")).alias("place"))
+    return catalog.placed(listed, [-F.col("upload_date"), F.col("id")]).select("id", "upload_user", "place")
 
 
 @query("SELECT c_custkey AS id, c_custkey > (SELECT max(c_custkey) // 2 FROM customer) AS is_new FROM customer")

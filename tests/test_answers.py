@@ -137,13 +137,36 @@ def test_lexical_index_is_saved_and_rebuilt(spark, tmp_path):
     assert lexical.search(store.load_lexical(spark, str(tmp_path / "none"), chunks), asked).collect() == want
 
 
-def test_every_query_runs(spark, small):
+def test_entry_runs_and_sql_belongs_to_queries(spark, small):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_stored_messages_stay_as_they_are(spark):
+    row = "username string, conversation_id string, seq long, type string, content string, ts timestamp"
+    old = spark.createDataFrame([("u", "c", 1, "question", "stored", None)], row)
+    new = spark.createDataFrame([("u", "c", 1, "question", "clashes", None), ("u", "c", 2, "answer", "b", None), ("u", "c", 2, "answer", "a", None)], row)
+    for parts in (1, 3):
+        got = {(r.seq, r.content) for r in chat.append(old, new.repartition(parts)).collect()}
+        assert got == {(1, "stored"), (2, "a")}
+
+
+def test_stream_writes_the_buckets_it_touches(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(12)], "doc_id long, content string")
+    for k in range(4):
+        docs.where(f"doc_id % 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    cut = lambda df: df.select(F.col("doc_id").alias("document_id"), "content", chunk_id(F.col("content")).alias("chunk_id"))
+    out = str(tmp_path / "out")
+    streams.ingest(source, out, str(tmp_path / "ck"), cut, buckets=3).awaitTermination(240)
+    assert sorted(r.document_id for r in streams.latest(spark, out).collect()) == list(range(12))
+    assert len(streams._numbers(spark, out, "m")) == 2  # older lists are gone
+    named = {v for n in streams._numbers(spark, out, "m") for v in streams._list(spark, out, n + 1).values()}
+    assert set(streams._numbers(spark, out, "v")) == named
+
+
 def test_every_document_is_cited(spark, tmp_path, monkeypatch):
     docs = [(1, "One.", "en", "a", 10), (2, "Two.", "de", "b", 2500), (3, "Three.", "fr", "a", 1200)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
@@ -159,10 +182,10 @@ def test_term_indicators_read_ten_pages(spark, tmp_path):
     lines = ["x"] * 220
     for k in (0, 25, 60, 100, 150, 199):
         lines[k] = "the"
-    lines[199] += " license"
-    rows = [(1, "\n".join(lines)), (2, "\n".join(["x"] * 200 + ["the license"]))]
+    lines[199] += " references"
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["x"] * 200 + ["the references"]))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(tuple(r) for r in queries.term_indicators(spark, str(tmp_path)).collect())
+    got = sorted((r.doc_id, r.has_financial_terms, r.financial_term_count, r.has_references) for r in queries.term_indicators(spark, str(tmp_path)).collect())
     assert got == [(1, True, 6, True), (2, False, 0, False)]
 
 
@@ -170,6 +193,7 @@ def test_every_assistant_turn_is_an_answer(spark, tmp_path):
     long = "y" * 501
     rows = [(1, 0, "user", "beta?"), (1, 1, "assistant", "z" * 130), (1, 2, "user", "why"), (1, 3, "assistant", long), (2, 0, "assistant", "short")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(1, "the beta of it", "en", "s", 14)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     parsed = {(r.conv_id, r.turn): r.answer for r in queries.parse_responses(spark, str(tmp_path)).collect()}
     assert parsed == {(1, 1): "z" * 130, (1, 3): long, (2, 0): "short"}
     scored = {(r.conv_id, r.turn): (r.response_coherence, r.domain_relevance) for r in queries.confidence(spark, str(tmp_path)).collect()}

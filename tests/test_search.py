@@ -164,3 +164,21 @@ def test_tokens(spark):
     texts = ["It's a TEST_case of naïve words, über 12ab ab3 the-end", "", None, "x y zz zzz"]
     got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "s string").select(tx.tokens(F.col("s")).alias("t")).collect()]
     assert got == [words(t or "") for t in texts]
+
+
+def test_vector_search_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.standard_normal(3).tolist()) for k in range(40)]
+    rows += [(100, [float("nan"), 1.0, 1.0]), (101, None), (102, [1.0, None, 2.0]), (103, [float("inf"), 1.0, 1.0]), (104, [0.0, 0.0, 0.0]), (105, [1.0, 2.0]), (106, [2.0, 4.0]), (107, []), (108, [1e300, 1e300, 1e300]), (109, rows[0][1])]
+    table = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, rows[0][1]), (1, [1.0, 2.0]), (2, [float("nan"), 0.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    unit = lambda v: np.array(v) / max(np.abs(v).max(), 1e-300) / (np.linalg.norm(np.array(v) / max(np.abs(v).max(), 1e-300)) or 1)
+    fine = {k: v for k, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
+    for least, parts in ((0.0, 1), (None, 3)):
+        want = []
+        for q, v in ((0, rows[0][1]), (1, [1.0, 2.0]), (4, [0.0, 0.0, 0.0])):
+            scored = sorted((-round(float(unit(v) @ unit(x)), 6) + 0.0, k) for k, x in fine.items() if len(x) == len(v))
+            want += [(q, k, -s + 0.0, r + 1) for r, (s, k) in enumerate([x for x in scored if least is None or -x[0] > least][:7])]
+        got = [(r.query_id, r.chunk_id, r.score + 0.0, r["rank"]) for r in vectors.search(table.repartition(parts), asked, 7, least).orderBy("query_id", "rank").collect()]
+        assert got == want
+    assert {r.chunk_id for r in vectors.similar(table, table.where("chunk_id = 0"), 3).collect()}.isdisjoint({0})
