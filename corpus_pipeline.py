@@ -22,7 +22,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 200 bytes that occur more than once; ``n_chars`` follows."""
+    """Documents without the strings of 200 bytes that occur more than once, the first occurrence included; ``n_chars`` follows.
+    A document that nothing is left of stays, with an empty text."""
     cut = suffix.remove_repeats(docs, with_text=True, carry=("lang", "source"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
