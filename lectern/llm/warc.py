@@ -6,7 +6,7 @@ fetched alone. The dictionary is trained on the archive's first records (``SAMPL
 where they are too few to train on, the sample itself serves as dictionary.
 
 Which records are revisits is settled beforehand with one grouping by payload digest, whose partial
-sums make a digest that a third of all rows share cost no more than any other. A revisit's block
+sums make a digest that a third of all rows share cost no more than any other; its result is stored and joined back. A revisit's block
 holds the response's HTTP header only; its ``Content-Length`` is that of the full payload.
 
 An archive's name holds the task's attempt; only archives in the manifest count, so a task that runs
@@ -48,8 +48,13 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """``(id, url, payload, digest, refers_to)``: ``refers_to`` is set for rows that revisit another."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "digest", "left")
+    long = F.octet_length("payload") >= LEAST_REVISIT
+    first = rows.where(long).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # stored: Spark then sends it to every task if it is small, and can split a digest that many rows share if it isn't
+    first = storage.keep(first, "digests").withColumnRenamed("digest", "key")
+    # short payloads match nothing, and are spread
+    keyed = rows.withColumn("key", F.when(long, F.col("digest")).otherwise(F.concat(F.lit("short "), F.xxhash64("id", "url").cast("string"))))
+    joined = keyed.join(first, "key", "left")
     return joined.select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
