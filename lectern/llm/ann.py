@@ -16,15 +16,15 @@ of each query.
 The radius is learned too: the one that held ``COVER`` of the sample's true neighbours, measured with sample rows
 as queries. A query for which fewer than ``k`` rows lie within it compares with all rows of the unit.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, rows without an id and vectors of another
-length than most of the sample's take no part; ties go to the smaller id; rows with a query's own id aren't its
+Defined cases: vectors that are null, zero or hold null or non-finite components and rows without an id take no part; vectors are
+compared with those of their own length, each length with codes of its own; ties go to the smaller id; rows with a query's own id aren't its
 candidates; other columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ ROTATIONS = 4
 SUBSTRING = 8
 COVER = 0.97
 INDEX_BLOCK = 8192
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16384
 SEED = 31
 
 
@@ -154,15 +154,20 @@ def search(embeddings: DataFrame, is_query, id_col: str = "vec_id", vector_col:
     """``(query_id, rank, <id>, score)`` for the rows where ``is_query`` holds, against all rows."""
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
     rows = rows.where(usable(F.col("vector")) & F.col("id").isNotNull())
-    picked = rows.select("id", "vector").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()["vector"].tolist()  # bounded
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("is_query", F.lit(False))).alias("q"), F.sqrt(F.max(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))).alias("longest")).first()
-    if not picked:
+    lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    found = [_search(rows.where(F.size("vector") == n), n, k) for n in lengths]
+    if not found:
         return embeddings.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias(id_col), F.lit(0.0).alias("score")).limit(0)
-    lengths = [len(v) for v in picked]
-    length = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    sample = np.array([v for v in picked if len(v) == length], dtype=np.float64)
-    coder = Coder(sample, stats["longest"] * (1 + 1e-12), k)
-    index_blocks, query_blocks = -(-stats["n"] // INDEX_BLOCK), max(1, -(-stats["q"] // QUERY_BLOCK))
+    return reduce(DataFrame.union, found).withColumnRenamed("id", id_col)
+
+
+def _search(rows: DataFrame, length: int, k: int) -> DataFrame:
+    """``rows``: ``id, vector, is_query``, vectors of one length."""
+    picked = rows.select("vector").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()["vector"].tolist()  # bounded
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("is_query", F.lit(False))).alias("q"), F.sqrt(F.max(squares)).alias("longest")).first()
+    coder = Coder(np.array(picked, dtype=np.float64), stats["longest"] * (1 + 1e-12), k)
+    index_blocks, query_blocks = max(1, -(-stats["n"] // INDEX_BLOCK)), max(1, -(-stats["q"] // QUERY_BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(held):
@@ -191,7 +196,6 @@ def search(embeddings: DataFrame, is_query, id_col: str = "vec_id", vector_col:
         if held:
             yield from work(held)
 
-    rows = rows.where(F.size("vector") == length)
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(n)).cast("int")
     columns = ["i", "j", "query", "id", "vector"]
     indexed = rows.withColumns({"i": block(index_blocks), "j": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))), "query": F.lit(False)}).select(columns)
@@ -200,4 +204,4 @@ def search(embeddings: DataFrame, is_query, id_col: str = "vec_id", vector_col:
     dealt = indexed.union(asked).repartition(min(tasks, 100_000), "i", "j").sortWithinPartitions("i", "j", "query")
     best = dealt.mapInArrow(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
