@@ -3,9 +3,10 @@
 Each task packs its own rows as they come. ``level[h]`` counts the open windows filled to ``h``. A
 document's last piece of ``r`` ids goes to the fill level where the sum of the squared counts grows
 least (a new window is level 0); everything that fills a window whole goes out at once. When a task
-has no more rows, or more than ``MOST_OPEN`` windows are open, the emptiest open windows are cut up
+has no more rows, or more than ``most_open`` windows (a parameter that bounds its memory) are open, the emptiest open windows are cut up
 to fill the fullest, and the one that may remain is cut into windows of a power of two, which need
-no padding. So a task holds at most ``MOST_OPEN`` windows of ids, and nothing is shuffled.
+no padding. So a task holds at most ``most_open`` windows of ids, and nothing is shuffled. Lengths are as good as random,
+so a new level is rarely the complement of an old one: the more documents a task has, the larger the share of windows that placing alone fills.
 
 Defined cases: null and empty texts are documents of the end id alone; documents of over a window are cut
 into whole windows and a rest, so any length works; equal rows are packed one by one; a null
@@ -33,8 +34,9 @@ COLUMNS = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_i
 class SumOfSquares:
     """Places pieces; ``emit(piece, start, ids, window, offset)`` gets each when its window is settled."""
 
-    def __init__(self, capacity: int, emit: Callable):
-        self.capacity, self.emit, self.windows = capacity, emit, 0
+    def __init__(self, capacity: int, emit: Callable, most_open: int = MOST_OPEN):
+        self.capacity, self.emit, self.windows, self.most_open = capacity, emit, 0, most_open
+        self.filled = self.settled = 0  # windows filled by placing alone, and by cutting up others
         self.level = np.zeros(capacity + 1, dtype=np.int64)
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(capacity + 1)]
         self.n_open = 0
@@ -63,12 +65,13 @@ class SumOfSquares:
         level[h] -= h > 0
         self.n_open -= h > 0
         if h + r == size:
+            self.filled += 1
             self.close(pieces)
             return
         self.open[h + r].append(pieces)
         level[h + r] += 1
         self.n_open += 1
-        if self.n_open > MOST_OPEN:
+        if self.n_open > self.most_open:
             self.settle(keep_last=True)
 
     def close(self, pieces: list) -> None:
@@ -88,6 +91,7 @@ class SumOfSquares:
         while first < last:
             gap = self.capacity - fills[first]
             if not gap:
+                self.settled += 1
                 self.close(held[first])
                 first += 1
                 continue
@@ -125,7 +129,7 @@ class SumOfSquares:
                 self.close(own)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, most_open: int = MOST_OPEN) -> DataFrame:
     """One row for each piece of a document: where it starts in the document's ids (each document
     ends with ``END_ID``), its length, the CRC-32 of its ids as little-endian unsigned 32-bit
     numbers, the document's length, and its window and place there; with the ids themselves if
@@ -149,7 +153,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 arrays.append(pa.array([x.tolist() for x in columns[7]], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        packer, id_type = SumOfSquares(capacity, emit), pa.int64()
+        packer, id_type = SumOfSquares(capacity, emit, most_open), pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
             keys = batch.column(0)

@@ -140,6 +140,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         if held:
             yield flush(k)
 
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be a whole number")
     manifest = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "block string, sequence_base long, n_rows long, n_tokens long")
     return storage.keep(manifest)
 

@@ -115,10 +115,9 @@ def test_packing(spark, library, partitions):
     assert all(f & (f - 1) == 0 for f in fills)  # nothing is padded
 
 
-def test_packing_settles_when_many_windows_are_open(spark, monkeypatch):
+def test_packing_settles_when_many_windows_are_open():
     got = []
-    packer = packing.SumOfSquares(64, lambda tag, start, ids, window, offset: got.append((tag, start, len(ids), window, offset)))
-    monkeypatch.setattr(packing, "MOST_OPEN", 5)
+    packer = packing.SumOfSquares(64, lambda tag, start, ids, window, offset: got.append((tag, start, len(ids), window, offset)), most_open=5)
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 200, 500)
     for k, n in enumerate(sizes):
