@@ -3,7 +3,7 @@
 Words are runs of letters, of digits or of other signs, hashed to ``BUCKETS`` buckets. Each bucket has a sparse random index
 vector; a bucket's context vector is the sum of the index vectors of its neighbours within
 ``REACH`` words, over all documents. Each task sums its own matrix of whole numbers and the matrices are
-added up block by block, so the vectors are the same however the rows are split, and of a fixed size
+added up block by block, in two steps, so the vectors are the same however the rows are split, and of a fixed size
 whatever the corpus's. A document is the mean of its words' vectors, centred and brought to one length, with the
 length of that mean and the logarithm of the number of words.
 
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,7 @@ TRAIN_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 40
 BLOCK = 256
+TEAM, SPLITS = 64, 8
 
 _KIND = np.full(256, 3, dtype=np.uint8)  # other signs
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -80,42 +82,47 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's matrix of context vectors and, as a last column, word counts, in blocks of rows."""
     places, signs = index_vectors()
-    total, counts = np.zeros(BUCKETS * SIZE, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+    total, counts = np.zeros(BUCKETS * SIZE), np.zeros(BUCKETS, dtype=np.int64)  # whole numbers, exact below 2**53
     for batch in batches:
         before = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # the last words of the piece before
         for text, bucket in words(*text_bytes(batch.column(0))):
             counts += np.bincount(bucket, minlength=BUCKETS)
             held = len(before[0])
             text, bucket = np.concatenate([before[0], text]), np.concatenate([before[1], bucket])
+            pairs = []
             for reach in range(1, REACH + 1):
                 since = max(held - reach, 0)  # pairs with a new word
                 near = text[since + reach :] == text[since : len(text) - reach]
                 a, b = bucket[since : len(text) - reach][near], bucket[since + reach :][near]
-                for x, y in ((a, b), (b, a)):
-                    at = (x[:, None] * SIZE + places[y]).ravel()
-                    total += np.bincount(at, weights=signs[y].ravel(), minlength=BUCKETS * SIZE).astype(np.int64)
+                pairs += [(a, b), (b, a)]
+            x, y = (np.concatenate(p) for p in zip(*pairs))
+            total += np.bincount((x[:, None] * SIZE + places[y]).ravel(), weights=signs[y].ravel(), minlength=BUCKETS * SIZE)
             before = text[-REACH:], bucket[-REACH:]
     if counts.any():
-        whole = np.concatenate([total.reshape(BUCKETS, SIZE), counts[:, None]], axis=1)
+        whole = np.concatenate([total.astype(np.int64).reshape(BUCKETS, SIZE), counts[:, None]], axis=1)
         for k in range(0, BUCKETS, BLOCK):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "part": pa.array([whole[k : k + BLOCK].astype("<i8").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "team": pa.array([TaskContext.get().partitionId() // TEAM], pa.int32()), "part": pa.array([whole[k : k + BLOCK].astype("<i8").tobytes()], pa.binary())})
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+    sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for *key, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             x = np.frombuffer(part.as_buffer(), dtype="<i8")
-            sums[block] = sums[block] + x if block in sums else x
-    for block, x in sums.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "part": pa.array([x.tobytes()], pa.binary())})
+            own = sums.get(tuple(key))
+            sums[tuple(key)] = x if own is None else own + x
+    for (block, team), x in sums.items():
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "team": pa.array([team], pa.int32()), "part": pa.array([x.tobytes()], pa.binary())})
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Context vectors of all buckets (8 MiB at most, whatever the corpus)."""
-    most = 8 * docs.sparkSession.sparkContext.defaultParallelism  # each task sends one matrix
-    schema = "block int, part binary"
-    rows = docs.select(text_col).coalesce(most).mapInArrow(_contexts, schema).repartition("block").mapInArrow(_summed, schema).collect()
+    """Context vectors of all buckets (8 MiB at most, whatever the corpus). Each task sends one matrix, so a task takes up to ``SPLITS`` splits of the
+    input; those of ``TEAM`` tasks are added up first, then those of all teams."""
+    texts = docs.select(text_col)
+    tasks = max(8 * docs.sparkSession.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // SPLITS))
+    schema = "block int, team int, part binary"
+    teams = texts.coalesce(tasks).mapInArrow(_contexts, schema).repartition("block", "team").mapInArrow(_summed, schema)
+    rows = teams.withColumn("team", F.lit(0)).repartition("block").mapInArrow(_summed, schema).collect()
     whole = np.zeros((BUCKETS, SIZE + 1), dtype=np.float64)
     for row in rows:
         own = np.frombuffer(row["part"], dtype="<i8").reshape(-1, SIZE + 1)
@@ -131,12 +138,14 @@ def features(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.n
     """A row for each text."""
     n = len(offsets) - 1
     sums, counts = np.zeros((n, SIZE)), np.zeros(n)
+    wide = vectors.astype(np.float64)
     for text, bucket in words(data, offsets):
-        for k in range(0, len(text), 1 << 16):
-            t, b = text[k : k + (1 << 16)], bucket[k : k + (1 << 16)]
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            sums[t[first]] += np.add.reduceat(vectors[b], first, axis=0, dtype=np.float64)
-            counts[t[first]] += np.diff(np.append(first, len(t)))
+        cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(text) else text
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = text[a]
+            counts[own] += b - a
+            for k in range(a, b, 1 << 14):
+                sums[own] += wide.take(bucket[k : min(k + (1 << 14), b)], axis=0).sum(axis=0)
     mean = sums / np.maximum(counts, 1)[:, None]
     return np.concatenate([mean, np.sqrt((mean**2).sum(axis=1, keepdims=True)), np.log1p(counts)[:, None]], axis=1)
 
