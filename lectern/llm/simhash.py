@@ -43,7 +43,7 @@ WIDE = 256
 #: Standard deviations of a wide fingerprint's distance that a pair at the threshold is given.
 MARGIN = 2.0
 #: Places that a set's hashes are counted by; documents sampled for common shingles, and how many of these are used.
-COUNTS = 512
+COUNTS, COARSE = 512, 64
 SAMPLE = 20_000
 COMMON = 100_000
 
@@ -265,11 +265,17 @@ def within_counts(similarity: float):
     def compare(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
         (ca, na), (cb, nb) = (np.ascontiguousarray(x[:, :16]).view("<i8").T for x in (a, b))
         linked = (ca[:, None] != cb[None, :]) & (np.minimum(na[:, None], nb[None, :]) >= similarity * np.maximum(na[:, None], nb[None, :]) - 1e-6)
+        fine = [x[:, 16:].astype(np.int16) for x in (a, b)]
+        coarse = [x.reshape(len(x), COARSE, -1).sum(axis=2, dtype=np.int16) for x in fine]  # differ no more than the places that they sum
         i, j = np.nonzero(linked)
-        for at in range(0, len(i), 8192):
-            x, y = i[at : at + 8192], j[at : at + 8192]
-            differ = np.abs(a[x, 16:].astype(np.int16) - b[y, 16:]).sum(axis=1, dtype=np.int64)
-            linked[x, y] = differ <= apart * (na[x] + nb[y]) + 1e-6
+        linked[i, j] = False
+        for at in range(0, len(i), 1 << 15):
+            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            for left, right in (coarse, fine):
+                most = apart * (na[x] + nb[y]) + 1e-6
+                near = np.concatenate([np.abs(left[x[k : k + 4096]] - right[y[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 4096)] or [np.zeros(0)]) <= most
+                x, y = x[near], y[near]
+            linked[x, y] = True
         return linked
 
     return compare
@@ -354,7 +360,9 @@ def confirmed(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, s
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(members.select("id"), "id", "left_semi")
     sets = shingle_bytes(texts, "id", text_col, shingle).groupBy("id").agg(F.max("data").alias("data"))
     rows = storage.keep(sets.join(members, "id").select("id", "data", "keys"), "sets")
-    return storage.keep(buckets.links(rows, jaccard_at_least(similarity), block=256, load=buckets.arrays).select("id", "root"), "tied")
+    found = storage.keep(buckets.links(rows, jaccard_at_least(similarity), block=256, load=buckets.arrays).select("id", "root"), "found")
+    storage.discard(rows)
+    return found
 
 
 def across(rows: DataFrame, tied: DataFrame) -> DataFrame:
@@ -387,15 +395,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     samples = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
     distance = math.ceil(WIDE * (1 - agree) + MARGIN * math.sqrt(WIDE * agree * (1 - agree)))
     wide = wide_nodes(nodes.select("id", F.substring("data", 1, WIDE // 8).alias("fp")), bits, samples)
-    near = buckets.links(storage.keep(wide, "wide"), within_wide(distance, bits, samples), with_key=True)
+    wide = storage.keep(wide, "wide")
+    near = buckets.links(wide, within_wide(distance, bits, samples), with_key=True)
     # sets are compared in the buckets that brought their fingerprints together, at most one for each sample
     members = storage.keep(near.groupBy("id").agg(F.collect_set("key").alias("keys")), "near")
+    storage.discard(wide)
     first = confirmed(docs, members, id_col, text_col, shingle, similarity)
     tied = storage.keep(components.connected_components(first), "tied")
     # pairs that fingerprints missed share a shingle of their prefixes
     rows = prints.select("id", "counts", "keys").join(nodes.select("id"), "id", "left_semi")
-    left = buckets.links(storage.keep(across(rows, tied), "across"), within_counts(similarity))
-    loose = storage.keep(components.connected_components(left.select("id", "root")), "loose")
+    mixed = storage.keep(across(rows, tied), "across")
+    loose = storage.keep(components.connected_components(buckets.links(mixed, within_counts(similarity)).select("id", "root")), "loose")
+    storage.discard(mixed)
     members = loose.select(F.col("node").alias("id"), "component").union(loose.select(F.col("component").alias("id"), "component")).distinct()
     more = confirmed(docs, members.select("id", F.array("component").alias("keys")), id_col, text_col, shingle, similarity)
     tied = components.connected_components(tied.toDF("id", "root").union(more))

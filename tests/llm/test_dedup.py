@@ -76,6 +76,30 @@ def test_embeddings_repeated_and_null_ids(spark):
     assert embeddings.near_duplicates(vectors(spark, [])).collect() == []
 
 
+def test_embeddings_with_repeated_ids_and_labels_of_text(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [1.0, 0.01], "a"), (2, [1.0, 0.02], "a"), (3, [1.0, 0.0], "b"), (1, None, "a"), (4, [1.0, 0.01], "a"), (1, [0.0, 1.0], "a"), (0, [0.01, 1.0], "a")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = collected(embeddings.near_duplicates(table))
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (4, 3, 1, False), (3, 0, 3, True), (1, 0, 1, True), (1, 1, 0, False), (0, 1, 0, True)], key=lambda r: tuple((v is None, str(v)) for v in r))
+    close = spark.createDataFrame([(1, [1.0, 0.0], 1.2), (2, [1.0, 0.0], 1.7)], "vec_id long, embedding array<double>, label double")
+    assert [r.n_links for r in embeddings.near_duplicates(close).collect()] == [0, 0]
+
+
+def test_embedding_pairs_at_the_threshold_are_found_by_default(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(1500):
+        v, w = rng.standard_normal((2, 24))
+        v /= np.linalg.norm(v)
+        w -= (w @ v) * v
+        w /= np.linalg.norm(w)
+        c = 0.98 + 1e-9
+        rows += [(2 * k, v.tolist(), 0), (2 * k + 1, (c * v + np.sqrt(1 - c * c) * w).tolist(), 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    found = embeddings.near_duplicates(table).where("vec_id % 2 = 1 AND component_id < vec_id").count()
+    assert found >= 0.999 * 1500
+
+
 def test_more_rows_get_more_bits_and_tables():
     a, b = embeddings.plan(1000, 0.98, 1e-4), embeddings.plan(10**9, 0.98, 1e-4)
     assert a[0] < b[0] and a[1] < b[1]

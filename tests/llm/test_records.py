@@ -1,11 +1,13 @@
 import hashlib
 import struct
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from lectern.llm import ann, quality, queries, storage, urlfilter, warc
 
@@ -111,8 +113,6 @@ def test_many_rules_make_several_levels(spark):
     universe = spark.createDataFrame([(f"k{k}",) for k in range(5000)], "key string")
     cascade = urlfilter.make_cascade(universe, [f"k{k}" for k in range(0, 5000, 11)], 5000)
     assert len(cascade.levels) > 1
-    from pyspark.sql import functions as F
-
     assert {r.key for r in universe.where(cascade.lists(F.col("key"))).collect()} == {f"k{k}" for k in range(0, 5000, 11)}
 
 
@@ -138,8 +138,6 @@ def vectors(spark, rows):
 
 
 def test_search_against_all(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(ann, "INDEX_BLOCK", 150)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
     rng = np.random.default_rng(0)
@@ -160,8 +158,6 @@ def test_search_against_all(spark, monkeypatch):
 
 
 def test_search_ties_and_few_rows(spark):
-    from pyspark.sql import functions as F
-
     rows = [(20, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (1, [0.0, 1.0])]
     got = ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(2, 1.0), (3, 1.0), (1, 0.0)]
@@ -206,6 +202,21 @@ def test_quality_does_not_depend_on_partitions(spark):
     assert np.array_equal(one, many)
 
 
+def test_quality_reads_long_texts_whole(spark, monkeypatch):
+    texts = [t for _, t in DOCS] + ["é" * 300 + " " + "ab12?? " * 90]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    batch = table.toArrow().to_batches()[0]
+    monkeypatch.setattr(quality, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    whole = [p.as_py() for b in quality._contexts(iter([batch])) for p in b.column("part")]
+    data = quality.text_bytes(batch.column(0))
+    vectors = np.random.default_rng(1).standard_normal((quality.BUCKETS, quality.SIZE)).astype(np.float32)
+    want = quality.features(vectors, *data)
+    for piece in (1, 7, 64, 5000):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert [p.as_py() for b in quality._contexts(iter([batch])) for p in b.column("part")] == whole
+        assert np.allclose(quality.features(vectors, *data), want, rtol=1e-12, atol=1e-12)
+
+
 def test_quality_without_labels(spark):
     docs, labels, _ = quality_case(spark, 40)
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
@@ -214,8 +225,6 @@ def test_quality_without_labels(spark):
 
 def test_held_out_labels_are_not_learned(spark):
     docs, labels, _ = quality_case(spark, 200)
-    from pyspark.sql import functions as F
-
     flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert collected(quality.classify(docs, labels)) == collected(quality.classify(docs, flipped))
 
@@ -223,6 +232,41 @@ def test_held_out_labels_are_not_learned(spark):
 # --- pipeline ------------------------------------------------------------------------------------
 
 
+def test_pipeline_stages_bear_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, 1) for i, _ in DOCS if i is not None], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    good, one, cut, pack = (stage for _, stage in corpus_pipeline.STAGES)
+    for stage in (good, one, cut):
+        assert stage(spark, documents(spark, []), folder).columns == corpus_pipeline.COLUMNS
+        assert stage(spark, documents(spark, []), folder).collect() == []
+    assert pack(spark, documents(spark, []), folder).collect() == []
+    ids = lambda rows: sorted((r.doc_id is None, r.doc_id or 0) for r in rows)
+    docs = documents(spark)
+    everyone = ids(docs.collect())
+    assert ids(good(spark, docs, folder).collect()) == everyone  # labels of one kind only: all have its share, 1
+    # 2 and 3 go with 1, texts without words with 4, 13 with 12, and of rows that share an id one stays
+    assert ids(one(spark, docs, folder).collect()) == sorted((i is None, i or 0) for i in (1, 4, 7, 8, 9, 10, None, 11, 12))
+    kept = cut(spark, docs, folder)
+    assert ids(kept.collect()) == everyone
+    texts = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
+    assert texts[1] == texts[2] == texts[4] == ("", 0)  # each copy goes, and what is empty stays a document
+    assert texts[7] == ("One", 3)
+    assert {r.doc_id for r in pack(spark, docs, folder).collect()} == {i for i, _ in DOCS}
+
+
+def test_pipeline_drops_what_the_classifier_rejects(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels, truth = quality_case(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    whole = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    score = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.keep_good(spark, whole, str(tmp_path)).collect()}
+    assert kept == {i for i, s in score.items() if s >= 0.5} and 0 < len(kept) < len(score)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
