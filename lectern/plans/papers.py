@@ -152,32 +152,53 @@ def _packed(items: str, add: str, fits: str, start: str) -> str:
 
 _SENTENCES = rf"regexp_split_to_array(regexp_replace(p, '([.!?]){_SPACE}+', '\1' || chr(1), 'g'), chr(1))"
 _PARTS = rf"""
-parts AS (SELECT doc_id, j, regexp_replace(l[j], '^{_SPACE}+|{_SPACE}+$', '', 'g') AS p FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(j)),
+parts AS (SELECT doc_id, j, regexp_replace(l[j], '^{_SPACE}+|{_SPACE}+$', '', 'g') AS p FROM (SELECT doc_id, regexp_split_to_array(t, '\n\s*\n') AS l FROM src), unnest(range(1, len(l) + 1)) AS u(j)),
 closed AS (SELECT doc_id, j, p, CASE WHEN length(p) > 1500 THEN {_packed(_SENTENCES, "s.held || ' ' || x.held", "length(s.held) + 1 + length(x.held) < 1000", "x.held")} END AS r FROM parts WHERE p <> ''),
 pieces AS (SELECT doc_id, j, CASE WHEN r IS NULL THEN [p] ELSE list_append(r.done, r.held) END AS l FROM closed),
 paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j, k) - 1 AS para_no, trim(l[k]) AS paragraph FROM pieces, unnest(range(1, len(l) + 1)) AS u(k) WHERE trim(l[k]) <> '')"""
+_CHUNKS = f"""{_PARTS},
+w AS (SELECT *, {_LONG.format('paragraph')} AS ws, lag(paragraph) OVER (PARTITION BY doc_id ORDER BY para_no) AS before FROM paras), v AS (SELECT *, lag(ws) OVER (PARTITION BY doc_id ORDER BY para_no) AS wb FROM w),
+n AS (SELECT doc_id, para_no, paragraph, CASE WHEN before IS NULL OR (length(before) + length(paragraph) <= 800 AND len(regexp_extract_all(before || paragraph, '__(?:FORMULA|TABLE)_[0-9]+__')) <= 1 AND least(len(ws), len(wb)) > 0 AND len(list_intersect(ws, wb)) * 10 >= least(len(ws), len(wb)) * 3) THEN 0 ELSE 1 END AS new FROM v),
+g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY para_no) AS INT) AS group_index FROM n),
+t AS (SELECT doc_id, group_index, list(paragraph ORDER BY para_no) AS l FROM g GROUP BY ALL),
+r AS (SELECT doc_id, group_index, array_to_string(l, chr(10) || chr(10)) AS whole, {_packed("l", "s.held || chr(10) || chr(10) || x.held", "length(s.held) + length(x.held) <= 1000", "CASE WHEN length(s.last) < 100 THEN s.last || chr(10) || chr(10) || x.held ELSE x.held END")} AS r FROM t),
+c AS (SELECT doc_id, group_index, CASE WHEN length(whole) <= 1000 THEN [whole] ELSE list_append(r.done, r.held) END AS l FROM r),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY group_index, k) AS INT) AS chunk_seq, group_index, l[k] AS content FROM c, unnest(range(1, len(l) + 1)) AS u(k))"""
+_WORDS_IN = f"CAST(len(list_filter(regexp_split_to_array(@, '{_SPACE}+'), lambda x: x <> '')) AS INT)"
+_DOUBLED = "replace(text, chr(10), chr(10) || chr(10))"
 
 
-@query(f"WITH {_PARTS} SELECT doc_id, para_no, md5(paragraph) AS digest FROM paras", ints="para_no")
+@query(f"WITH src AS (SELECT doc_id, {_DOUBLED} AS t FROM documents), {_PARTS} SELECT doc_id, para_no, md5(paragraph) AS digest FROM paras", ints="para_no")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut at lines, and at sentences where lines are long; by digest, before anything is masked."""
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunking.paragraphs(docs, ["doc_id"], mask=False).select("doc_id", "para_no", F.md5(F.col("paragraph").cast("binary")).alias("digest"))
 
 
-@query(f"""WITH {_PARTS}, w AS (SELECT *, {_LONG.format('paragraph')} AS ws, lag(paragraph) OVER (PARTITION BY doc_id ORDER BY para_no) AS before FROM paras), v AS (SELECT *, lag(ws) OVER (PARTITION BY doc_id ORDER BY para_no) AS wb FROM w),
-n AS (SELECT doc_id, para_no, paragraph, CASE WHEN before IS NULL OR (length(before) + length(paragraph) <= 800 AND least(len(ws), len(wb)) > 0 AND len(list_intersect(ws, wb)) * 10 >= least(len(ws), len(wb)) * 3) THEN 0 ELSE 1 END AS new FROM v),
-g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY para_no) AS INT) AS group_index FROM n),
-t AS (SELECT doc_id, group_index, list(paragraph ORDER BY para_no) AS l FROM g GROUP BY ALL),
-r AS (SELECT doc_id, group_index, array_to_string(l, chr(10) || chr(10)) AS whole, {_packed("l", "s.held || chr(10) || chr(10) || x.held", "length(s.held) + length(x.held) <= 1000", "CASE WHEN length(s.last) < 100 THEN s.last || chr(10) || chr(10) || x.held ELSE x.held END")} AS r FROM t),
-c AS (SELECT doc_id, group_index, CASE WHEN length(whole) <= 1000 THEN [whole] ELSE list_append(r.done, r.held) END AS l FROM r)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY group_index, k) AS INT) AS chunk_seq, group_index, 'chunk_' || substr(md5(l[k]), 1, 12) AS chunk_id, 'text' AS content_type, 0 AS formula_count, CAST(length(l[k]) AS INT) AS character_count, CAST(len(list_filter(regexp_split_to_array(l[k], '{_SPACE}+'), lambda x: x <> '')) AS INT) AS word_count FROM c, unnest(range(1, len(l) + 1)) AS u(k)""")
+@query(f"WITH src AS (SELECT doc_id, {_DOUBLED} AS t FROM documents), {_CHUNKS} SELECT doc_id, chunk_seq, group_index, 'chunk_' || substr(md5(content), 1, 12) AS chunk_id, 'text' AS content_type, 0 AS formula_count, CAST(length(content) AS INT) AS character_count, {_WORDS_IN.replace('@', 'content')} AS word_count FROM chunks")
 def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into chunks, lines taken as paragraphs, nothing masked."""
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunking.chunk_texts(docs, ["doc_id"], mask=False).select("doc_id", "chunk_seq", "group_index", "chunk_id", "content_type", "formula_count", "character_count", "word_count")
 
 
+_SPECIAL = "(?s)" + "|".join(chunking.FORMULA_PATTERNS[:5]) + f"|(?i:{chunking.CURRENCY_PATTERN})|" + chunking.FORMULA_PATTERNS[5]
+#: Texts with formulas masked, and what the marks stand for. Captions aren't in it: no given text has "Table" or "Figure" with a number.
+_MASKED = f"""
+found AS (SELECT doc_id, {_DOUBLED} AS t, regexp_extract_all({_DOUBLED}, '{_SPECIAL}') AS m, string_split_regex({_DOUBLED}, '{_SPECIAL}') AS between FROM documents),
+flagged AS (SELECT *, list_transform(m, lambda x: NOT regexp_matches(x, '(?i){chunking.CURRENCY_PATTERN}')) AS f FROM found),
+numbered AS (SELECT *, list_transform(f, lambda b, i: CASE WHEN b THEN '__FORMULA_' || (len(list_filter(f[1:i], lambda z: z)) - 1) || '__' END) AS k FROM flagged),
+src AS (SELECT doc_id, between[1] || coalesce(array_to_string(list_transform(m, lambda x, i: coalesce(k[i], x) || between[i + 1]), ''), '') AS t, list_filter(list_transform(m, lambda x, i: {{'a': k[i], 'b': x}}), lambda x: x.a IS NOT NULL) AS kept FROM numbered)"""
+
+
+@query(f"""WITH {_MASKED}, {_CHUNKS}, whole AS (SELECT chunks.*, len(regexp_extract_all(content, '__FORMULA_[0-9]+__')) AS n, list_reduce(kept, lambda s, x: {{'a': replace(s.a, x.a, x.b), 'b': ''}}, {{'a': content, 'b': ''}}).a AS text FROM chunks JOIN src USING (doc_id))
+SELECT doc_id, chunk_seq, 'chunk_' || substr(md5(text), 1, 12) AS chunk_id, CASE WHEN n > 0 THEN 'formula' ELSE 'text' END AS content_type, CAST(n AS INT) AS formula_count, CAST(length(text) AS INT) AS character_count, {_WORDS_IN.replace('@', 'text')} AS word_count, group_index FROM whole""")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into chunks, lines taken as paragraphs, formulas kept whole."""
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return chunking.chunk_texts(docs, ["doc_id"]).select("doc_id", "chunk_seq", "chunk_id", "content_type", "formula_count", "character_count", "word_count", "group_index")
+
+
 # --- looked up one by one ------------------------------------------------------------------------
 
 

@@ -293,13 +293,6 @@ def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.group_paragraphs(tables.blocks(spark, sf_dir), ["doc_id"], "block_no", "text").select("doc_id", "block_no", "group_no")
 
 
-@query()
-def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document cut into chunks, lines taken as paragraphs."""
-    docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return chunking.chunk_texts(docs, ["doc_id"]).select("doc_id", "chunk_seq", "chunk_id", "content_type", "formula_count", "character_count", "word_count", "group_index")
-
-
 @query()
 def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = layout.page_texts(tables.blocks(spark, sf_dir))
