@@ -14,6 +14,18 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(storage.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+#: Pairs of rows of a label, by cosine; components by walking the links.
+OP1_SQL = """
+WITH RECURSIVE x AS (SELECT row_number() OVER () AS k, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM x WHERE v IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b, b.vec_id AS other FROM u a JOIN u b ON a.label = b.label AND a.k <> b.k AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS k, min(vec_id) AS least FROM r JOIN x ON x.k = r.b GROUP BY 1),
+n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(least, vec_id)), false) AS kept FROM x LEFT JOIN n USING (k) LEFT JOIN c USING (k)
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = storage.table(spark, sf_dir, "pages", "page_id", "url", "html")
     return warc.read(warc.write(pages, storage.fresh_dir(spark, "warc"))).drop("url")
@@ -31,6 +43,20 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: Every window of 200 bytes, by digest; text as hexadecimal digits, two for a byte.
+OP3_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, length(h) // 2 - 199)) AS t(i)),
+s AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+f AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM f),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, span),
+before AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a) AS head FROM before JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(from_hex(CASE WHEN last IS NULL THEN h ELSE head || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -75,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op3_suffix_array_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}
