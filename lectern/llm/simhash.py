@@ -3,10 +3,10 @@
 Documents with equal fingerprints are one node, named by their smallest id. For every distinct
 fingerprint its Hamming distances to ``PIVOTS`` fixed reference fingerprints are computed once and
 travel with it. By the triangle inequality two fingerprints within ``d`` differ by at most ``d`` in each of
-these coordinates, so a pair is discarded when its greatest coordinate difference exceeds ``d``; only
-survivors are compared bit by bit. To bring pairs together without comparing all with all, the 64
-bits are split into ``d + 2`` pieces: ``d`` differing bits leave two pieces equal, so nodes meet in a bucket
-for each pair of pieces. Large buckets are compared block by block (see ``buckets``); nothing is capped.
+these coordinates. That brings pairs together without comparing all with all: coordinates are dealt into cells, and a
+fingerprint stands in its own cell and, where it is within ``d`` of it, in the next one. Besides, of ``d + 1`` pieces of the bits at least one is
+the same in both. So they meet in the bucket of that piece and of the cells of some pivots (more of them for more fingerprints). In a bucket a pair is discarded when its greatest coordinate difference exceeds ``d``; only
+survivors are compared bit by bit. Large buckets are compared block by block (see ``buckets``); nothing is capped.
 
 ``similar_groups`` groups by the Jaccard similarity of word shingles instead, and loses no pair. Most pairs are found by
 fingerprints of ``WIDE`` bits: nodes meet where all of some sampled bits agree, in as many samples as ``miss`` asks for, and
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ from . import bpe, buckets, components, hashing, storage
 
 SEED = 42
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-PIVOTS = 16
-WIDE = 256
+PIVOTS = 32
+#: Width of the cells that pivot distances are dealt into.
+CELL = 8
+WIDE, WIDE_PIVOTS = 256, 16
 #: Standard deviations of a wide fingerprint's distance that a pair at the threshold is given.
 MARGIN = 2.0
 #: Places that a set's hashes are counted by; documents sampled for common shingles, and how many of these are used.
@@ -86,25 +88,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pieces(distance: int) -> list[int]:
-    """Masks that share out the 64 bits, two more of them than bits may differ."""
-    cuts = [round(64 * k / (distance + 2)) for k in range(distance + 3)]
+    """Masks that share out the 64 bits, one more of them than bits may differ."""
+    cuts = [round(64 * k / (distance + 1)) for k in range(distance + 2)]
     return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
 
 
-def pivot_table(nodes: DataFrame, distance: int) -> DataFrame:
-    """``nodes``: ``id, fp``. Returns ``id``, ``data`` (fingerprint and its distances to the pivots) and ``keys``."""
-    masks = [sum(pair) for pair in combinations(pieces(distance), 2)]
+def pivots_in_keys(n: int, distance: int) -> int:
+    """How many pivots' cells a key needs, beside a piece, for buckets of some 256 of ``n`` fingerprints; a cell is worth a little over a bit."""
+    return min(12, max(2, math.ceil((math.log2(max(n, 1)) - 64 // (distance + 1) - 8) / 1.2)))
+
+
+def pivot_table(nodes: DataFrame, distance: int, cells: int = 2) -> DataFrame:
+    """``nodes``: ``id, fp``. Returns ``id``, ``data`` (fingerprint and its distances to the pivots) and ``keys``: each piece with the cells of the first ``cells`` pivots."""
+    masks = np.array(pieces(distance), dtype=np.uint64)
+    width = max(CELL, distance + 1)
+    stir = np.random.default_rng(7927).integers(0, 1 << 63, cells, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(1).to_numpy().view(np.uint64)
             table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.uint8)
             data = np.concatenate([fp.view(np.uint8).reshape(-1, 8), table], axis=1)
-            mixed = (fp[:, None] & np.array(masks, dtype=np.uint64)[None, :]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(31)) ^ np.arange(len(masks), dtype=np.uint64)[None, :]) * np.uint64(0xBF58476D1CE4E5B9)
-            offsets = np.arange(0, len(fp) * len(masks) + 1, len(masks), dtype=np.int32)
-            keys = pa.ListArray.from_arrays(offsets, pa.array(mixed.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in data], pa.binary()), keys], names=["id", "data", "keys"])
+            near = table[:, :cells].astype(np.uint64)
+            lower, upper = near // np.uint64(width), (near + np.uint64(distance)) // np.uint64(width)
+            owners, keys = [], []
+            for choice in product((False, True), repeat=cells):  # the cell that a distance is in, and the next where it is that near
+                own = np.flatnonzero((upper != lower)[:, np.array(choice, dtype=bool)].all(axis=1))
+                cell = (np.where(choice, upper[own], lower[own]) + np.uint64(1)) * stir
+                place = hashing.mixed(cell.sum(axis=1, dtype=np.uint64))
+                for k, mask in enumerate(masks):
+                    owners.append(own)
+                    keys.append(hashing.mixed((fp[own] & mask) * np.uint64(hashing.BASE) ^ place ^ np.uint64(k)))
+            owner, key = np.concatenate(owners), np.concatenate(keys)
+            order = np.argsort(owner, kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(fp)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(key[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in data], pa.binary()), lists], names=["id", "data", "keys"])
 
     return nodes.mapInArrow(run, "id long, data binary, keys array<long>")
 
@@ -131,7 +150,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # min() passes over null ids; a fingerprint that only such rows have isn't a node
     nodes = prints.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null")
     nodes = storage.keep(nodes, "nodes")
-    found = buckets.links(storage.keep(pivot_table(nodes.select("id", "fp"), distance), "pivots"), within(distance))
+    table = pivot_table(nodes.select("id", "fp"), distance, pivots_in_keys(nodes.count(), distance))
+    found = buckets.links(storage.keep(table, "pivots"), within(distance))
     tied = components.connected_components(found.select("id", "root"))
     named = nodes.join(tied, nodes["id"] == tied["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = prints.join(named, "fp", "left")
@@ -189,7 +209,7 @@ def sampled_bits(bits: int, samples: int) -> np.ndarray:
 def wide_nodes(nodes: DataFrame, bits: int, samples: int) -> DataFrame:
     """``nodes``: ``id, fp``. Returns ``id``, ``data`` (fingerprint and its distances to the pivots) and ``keys``, each with the sample's number in its low bits."""
     chosen = sampled_bits(bits, samples)
-    reference = np.random.default_rng(103).integers(0, 2, (PIVOTS, WIDE), dtype=np.uint8)
+    reference = np.random.default_rng(103).integers(0, 2, (WIDE_PIVOTS, WIDE), dtype=np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +236,7 @@ def within_wide(distance: int, bits: int, samples: int):
         ones = [np.unpackbits(x[:, : WIDE // 8], axis=1).astype(np.float32) for x in (a, b)]
         # counts up to WIDE are exact in single precision
         linked = ones[0].sum(axis=1)[:, None] + ones[1].sum(axis=1)[None, :] - 2 * (ones[0] @ ones[1].T) <= distance
-        for k in range(PIVOTS):
+        for k in range(WIDE_PIVOTS):
             if max(int(ta[:, k].max()) - int(tb[:, k].min()), int(tb[:, k].max()) - int(ta[:, k].min())) > distance:  # else no pair is too far apart
                 linked &= np.abs(ta[:, k][:, None] - tb[:, k][None, :]) <= distance
         i, j = np.nonzero(linked)

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lectern.llm import buckets, components, embeddings, simhash, suffix
 
@@ -137,6 +138,20 @@ def test_simhash_against_all_pairs(spark, block, monkeypatch):
     assert collected(simhash.near_duplicates(documents(spark, rows))) == collected(spark.createDataFrame(want, "a long, b string, c long"))
 
 
+@pytest.mark.parametrize("distance, cells", [(2, 2), (2, 5), (5, 3), (0, 2)])
+def test_near_fingerprints_share_a_key(spark, distance, cells):
+    rng = random.Random(distance)
+    rows = []
+    for k in range(400):
+        a = b = rng.getrandbits(64)
+        for bit in rng.sample(range(64), rng.randrange(distance + 1)):
+            b ^= 1 << bit
+        rows += [(2 * k, a - (1 << 64) * (a >> 63)), (2 * k + 1, b - (1 << 64) * (b >> 63))]
+    table = simhash.pivot_table(spark.createDataFrame(rows, "id long, fp long"), distance, cells)
+    x, y = (table.where(f"id % 2 = {r}").selectExpr("id div 2 AS pair", f"keys AS k{r}") for r in (0, 1))
+    assert x.join(y, "pair").where(F.arrays_overlap("k0", "k1")).count() == 400
+
+
 def test_simhash_odd_rows(spark):
     got = {r.doc_id: r for r in simhash.near_duplicates(documents(spark, [(1, None), (2, ""), (3, " \n"), (None, prose(6, 40)), (4, "one TWO"), (5, "One two")])).collect()}
     assert got[1].fingerprint == "0" * 16 and got[2].component_id == got[3].component_id == 1
