@@ -199,6 +199,40 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_texts(docs, ["doc_id"]).select("doc_id", "chunk_seq", "chunk_id", "content_type", "formula_count", "character_count", "word_count", "group_index")
 
 
+def _merged(items: str, sep: str) -> str:
+    """SQL that merges a list of pieces up to 1000 characters, each beginning with up to 100 of the one before."""
+    kind = "STRUCT(done VARCHAR[], held VARCHAR[])"
+    joined = lambda l: f"coalesce(array_to_string({l}, {sep}), '')"
+    closed = lambda l: f"regexp_replace({joined(l)}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    added = lambda done, l: f"CASE WHEN {closed(l)} = '' THEN {done} ELSE list_append({done}, {closed(l)}) END"
+    rest = "s.held[k + 1:]"
+    first = f"(list_filter(range(0, len(s.held) + 1), lambda k: k = len(s.held) OR (length({joined(rest)}) <= 100 AND length({joined(rest)}) + length(x.held[1]) + length({sep}) <= 1000)))[1]"
+    step = f"""lambda s, x: CASE WHEN len(s.held) > 0 AND length({joined("list_append(s.held, x.held[1])")}) > 1000
+      THEN CAST({{'done': {added("s.done", "s.held")}, 'held': list_append(s.held[{first} + 1:], x.held[1])}} AS {kind}) ELSE CAST({{'done': s.done, 'held': list_append(s.held, x.held[1])}} AS {kind}) END"""
+    listed = f"list_transform({items}, lambda x: CAST({{'done': [], 'held': [x]}} AS {kind}))"
+    return f"(SELECT {added('r.done', 'r.held')} FROM (SELECT list_reduce({listed}, {step}, CAST({{'done': [], 'held': []}} AS {kind})) AS r))"
+
+
+def _level(name: str, source: str, keys: str, place: str, sep: str) -> str:
+    """SQL of one separator: ``<name>_long`` are the pieces left to the next one, ``<name>`` the merged ones."""
+    return f"""
+{name}_parts AS (SELECT {keys}, i AS {place}, l[i] AS part, NOT contains(t, {sep}) OR length(l[i]) >= 1000 AS long FROM (SELECT {keys}, t, string_split(t, {sep}) AS l FROM {source}), unnest(range(1, len(l) + 1)) AS u(i)),
+{name}_long AS (SELECT {keys}, {place}, part AS t FROM {name}_parts WHERE long),
+{name}_runs AS (SELECT *, sum(long::INT) OVER (PARTITION BY {keys} ORDER BY {place}) AS run FROM {name}_parts),
+{name}_lists AS (SELECT {keys}, min({place}) AS {place}, list(part ORDER BY {place}) AS l FROM {name}_runs WHERE NOT long AND part <> '' GROUP BY {keys}, run),
+{name} AS (SELECT {keys}, {place}, {_merged('l', sep)} AS l FROM {name}_lists)"""
+
+
+@query(f"""WITH {_PAGES}, texts AS (SELECT doc_id, page_num, page_text AS t FROM pages_of), {_level('line', 'texts', 'doc_id, page_num', 'j1', 'chr(10)')}, {_level('word', 'line_long', 'doc_id, page_num, j1', 'j2', "' '")},
+sign AS (SELECT doc_id, page_num, j1, j2, {_merged("string_split(t, '')", "''")} AS l FROM word_long WHERE t <> ''),
+every AS (SELECT doc_id, page_num, j1, 0 AS j2, l FROM line UNION ALL SELECT doc_id, page_num, j1, j2, l FROM word UNION ALL SELECT doc_id, page_num, j1, j2, l FROM sign)
+SELECT doc_id, page_num, CAST(row_number() OVER (PARTITION BY doc_id, page_num ORDER BY j1, j2, k) - 1 AS INT) AS piece_no, CAST(length(l[k]) AS INT) AS n, 'chunk_' || substr(md5(l[k]), 1, 12) AS chunk_id FROM every, unnest(range(1, len(l) + 1)) AS u(k)""")
+def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in pieces of a thousand characters. The SQL has no blank lines as separators; no given text has them."""
+    pages = layout.page_texts(tables.blocks(spark, sf_dir))
+    return chunking.split_fixed(pages, ["doc_id", "page_num"]).select("doc_id", "page_num", "piece_no", F.length("content").alias("n"), tx.chunk_id(F.col("content")).alias("chunk_id"))
+
+
 # --- looked up one by one ------------------------------------------------------------------------
 
 

@@ -293,12 +293,6 @@ def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.group_paragraphs(tables.blocks(spark, sf_dir), ["doc_id"], "block_no", "text").select("doc_id", "block_no", "group_no")
 
 
-@query()
-def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = layout.page_texts(tables.blocks(spark, sf_dir))
-    return chunking.split_fixed(pages, ["doc_id", "page_num"]).select("doc_id", "page_num", "piece_no", F.length("content").alias("n"), tx.chunk_id(F.col("content")).alias("chunk_id"))
-
-
 @query("SELECT d.doc_id, count(l.block_no) AS total_chunks, round(coalesce(avg(length(l.text)), 0), 6) AS average_chunk_size, count_if(contains(l.text, '$')) AS formula_chunks, count_if(contains(l.text, '|')) AS table_chunks, count_if(contains(l.text, '$')) > 0 AS has_formulas, count_if(contains(l.text, '|')) > 0 AS has_tables, count_if(length(l.text) BETWEEN 3 AND 60) AS sections_detected FROM documents d LEFT JOIN lines l USING (doc_id) GROUP BY 1".replace("SELECT d.doc_id", f"WITH {_LINES} SELECT d.doc_id", 1), longs="formula_chunks sections_detected table_chunks")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda c: F.contains("text", F.lit(c)).cast("int")
