@@ -43,10 +43,11 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-#: Every window of 200 bytes, by digest; text as hexadecimal digits, two for a byte.
+#: Every window of 200 bytes, by a hash of 64 bits; text as hexadecimal digits, two for a byte.
 OP3_SQL = """
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, length(h) // 2 - 199)) AS t(i)),
+l AS (SELECT doc_id, list_transform(range(0, length(h) // 2 - 199), lambda i: hash(substr(h, 2 * i + 1, 400))) AS ks FROM d),
+w AS MATERIALIZED (SELECT doc_id, unnest(range(0, len(ks))) AS i, unnest(ks) AS k FROM l),
 s AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
 f AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
 g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM f),
