@@ -36,7 +36,7 @@ BUCKETS = 1 << 14
 SIZE = 64
 NONZERO = 4
 REACH = 2
-PIECE = 1 << 20
+PIECE = 1 << 19
 TRAIN_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 40
