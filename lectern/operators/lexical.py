@@ -18,7 +18,7 @@ MOST_TERMS = 200_000
 
 @dataclass
 class LexicalIndex:
-    """``postings(term, chunk_id, tf, length)``, ``lengths(chunk_id, length)``, ``terms(term, df, idf)`` and ``totals(n, avg_length)`` (one row)."""
+    """``postings(term, chunk_id, tf)``, ``lengths(chunk_id, length)``, ``terms(term, df, idf)`` and ``totals(n, avg_length)`` (one row)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -31,8 +31,8 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
     the index (``sources.store``) where it is used more than once."""
     split = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("tokens"))
     lengths = split.select("chunk_id", F.size("tokens").alias("length"))
-    postings = split.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-    return counted(postings.select("term", "chunk_id", "tf", "length"), lengths)
+    postings = split.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return counted(postings, lengths)
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: s
     few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     some = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     weighted = index.terms.select("term", "idf").join(some(asked), "term")
-    found = index.postings.join(some(weighted), "term").join(F.broadcast(index.totals.select("avg_length")))
+    found = index.postings.join(some(weighted), "term").join(index.lengths, "chunk_id").join(F.broadcast(index.totals.select("avg_length")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(scored, top_k)

@@ -84,7 +84,9 @@ def save_lexical(index: lexical.LexicalIndex, path: str) -> None:
     """Postings are written first, and what follows from them is counted from the files."""
     spark = index.postings.sparkSession
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    sums = spark.read.parquet(f"{path}/postings").groupBy("chunk_id").agg(F.sum("tf").alias("length"))
+    lengths = index.lengths.select("chunk_id").join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("length", F.lit(0)).cast("int").alias("length"))
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     counted = lexical.counted(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
     counted.totals.write.mode("overwrite").parquet(f"{path}/totals")
     lexical.with_idf(lexical.frequencies(counted.postings), spark.read.parquet(f"{path}/totals")).write.mode("overwrite").parquet(f"{path}/terms")
