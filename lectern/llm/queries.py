@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, bpe, conversations, embeddings, packing, quality, simhash, storage, suffix, tokenbin, urlfilter, warc
+from . import alignment, ann, bpe, conversations, embeddings, mixing, packing, quality, simhash, storage, suffix, tokenbin, urlfilter, warc
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +101,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(storage.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(storage.table(spark, sf_dir, "documents", "doc_id", "text", "source"), with_text=False).taken()
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(storage.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_warc": op2_warc, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_simhash": op4_simhash, "op6_multi_index_hashing": op6_multi_index_hashing, "op7_url_filter": op7_url_filter, "op5_bpe": op5_bpe, "op8_quality": op8_quality, "op9_token_output": op9_token_output, "op10_packing": op10_packing, "op11_conversation_repair": op11_conversation_repair, "op13_token_alignment": op13_token_alignment}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_warc": op2_warc, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_simhash": op4_simhash, "op6_multi_index_hashing": op6_multi_index_hashing, "op7_url_filter": op7_url_filter, "op5_bpe": op5_bpe, "op8_quality": op8_quality, "op9_token_output": op9_token_output, "op10_packing": op10_packing, "op11_conversation_repair": op11_conversation_repair, "op12_source_mixing": op12_source_mixing, "op13_token_alignment": op13_token_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
