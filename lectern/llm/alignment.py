@@ -1,6 +1,6 @@
 """Alignment of two tokenizers' tokens, and how often their tokens end together in a corpus.
 
-``A`` is a byte-level BPE (a file of the tokenizers library), ``B`` one with pieces and byte fallback (a file of sentencepiece),
+``A`` is a byte-level BPE (a file of the tokenizers library, whose special tokens are plain text here), ``B`` one with pieces and byte fallback (a file of sentencepiece),
 which puts a space before a text; so ``A`` gets a space and the text. Places where tokens of both end cut
 a text into groups, and the last tokens of a group are linked.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,31 +33,39 @@ from pyspark.sql import functions as F
 
 from . import bpe, storage
 
-#: Words that a Python worker remembers, and links in them; beyond either it begins anew.
-REMEMBERED, LINKS = 300_000, 4_000_000
+#: Words that a Python worker remembers, and links in them; beyond either the half of the words seen most often stay, or none if that isn't enough.
+REMEMBERED, LINKS = 400_000, 4_000_000
 #: Before white space that both tokenizers take for it, behind a sign that neither does.
 EDGE = re.compile(r"(?<=\S)(?=[ \t\n])")
 MARK = "▁"
 
 
+def byte_level(spec: dict) -> dict[bytes, int]:
+    """Ids by bytes, of a byte-level BPE without its special tokens."""
+    back = {c: b for b, c in enumerate(bpe.byte_characters())}
+    model, special = spec["model"], {t["content"] for t in spec["added_tokens"]}
+    ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if ids != sorted(ids):
+        raise ValueError("ids must be in the order of merges")
+    return {bytes(back[c] for c in text): i for text, i in model["vocab"].items() if text not in special}
+
+
 class Tokens:
     """Both vocabularies: bytes of each id, and the identity map."""
 
     def __init__(self, path_a: str | None = None, path_b: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
         import sentencepiece
-        import tokenizers
+        import tiktoken
 
-        self.a = tokenizers.Tokenizer.from_file(path_a or public_tokenizers.path("byte_bpe_50k.json"))
-        self.a.encode_special_tokens = True
+        with open(path_a or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            vocabulary = byte_level(json.load(f))
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b or public_tokenizers.path("piece_bpe_32k.model"))
-        back = {c: b for b, c in enumerate(bpe.byte_characters())}
-        vocabulary = self.a.get_vocab()
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for text, i in vocabulary.items():
-            if all(c in back for c in text):
-                self.bytes_a[i] = bytes(back[c] for c in text)
+        for raw, i in vocabulary.items():
+            self.bytes_a[i] = raw
+        # with ids in the order of merges they are ranks, which the faster library takes
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         plain = [not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)) for i in range(len(pieces))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
@@ -85,7 +93,7 @@ class Tokens:
 
     def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of words on both sides. What ``B`` puts before a word is a space that the word has already, or else a token of its own."""
-        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        a = [*map(self.a.encode_ordinary, words)]
         spaced = [w[0] == " " for w in words]
         b = self.b.encode([w[1:] if s else w for w, s in zip(words, spaced)], num_threads=1)
         # before nothing it puts no space
@@ -105,21 +113,36 @@ class Words:
         self.both = both
         self.clear()
 
+    def forget(self) -> None:
+        """Half as many words as may be remembered stay, those seen most often."""
+        words = [*self.number]
+        kept = np.sort(np.argsort(-self.seen, kind="stable")[: REMEMBERED // 2])
+        sizes = np.diff(self.cuts)[kept]
+        if sizes.sum() > LINKS // 2:
+            return self.clear()
+        places = bpe.spread(self.cuts[kept], sizes)
+        self.number = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        self.n_a, self.n_b, self.seen = self.n_a[kept], self.n_b[kept], self.seen[kept] // 2
+        self.cuts, self.links, self.regular = np.concatenate([[0], np.cumsum(sizes)]), self.links[places], self.regular[places]
+
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.n_a = self.n_b = np.zeros(0, dtype=np.int64)
+        self.n_a = self.n_b = self.seen = np.zeros(0, dtype=np.int64)
         self.cuts, self.links = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.regular = np.zeros(0, dtype=bool)
 
     def add(self, words: list[str]) -> None:
         both = self.both
         a, b = both.encode(words)
-        join = lambda ids, side: b"".join(map(side.__getitem__, ids))
-        for i, w in enumerate(words):
-            raw = w.encode()
-            if join(a[i], both.bytes_a) != raw or join(b[i], both.bytes_b) != raw:
-                a[i] = b[i] = []  # no word has no tokens otherwise
+        raws = [w.encode() for w in words]
+        for ids, side in ((a, both.bytes_a), (b, both.bytes_b)):
+            own = [b"".join(map(side.__getitem__, x)) for x in ids]
+            if own != raws:
+                for i, (x, raw) in enumerate(zip(own, raws)):
+                    if x != raw:
+                        a[i] = b[i] = []  # no word has no tokens otherwise
         count = lambda side: np.array([len(x) for x in side], dtype=np.int64)
         n_a, n_b = count(a), count(b)
         flat_a, flat_b = (np.fromiter((i for x in side for i in x), dtype=np.int64) for side in (a, b))
@@ -136,6 +159,7 @@ class Words:
         self.number.update(zip(words, range(begin, begin + len(words))))
         self.groups += [";".join(rows[i:j]).encode() for i, j in zip([0, *cuts.tolist()], cuts.tolist())]
         self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), dtype=np.int64)])
         self.cuts = np.concatenate([self.cuts, self.cuts[-1] + cuts])
         self.links = np.concatenate([self.links, link_a * both.width + link_b])
         self.regular = np.concatenate([self.regular, single & (both.identity[link_a] == link_b)])
@@ -193,6 +217,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str | None, path_b: str
                 digests.append(hashlib.sha256(b";".join(map(known.groups.__getitem__, own.tolist()))).hexdigest() if len(own) else "")
                 links.append(mine[first])
                 times.append(np.diff(first, append=len(mine)))
+            known.seen += seen
             weights = np.repeat(seen, np.diff(known.cuts))
             some = known.regular & (weights > 0)
             np.add.at(vector, known.links[some] // both.width, weights[some])
@@ -200,7 +225,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str | None, path_b: str
             keys, counts = _summed(np.concatenate([keys, known.links[other]]), np.concatenate([counts, weights[other]]))
             yield batch_of(DOC, batch.column(0).slice(at, len(texts)), n_a, n_b, n_groups, digests, links, times)
             if len(known.number) > REMEMBERED or len(known.links) > LINKS:
-                known.clear()
+                known.forget()
     if kind is not None:
         some = np.flatnonzero(vector)
         yield batch_of(VECTOR, pa.nulls(1, kind), [0], [0], [0], [""], [some], [vector[some]])
