@@ -56,8 +56,7 @@ def search(index: lexical.LexicalIndex, chunks: DataFrame, queries: DataFrame, t
     before = filter_mode == "pre" and filters
     allowed = chunks.where(matches(chunks.columns, filters)) if before else chunks
     if before:
-        kept = allowed.select("chunk_id")
-        narrowed = lexical.LexicalIndex(index.postings.join(kept, "chunk_id", "left_semi"), index.lengths, index.terms, index.totals)
+        narrowed = index.within(allowed)
     else:
         narrowed = index
     by_words = lexical.search(narrowed, queries, 2 * top_k)

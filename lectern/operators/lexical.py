@@ -1,9 +1,24 @@
-"""BM25 over a table of chunks, for many questions at once."""
+"""BM25 over a table of chunks, for many questions at once.
+
+The index is made of blocks of chunks. A task counts the words of its own chunks, so nothing is shuffled to build it. A block has a row with its
+chunks' ids and lengths, and a row for each of its terms: the chunks that hold it, by their place in the block, how often, and the
+greatest count and least length among them, from which a bound on what the term can add to a score follows whatever the corpus' mean length comes to be.
+
+A search sends the questions' terms to the blocks' rows of these terms, brings a block's rows together, and there goes through each
+question's terms by falling bounds (MaxScore): once the best ``k`` so far can't be reached by the terms that are left, chunks not seen yet are passed over, and the
+lists that are left, those of the most frequent words, are only looked up for the chunks that may still come among the best. Each block sends on its ``k`` best for each question.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,37 +26,136 @@ from ..functions.text import tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
+#: Question terms that are sent to every task; more than that are joined by shuffling. Of so many, files are asked for these terms alone.
+MOST_TERMS, PUSHED_TERMS = 200_000, 500
+#: Rows of questions and terms that a block is searched for at once.
+ASKED_AT_ONCE = 500_000
+#: Chunks and tokens of a block, at most (but for one chunk of more tokens).
+BLOCK, BLOCK_TOKENS = 16_384, 4_000_000
+#: Scores count to six places; pruning leaves that much room.
+ROOM = 2e-6
+#: What ``functions.text.tokens`` finds, in Python.
+TOKEN = re.compile(r"\b[a-z]{3,}\b")
 
-#: Question terms that are sent to every task; more than that are joined by shuffling.
-MOST_TERMS = 200_000
+LIST, CHUNKS, DEAD, KEPT = "list", "chunks", "dead", "kept"
 
 
 @dataclass
 class LexicalIndex:
-    """``postings(term, chunk_id, tf)``, ``lengths(chunk_id, length)``, ``terms(term, df, idf)`` and ``totals(n, avg_length)`` (one row)."""
+    """``rows(block, kind, term, df, most_tf, least_length, places, tfs, ids, lengths)``, ``terms(term, df, idf)`` and ``totals(n, length, avg_length)`` (one row).
 
-    postings: DataFrame
-    lengths: DataFrame
+    Rows are of a ``kind``: a term's list; a block's chunks; places that were deleted; places that a filter keeps."""
+
+    rows: DataFrame
     terms: DataFrame
     totals: DataFrame
+    filtered: bool = False
 
+    def postings(self) -> DataFrame:
+        """``(block, place, term, tf)`` of all lists, deleted chunks included."""
+        return self.rows.where(F.col("kind") == LIST).select("block", "term", F.explode(F.arrays_zip("places", "tfs")).alias("x")).select("block", "x.places", "term", "x.tfs").toDF("block", "place", "term", "tf")
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> LexicalIndex:
-    """Counts of the chunks' tokens. Chunks without tokens count for the totals. Nothing is stored here: store
-    the index (``sources.store``) where it is used more than once."""
-    split = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("tokens"))
-    lengths = split.select("chunk_id", F.size("tokens").alias("length"))
-    postings = split.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return counted(postings, lengths)
+    def places(self) -> DataFrame:
+        """``(block, place, chunk_id, length)`` of all chunks, deleted ones included."""
+        return self.rows.where(F.col("kind") == CHUNKS).select("block", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "x")).select("block", "place", F.col("x.ids").alias("chunk_id"), F.col("x.lengths").alias("length"))
+
+    def within(self, chunk_ids: DataFrame) -> LexicalIndex:
+        """Searches find these chunks alone; statistics stay. Blocks' numbers follow from how chunks were dealt, so the index has to be stored or built of a table that is read as it lies."""
+        kept = self.places().join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("places"))
+        return LexicalIndex(self.rows.unionByName(kept.select("block", F.lit(KEPT).alias("kind"), "places"), allowMissingColumns=True), self.terms, self.totals, True)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
+    base, number = TaskContext.get().partitionId() << 20, 0
+    ids: list[pa.Array] = []
+    flat: list[str] = []
+    sizes: list[int] = []
 
-def frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    def block() -> Iterator[pa.RecordBatch]:
+        nonlocal number
+        lengths = np.array(sizes, dtype=np.int32)
+        n = len(lengths)
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        terms = coded.dictionary
+        order = pc.sort_indices(terms).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        keys = rank[coded.indices.to_numpy()] * n + np.repeat(np.arange(n), lengths)
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        tfs, term, places = np.diff(first, append=len(keys)).astype(np.int32), keys[first] // n, (keys[first] % n).astype(np.int32)
+        starts = np.searchsorted(term, np.arange(len(order)))
+        df = np.diff(starts, append=len(term)).astype(np.int32)
+        own = base + number
+        number += 1
+        chunk_ids = pa.concat_arrays(ids)
+        yield rows([own], CHUNKS, [None], [None], [None], [None], None, None, pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), chunk_ids), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(lengths)))
+        if not len(order):
+            return
+        highest, least = np.maximum.reduceat(tfs, starts), np.minimum.reduceat(lengths[places], starts)
+        ends = np.append(starts, len(term)).astype(np.int32)
+        names = terms.take(pa.array(order))
+        for i in range(0, len(order), 8192):
+            j = min(i + 8192, len(order))
+            lists = [pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i]), pa.array(x[ends[i] : ends[j]])) for x in (places, tfs)]
+            yield rows([own] * (j - i), LIST, names[i:j], df[i:j], highest[i:j], least[i:j], *lists, None, None)
 
+    def rows(own, kind, term, df, highest, least, places, tfs, chunk_ids, lengths):
+        numbers = pa.list_(pa.int32())
+        none = lambda x, t: pa.nulls(len(own), t) if x is None else x
+        arrays = [pa.array(own, pa.int64()), pa.array([kind] * len(own)), pa.array(term, pa.string()), *(pa.array(x, pa.int32()) for x in (df, highest, least)), none(places, numbers), none(tfs, numbers), none(chunk_ids, pa.list_(id_type)), none(lengths, numbers)]
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "kind", "term", "df", "most_tf", "least_length", "places", "tfs", "ids", "lengths"])
 
-def counted(postings: DataFrame, lengths: DataFrame) -> LexicalIndex:
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    return LexicalIndex(postings, lengths, with_idf(frequencies(postings), totals), totals)
+    id_type = pa.string()
+    for batch in batches:
+        id_type = batch.column(0).type
+        begin = 0
+        for i, text in enumerate(batch.column(1)):
+            found = TOKEN.findall((text.as_py() or "").lower())
+            flat += found
+            sizes.append(len(found))
+            if len(sizes) == most or len(flat) >= BLOCK_TOKENS:
+                ids.append(batch.column(0).slice(begin, i + 1 - begin))
+                begin = i + 1
+                yield from block()
+                ids.clear(), flat.clear(), sizes.clear()
+        if begin < len(batch):
+            ids.append(batch.column(0).slice(begin))
+    if sizes:
+        yield from block()
+
+
+def block_rows(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", block: int = BLOCK) -> DataFrame:
+    """The rows of an index of these chunks. Each row of ``chunks`` is a chunk of its own."""
+    kind = chunks.select(id_col).schema[0].dataType.simpleString()
+    numbers = "array<int>"
+    return chunks.select(id_col, text_col).mapInArrow(partial(_blocks, most=block), f"block long, kind string, term string, df int, most_tf int, least_length int, places {numbers}, tfs {numbers}, ids array<{kind}>, lengths {numbers}")
+
+
+def frequencies(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("kind") == LIST).groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def sums(rows: DataFrame) -> DataFrame:
+    """``(n, length)``: chunks and their tokens."""
+    chunks = rows.where(F.col("kind") == CHUNKS)
+    zero = F.lit(0).cast("long")
+    total = F.aggregate("lengths", zero, lambda a, x: a + x)
+    return chunks.agg(F.coalesce(F.sum(F.size("lengths")), zero).alias("n"), F.coalesce(F.sum(total), zero).alias("length"))
+
+
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", block: int = BLOCK) -> LexicalIndex:
+    """Counts of the chunks' tokens. Chunks without tokens count for the totals. Nothing is stored here: store
+    the index (``sources.lexical_store``) where it is used more than once."""
+    rows = block_rows(chunks, id_col, text_col, block)
+    return of_rows(rows, frequencies(rows), sums(rows))
+
+
+def of_rows(rows: DataFrame, frequencies: DataFrame, sums: DataFrame) -> LexicalIndex:
+    totals = sums.withColumn("avg_length", F.try_divide(F.col("length"), F.col("n")))
+    return LexicalIndex(rows, with_idf(frequencies, totals), totals)
 
 
 def with_idf(frequencies: DataFrame, totals: DataFrame) -> DataFrame:
@@ -51,18 +165,139 @@ def with_idf(frequencies: DataFrame, totals: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+class Block:
+    """The lists of a block's terms that are asked for, as ``{number: (places, tfs, bound of the part)}``, and what normalizes its chunks' counts."""
+
+    def __init__(self, lengths: np.ndarray, average: float, barred: np.ndarray | None):
+        self.norm = K1 * (1 - B + B * lengths / average)
+        self.average, self.barred = average, barred
+        self.lists: list[tuple[np.ndarray, np.ndarray, float]] = []
+        self.parts: dict[int, np.ndarray] = {}
+        self.seen = self.looked_up = 0
+
+    def add(self, places: np.ndarray, tfs: np.ndarray, most_tf: int, least_length: int) -> None:
+        self.lists.append((places, tfs, most_tf * (K1 + 1) / (most_tf + K1 * (1 - B + B * least_length / self.average))))
+
+    def part(self, i: int) -> np.ndarray:
+        if i not in self.parts:
+            places, tfs, _ = self.lists[i]
+            self.parts[i] = tfs * (K1 + 1) / (tfs + self.norm[places])
+        return self.parts[i]
+
+    def best(self, asked: list[tuple[float, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores, to six places, of chunks that may be among the ``k`` best for ``(weight, list)`` of a question; those that tie with the last included."""
+        n = len(self.norm)
+        score = np.zeros(n)
+        if self.barred is not None:
+            score[self.barred] = -np.inf
+        # what lowers scores comes first, so that from there on they only grow
+        order = sorted(asked, key=lambda x: (x[0] > 0, -x[0] * self.lists[x[1]][2]))
+        bounds = np.array([max(0.0, w) * self.lists[i][2] for w, i in order])
+        rest = np.append(np.cumsum(bounds[::-1])[::-1], 0.0)
+        at, least = 0, 0.0
+        for at, (weight, i) in enumerate(order):
+            places = self.lists[i][0]
+            if weight > 0 and at and len(places) * 8 > n and n > k:
+                least = max(0.0, float(np.partition(score, n - k)[n - k]))
+                if least - ROOM > rest[at]:
+                    break
+            score[places] += weight * self.part(i)
+            self.seen += len(places)
+        else:
+            at = len(order)
+        if at == len(order):
+            open_ = np.flatnonzero(score > 0)
+        else:
+            open_ = np.flatnonzero(score + rest[at] >= least - ROOM)
+            for left, (weight, i) in enumerate(order[at:], at):
+                places = self.lists[i][0]
+                where = np.searchsorted(places, open_)
+                hit = where < len(places)
+                hit[hit] = places[where[hit]] == open_[hit]
+                score[open_[hit]] += weight * self.part(i)[where[hit]]
+                self.looked_up += len(open_)
+                if len(open_) > k:
+                    own = score[open_]
+                    least = max(least, float(np.partition(own, len(own) - k)[len(own) - k]))
+                    open_ = open_[own + rest[left + 1] >= least - ROOM]
+        found = np.round(score[open_], 6)
+        if len(found) > k:
+            kept = found >= np.partition(found, len(found) - k)[len(found) - k]
+            open_, found = open_[kept], found[kept]
+        return open_[found > 0], found[found > 0]
+
+
+def _searcher(top_k: int):
+    def best(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        kinds = np.array(table.column("kind").to_pylist())
+        column = lambda c: table.column(c).combine_chunks()
+        query_type, id_type = table.schema.field("asking").type.value_type.field("query_id").type, table.schema.field("ids").type.value_type
+        empty = pa.table({"query_id": pa.array([], query_type), "chunk_id": pa.array([], id_type), "score": pa.array([], pa.float64())})
+        own, lists = np.flatnonzero(kinds == CHUNKS), np.flatnonzero(kinds == LIST)
+        average = table.column("avg_length")[0].as_py()
+        if not len(own) or not len(lists) or not average:
+            return empty
+        ids = column("ids")[int(own[0])].values
+        lengths = column("lengths")[int(own[0])].values.to_numpy()
+        places, tfs = column("places"), column("tfs")
+        flat = lambda i, c=places: c[int(i)].values.to_numpy(zero_copy_only=False)
+        barred = np.zeros(len(lengths), dtype=bool)
+        for i in np.flatnonzero(kinds == DEAD):
+            barred[flat(i)] = True
+        if len(kept := np.flatnonzero(kinds == KEPT)):
+            allowed = np.zeros(len(lengths), dtype=bool)
+            for i in kept:
+                allowed[flat(i)] = True
+            barred |= ~allowed
+        elif bool(table.column("filtered")[0].as_py()):
+            return empty
+        block = Block(lengths, average, barred if barred.any() else None)
+        most, least, asking = table.column("most_tf").to_pylist(), table.column("least_length").to_pylist(), column("asking")
+        questions: dict = {}
+        for i in lists.tolist():
+            block.add(flat(i), flat(i, tfs), most[i], least[i])
+            for x in asking[i].as_py():
+                key = x["query_id"]
+                questions.setdefault(tuple(key.values()) if isinstance(key, dict) else key, (key, []))[1].append((x["weight"], len(block.lists) - 1))
+        found = []
+        for key, asked in questions.values():
+            at, scores = block.best(asked, top_k)
+            if len(at) > top_k:  # ties: the smaller ids
+                names = ids.take(pa.array(at)).to_pylist()
+                order = sorted(range(len(at)), key=lambda i: (-scores[i], names[i] is not None, names[i]))[:top_k]
+                at, scores = at[order], scores[order]
+            found.append((key, at, scores))
+        if not sum(len(p) for _, p, _ in found):
+            return empty
+        keys = [key for key, p, _ in found for _ in range(len(p))]
+        return pa.table({"query_id": pa.array(keys, query_type), "chunk_id": ids.take(pa.array(np.concatenate([p for _, p, _ in found]))), "score": pa.array(np.concatenate([s for _, _, s in found]))})
+
+    return best
+
+
 def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: str = "query_id", question: str = "question") -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: scores above zero, to six places, the best ``top_k`` of each question. A
-    repeated word of a question counts each time."""
+    repeated word of a question counts each time. Before the last sort there are at most ``top_k`` rows for each question and block."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(question))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # a join on the term would bring a frequent term's postings to one task; few enough question terms go to the postings instead
-    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    wanted = asked.select("term").distinct().limit(MOST_TERMS + 1).toArrow().column("term")
+    few = len(wanted) <= MOST_TERMS
     some = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    weighted = index.terms.select("term", "idf").join(some(asked), "term")
-    found = index.postings.join(some(weighted), "term").join(index.lengths, "chunk_id").join(F.broadcast(index.totals.select("avg_length")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return ranked(scored, top_k)
+    weighted = some(asked).join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    # a block is searched for so many questions at once that its task stays small
+    parts = asked.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / ASKED_AT_ONCE)).alias("parts"))
+    dealt = weighted.join(F.broadcast(parts)).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")))
+    by_term = dealt.groupBy("part", "term").agg(F.collect_list(F.struct("query_id", "weight")).alias("asking"))
+    rows = index.rows
+    if few and len(wanted) <= PUSHED_TERMS:
+        rows = rows.where(F.col("term").isNull() | F.col("term").isin(wanted.to_pylist()))
+    lists = rows.join(some(by_term), "term", "left").where("asking IS NOT NULL OR term IS NULL")
+    every = lists.join(F.broadcast(parts)).withColumn("part", F.explode(F.when(F.col("part").isNull(), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))))
+    filtered = F.lit(index.filtered).alias("filtered")
+    grouped = every.join(F.broadcast(index.totals.select("avg_length"))).select("part", "block", "kind", "most_tf", "least_length", "places", "tfs", "ids", "lengths", "asking", "avg_length", filtered)
+    types = dict(asked.dtypes)["query_id"], dict(index.rows.dtypes)["ids"].removeprefix("array<")[:-1]
+    found = grouped.groupBy("part", "block").applyInArrow(_searcher(top_k), f"query_id {types[0]}, chunk_id {types[1]}, score double")
+    return ranked(found, top_k)
 
 
 def ranked(scored: DataFrame, top_k: int | None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import answers, catalog, chat, chunking, citations, hybrid, layout, lexical, metadata, vectors
-from ..sources import store
+from ..sources import lexical_store, store
 from . import tables
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .tables import COMMON_TERMS, QUERY_STEP
@@ -67,8 +67,8 @@ def _short(text: str, most: int, least: int) -> str:
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
     """Of all documents, stored, so that their texts are read and cut into words once."""
     folder = store.fresh_dir(spark, "lexical")
-    store.save_lexical(lexical.build_index(tables.contents(spark, sf_dir)), folder)
-    return store.load_lexical(spark, folder)
+    lexical_store.save(tables.contents(spark, sf_dir), folder)
+    return lexical_store.load(spark, folder)
 
 
 @query(f"WITH {_BM25}, src AS (SELECT br.*, text, 'chunk_' || substr(md5(text), 1, 12) AS content_id FROM br JOIN documents ON doc_id = chunk_id WHERE rank <= 10) SELECT query_id, chunk_id, content_id, score, rank, short AS snippet FROM ({_short('text', 200, 120)})", ints="rank")
@@ -82,7 +82,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf, CAST(sum(tf) AS BIGINT) AS total FROM idf JOIN post USING (term) GROUP BY ALL")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    totals = index.postings.groupBy("term").agg(F.sum("tf").alias("total"))
+    totals = index.postings().groupBy("term").agg(F.sum("tf").alias("total"))
     return index.terms.join(totals, "term").select("term", "df", F.round("idf", 6).alias("idf"), "total")
 
 

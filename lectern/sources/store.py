@@ -1,4 +1,4 @@
-"""Stored tables: chunk vectors in named indexes, the lexical index, citations."""
+"""Stored tables: chunk vectors in named indexes, citations. The lexical index is in ``lexical_store``."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import lexical
-
 MOST_BYTES = 50 * 1024 * 1024
 
 
@@ -80,26 +78,6 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save_lexical(index: lexical.LexicalIndex, path: str) -> None:
-    """Postings are written first, and what follows from them is counted from the files."""
-    spark = index.postings.sparkSession
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    sums = spark.read.parquet(f"{path}/postings").groupBy("chunk_id").agg(F.sum("tf").alias("length"))
-    lengths = index.lengths.select("chunk_id").join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("length", F.lit(0)).cast("int").alias("length"))
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    counted = lexical.counted(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
-    counted.totals.write.mode("overwrite").parquet(f"{path}/totals")
-    lexical.with_idf(lexical.frequencies(counted.postings), spark.read.parquet(f"{path}/totals")).write.mode("overwrite").parquet(f"{path}/terms")
-
-
-def load_lexical(spark: SparkSession, path: str, chunks: DataFrame | None = None) -> lexical.LexicalIndex:
-    """A saved index; built anew from ``chunks`` where there is none. Other failures are raised."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/terms/_SUCCESS")  # what is written last
-    if chunks is not None and not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-        return lexical.build_index(chunks)
-    return lexical.LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms", "totals")))
-
-
 def export_citations(citations: DataFrame, document_id=None) -> DataFrame:
     """Citations, of one document if asked, with their number and the time."""
     out = citations if document_id is None else citations.where(F.col("document_id") == F.lit(document_id))

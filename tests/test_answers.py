@@ -127,13 +127,14 @@ def test_streamed_documents(spark, tmp_path):
 
 def test_lexical_index_is_saved_and_rebuilt(spark, tmp_path):
     from lectern.operators import lexical
+    from lectern.sources import lexical_store
 
     chunks = spark.createDataFrame([("c1", "some words here"), ("c2", "other words")], "chunk_id string, content string")
     asked = spark.createDataFrame([(1, "some other")], "query_id long, question string")
-    store.save_lexical(lexical.build_index(chunks), str(tmp_path / "index"))
+    lexical_store.save(chunks, str(tmp_path / "index"))
     want = lexical.search(lexical.build_index(chunks), asked).collect()
-    assert lexical.search(store.load_lexical(spark, str(tmp_path / "index")), asked).collect() == want
-    assert lexical.search(store.load_lexical(spark, str(tmp_path / "none"), chunks), asked).collect() == want
+    assert lexical.search(lexical_store.load(spark, str(tmp_path / "index")), asked).collect() == want
+    assert lexical.search(lexical_store.load(spark, str(tmp_path / "none"), chunks), asked).collect() == want
 
 
 def test_entry_runs_and_sql_belongs_to_queries(spark, small):

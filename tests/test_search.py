@@ -67,6 +67,83 @@ def test_bm25_against_plain(spark, corpus, questions, partitions):
         assert all(abs(g[1] - w[1]) < 2e-6 for g, w in zip(got, want))
 
 
+def test_pruned_search_is_whole(spark, monkeypatch):
+    """Blocks of many sizes, ties, negative weights, and filters; what is passed over is never among the best."""
+    rng = random.Random(8)
+    words_ = [f"{a}{b}{c}" for a in "abcd" for b in "xyz" for c in "mn"]
+    weights = [1 / (i + 1) for i in range(len(words_))]
+    docs = {f"d{k:04}": " ".join(rng.choices(words_, weights, k=rng.choice([0, 1, 5, 60]))) for k in range(1500)}
+    table = spark.createDataFrame([*docs.items()], "chunk_id string, content string")
+    asked = [(q, " ".join(rng.choices(words_, k=rng.choice([1, 3, 12])))) for q in range(40)]
+    questions = spark.createDataFrame(asked, "query_id long, question string")
+    want = {q: ranked(plain_bm25(docs, text), 7) for q, text in asked}
+    for size in (1, 40, 10_000):
+        if size == 1:
+            assert lexical.build_index(table.limit(60).repartition(1), block=1).rows.where("kind = 'chunks'").count() == 60
+            continue
+        found = lexical.search(lexical.build_index(table.repartition(3), block=size), questions, 7).collect()
+        for q, _ in asked:
+            got = sorted((r["rank"], r.chunk_id, r.score) for r in found if r.query_id == q)
+            assert [(c, i) for i, c, _ in got] == [(c, i) for c, _, i in want[q]]
+            assert all(abs(s - w[1]) < 2e-6 for (_, _, s), w in zip(got, want[q]))
+    monkeypatch.setattr(lexical, "MOST_TERMS", 3)
+    monkeypatch.setattr(lexical, "ASKED_AT_ONCE", 10)
+    again = lexical.search(lexical.build_index(table.repartition(3)), questions, 7).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    some = lexical.build_index(table.repartition(1)).within(table.where("chunk_id like '%3'"))
+    alone = lexical.search(some, questions, 2000).collect()
+    assert {(q, k) for q, text in asked for k in plain_bm25(docs, text) if k.endswith("3")} == {(r.query_id, r.chunk_id) for r in alone}
+
+
+def test_lists_are_passed_over():
+    """A word of every chunk is looked up for a few chunks only, where a rare word has settled who is best."""
+    n = 4000
+    block = lexical.Block(np.full(n, 10), 10.0, None)
+    everywhere, rare = np.arange(n, dtype=np.int32), np.arange(0, n, 200, dtype=np.int32)
+    block.add(everywhere, np.ones(n, dtype=np.int32), 1, 10)
+    block.add(rare, np.arange(1, 21, dtype=np.int32), 20, 10)
+    at, scores = block.best([(0.1, 0), (8.0, 1)], 5)
+    assert set(at) == set(rare[-5:]) and block.seen == len(rare) and block.looked_up <= len(rare)
+
+
+def test_python_tokens_are_those_of_the_columns(spark):
+    texts = ["Delta-hedging THE_under x1ab ab abc, Ünabc café's naïve", "ﬁne ǅabc abc\u0301 ²abc abc³ İabc Kelvin K abcß", "a" * 50 + "\x85abc\u200babc", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.tokens(F.col("t")).alias("k")).collect()
+    assert all(lexical.TOKEN.findall(r.t.lower()) == r.k for r in rows)
+
+
+def test_segments_add_up(spark, tmp_path):
+    """Adding and deleting give the scores of an index built anew, before and after compaction."""
+    from lectern.sources import lexical_store
+
+    rng = random.Random(4)
+    docs = {k: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega", f"own{k % 7}"], k=rng.randrange(9))) for k in range(200)}
+    table = lambda keys: spark.createDataFrame([(k, docs[k]) for k in keys], "chunk_id long, content string").repartition(3)
+    asked = spark.createDataFrame([(1, "alpha own"), (2, "omega delta beta"), (3, "own beta gamma")], "query_id long, question string")
+    path = str(tmp_path / "index")
+    answers = lambda index: sorted(map(str, lexical.search(index, asked, 6).collect()))
+    same = lambda keys: answers(lexical_store.load(spark, path)) == answers(lexical.build_index(table(keys)))
+    lexical_store.add(table(range(80)), path)
+    lexical_store.add(table(range(80, 150)), path)
+    assert same(range(150))
+    ids = lambda keys: spark.createDataFrame([(k,) for k in keys], "chunk_id long")
+    lexical_store.delete(ids([*range(0, 150, 3), 999]), path)
+    assert same([k for k in range(150) if k % 3])
+    lexical_store.delete(ids([0, 3, 7]), path)  # two of them again
+    lexical_store.add(table([0, *range(150, 200)]), path)
+    left = [0, *(k for k in range(150) if k % 3 and k != 7), *range(150, 200)]
+    assert same(left)
+    before = answers(lexical_store.load(spark, path))
+    terms = sorted(map(str, lexical_store.load(spark, path).terms.collect()))
+    lexical_store.compact(spark, path, 64)
+    assert len(lexical_store.segments(spark, path)) == 1 and answers(lexical_store.load(spark, path)) == before
+    assert sorted(map(str, lexical_store.load(spark, path).terms.collect())) == terms
+    assert lexical_store.load(spark, path).rows.where("kind = 'dead'").count() == 0
+    assert lexical_store.load(spark, path).places().count() == len(left)
+    lexical_store.save(table(range(5)), path)
+    assert same(range(5))
+
+
 def test_frequent_terms_take_the_floor(corpus):
     rows = {r.term: r.idf for r in lexical.build_index(corpus).terms.collect()}
     raw = {t: math.log(5 - d + 0.5) - math.log(d + 0.5) for t, d in (("option", 3), ("measures", 2), ("sensitivity", 2), *((t, 1) for t in ("delta", "price", "vega", "volatility", "portfolio", "risk", "and", "return")))}
