@@ -32,6 +32,8 @@ MOST_TERMS, PUSHED_TERMS = 200_000, 500
 ASKED_AT_ONCE = 500_000
 #: Chunks and tokens of a block, at most (but for one chunk of more tokens).
 BLOCK, BLOCK_TOKENS = 16_384, 4_000_000
+#: Bytes for each core below which chunks are dealt anew.
+SMALL = 64 << 20
 #: Scores count to six places; pruning leaves that much room.
 ROOM = 2e-6
 #: What ``functions.text.tokens`` finds, in Python.
@@ -127,11 +129,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield from block()
 
 
+def spread(chunks: DataFrame, id_col: str) -> DataFrame:
+    """Chunks as they lie; where they are so few that a file or two holds them, and few tasks would do all, dealt over all cores first."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    size = int(str(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return chunks.repartition(cores, id_col) if size < cores * SMALL else chunks
+
+
 def block_rows(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", block: int = BLOCK) -> DataFrame:
     """The rows of an index of these chunks. Each row of ``chunks`` is a chunk of its own."""
     kind = chunks.select(id_col).schema[0].dataType.simpleString()
     numbers = "array<int>"
-    return chunks.select(id_col, text_col).mapInArrow(partial(_blocks, most=block), f"block long, kind string, term string, df int, most_tf int, least_length int, places {numbers}, tfs {numbers}, ids array<{kind}>, lengths {numbers}")
+    return spread(chunks.select(id_col, text_col), id_col).mapInArrow(partial(_blocks, most=block), f"block long, kind string, term string, df int, most_tf int, least_length int, places {numbers}, tfs {numbers}, ids array<{kind}>, lengths {numbers}")
 
 
 def frequencies(rows: DataFrame) -> DataFrame:
