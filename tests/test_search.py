@@ -243,7 +243,10 @@ def test_tokens(spark):
     assert got == [words(t or "") for t in texts]
 
 
-def test_vector_search_against_numpy(spark):
+@pytest.mark.parametrize("few", [vectors.FEW, 1])
+def test_vector_search_against_numpy(spark, monkeypatch, few):
+    """Queries sent to the scan, and both sides dealt into blocks."""
+    monkeypatch.setattr(vectors, "FEW", few)
     rng = np.random.default_rng(4)
     rows = [(k, rng.standard_normal(3).tolist()) for k in range(40)]
     rows += [(100, [float("nan"), 1.0, 1.0]), (101, None), (102, [1.0, None, 2.0]), (103, [float("inf"), 1.0, 1.0]), (104, [0.0, 0.0, 0.0]), (105, [1.0, 2.0]), (106, [2.0, 4.0]), (107, []), (108, [1e300, 1e300, 1e300]), (109, rows[0][1])]
@@ -259,3 +262,32 @@ def test_vector_search_against_numpy(spark):
         got = [(r.query_id, r.chunk_id, r.score + 0.0, r["rank"]) for r in vectors.search(table.repartition(parts), asked, 7, least).orderBy("query_id", "rank").collect()]
         assert got == want
     assert {r.chunk_id for r in vectors.similar(table, table.where("chunk_id = 0"), 3).collect()}.isdisjoint({0})
+
+
+def test_few_queries_leave_vectors_where_they_are(spark, small):
+    """Nothing is shuffled between the vectors' scan and the products; many queries still deal both sides."""
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").withColumnRenamed("vec_id", "chunk_id")
+    asked = rows.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = vectors.search(rows, asked, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in below and "embedding" in below and plan.count("Exchange") == 1
+    assert found.count() == 3 * asked.count()
+
+
+def test_best_of_many_batches():
+    """Running bests over batches, with ties and null ids, are those of all scores."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    scores = np.round(rng.random((3, 400)), 1)
+    scores[1, :] = -np.inf
+    ids = [None, *map(str, rng.permutation(399))]
+    best = vectors.Best(3, 7)
+    for a in range(0, 400, 50):
+        best.add(0, scores[:, a : a + 50], pa.array(ids[a : a + 50]))
+        if a % 100:
+            best.settle()
+    query, score, found = best.settle()
+    want = [(q, s, i) for q in (0, 2) for s, i in sorted(((s, i) for s, i in zip(scores[q], ids)), key=lambda x: (-x[0], x[1] is not None, x[1]))[:7]]
+    assert [*zip(query.tolist(), score.tolist(), found.to_pylist())] == want
