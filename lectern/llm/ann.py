@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
 from .embeddings import usable
 
 SAMPLE = 4000
@@ -132,28 +133,29 @@ class Index:
         return rows[hamming(code[None, :], self.codes[rows])[0] <= radius]
 
 
-def search_block(coder: Coder, index_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
-    """``(query id, id, score)`` of the best ``k`` of the block for each query."""
+def search_block(coder: Coder, index_ids: np.ndarray, index_rows: np.ndarray, x: np.ndarray, query_rows: np.ndarray, q: np.ndarray, k: int):
+    """``(query row, id, row, score)`` of the best ``k`` of the block for each query; a row isn't its own neighbour."""
     index, codes = Index(coder.codes(x)), coder.codes(q, query=True)
     rough = (x / coder.longest).astype(np.float32)
     rough_q = (q / np.sqrt((q * q).sum(axis=1, keepdims=True))).astype(np.float32)
-    for qid, vector, direction, code in zip(query_ids.tolist(), q, rough_q, codes):
+    for own, vector, direction, code in zip(query_rows.tolist(), q, rough_q, codes):
         rows = index.near(code, coder.radius)
-        rows = rows[index_ids[rows] != qid]
+        rows = rows[index_rows[rows] != own]
         if len(rows) < k:
-            rows = np.flatnonzero(index_ids != qid)
+            rows = np.flatnonzero(index_rows != own)
         if len(rows) > 2 * k:  # double precision settles the order; this leaves room for single precision's rounding
             scores = rough[rows] @ direction
             rows = rows[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-5]
         scores = (x[rows] * vector).sum(axis=1)
-        best = np.lexsort((index_ids[rows], -scores))[:k]
-        yield np.full(len(best), qid), index_ids[rows[best]], scores[best]
+        best = np.lexsort((index_rows[rows], index_ids[rows], -scores))[:k]
+        yield np.full(len(best), own), index_ids[rows[best]], index_rows[rows[best]], scores[best]
 
 
 def search(embeddings: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
-    """``(query_id, rank, <id>, score)`` for the rows where ``is_query`` holds, against all rows."""
+    """``(query_id, rank, <id>, score)`` for the rows where ``is_query`` holds, against all other rows. Rows are numbered when they are stored, as ids may repeat: each
+    query row has a list of its own, and another row with its id is a candidate."""
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
-    rows = rows.where(usable(F.col("vector")) & F.col("id").isNotNull())
+    rows = storage.keep(rows.where(usable(F.col("vector")) & F.col("id").isNotNull()).withColumn("row", F.monotonically_increasing_id()), "vectors")
     lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
     found = [_search(rows.where(F.size("vector") == n), n, k) for n in lengths]
     if not found:
@@ -172,14 +174,14 @@ def _search(rows: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(held):
             table = pa.Table.from_batches(held).combine_chunks()
-            ids, query = table.column("id").to_numpy(), table.column("query").to_numpy()
+            ids, numbers, query = (table.column(c).to_numpy() for c in ("id", "row", "query"))
             flat = table.column("vector").chunk(0).flatten().to_numpy(zero_copy_only=False)
             x = flat.astype(np.float64).reshape(len(ids), length)
             if query.all() or not query.any():
                 return
-            parts = [*zip(*search_block(coder, ids[~query], x[~query], ids[query], x[query], k))]
+            parts = [*zip(*search_block(coder, ids[~query], numbers[~query], x[~query], numbers[query], x[query], k))]
             columns = [np.concatenate(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2])], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "id", "row", "score"])
 
         held, unit = [], None
         for batch in batches:
@@ -196,12 +198,13 @@ def _search(rows: DataFrame, length: int, k: int) -> DataFrame:
         if held:
             yield from work(held)
 
-    block = lambda n: F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(n)).cast("int")
-    columns = ["i", "j", "query", "id", "vector"]
+    block = lambda n: F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(n)).cast("int")
+    columns = ["i", "j", "query", "id", "row", "vector"]
     indexed = rows.withColumns({"i": block(index_blocks), "j": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))), "query": F.lit(False)}).select(columns)
     asked = rows.where("is_query").withColumns({"j": block(query_blocks), "i": F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))), "query": F.lit(True)}).select(columns)
     tasks = max(index_blocks * query_blocks, 1)
     dealt = indexed.union(asked).repartition(min(tasks, 100_000), "i", "j").sortWithinPartitions("i", "j", "query")
-    best = dealt.mapInArrow(run, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    best = dealt.mapInArrow(run, "query long, id long, row long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "row")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    return ranked.join(rows.where("is_query").select(F.col("row").alias("query"), F.col("id").alias("query_id")), "query").select("query_id", "rank", "id", "score")

@@ -2,11 +2,13 @@
 
 Each task packs its own rows as they come. ``level[h]`` counts the open windows filled to ``h``. A
 document's last piece of ``r`` ids goes to the fill level where the sum of the squared counts grows
-least (a new window is level 0); everything that fills a window whole goes out at once. When a task
-has no more rows, or more than ``most_open`` windows (a parameter that bounds its memory) are open, the emptiest open windows are cut up
+least (a new window is level 0); everything that fills a window whole goes out at once. A piece may also be cut: its beginning fills a window
+of the level with the most windows (among those with a gap smaller than the piece), and the rest is placed in turn. That counts as a choice like the others, at a price of
+``CUT`` squares, so it is taken where a level has grown high. A level that lengths can't fill otherwise therefore stays about that high, and a task holds some
+``CUT`` windows for each level at most. When a task has no more rows, the emptiest open windows are cut up
 to fill the fullest, and the one that may remain is cut into windows of a power of two, which need
-no padding. So a task holds at most ``most_open`` windows of ids, and nothing is shuffled. Lengths are as good as random,
-so a new level is rarely the complement of an old one: the more documents a task has, the larger the share of windows that placing alone fills.
+no padding. Nothing is shuffled. Lengths are as good as random, so a new level is rarely the complement of an old one: the more documents a task has, the larger the share of
+windows that placing alone fills (``placed``, ``cut`` and ``settled`` of ``SumOfSquares`` count them).
 
 Defined cases: null and empty texts are documents of the end id alone; documents of over a window are cut
 into whole windows and a rest, so any length works; equal rows are packed one by one; a null
@@ -27,16 +29,17 @@ from . import bpe
 
 CAPACITY = 2048
 END_ID = 1
-MOST_OPEN = 4096
+#: What a cut costs, in squares of counts.
+CUT = 2.0
 COLUMNS = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 class SumOfSquares:
     """Places pieces; ``emit(piece, start, ids, window, offset)`` gets each when its window is settled."""
 
-    def __init__(self, capacity: int, emit: Callable, most_open: int = MOST_OPEN):
-        self.capacity, self.emit, self.windows, self.most_open = capacity, emit, 0, most_open
-        self.filled = self.settled = 0  # windows filled by placing alone, and by cutting up others
+    def __init__(self, capacity: int, emit: Callable, price: float = CUT):
+        self.capacity, self.emit, self.windows, self.price = capacity, emit, 0, price
+        self.placed = self.cut = self.settled = 0  # windows filled by a piece that fits, by the beginning of one, and by cutting up others at the end
         self.level = np.zeros(capacity + 1, dtype=np.int64)
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(capacity + 1)]
         self.n_open = 0
@@ -50,29 +53,44 @@ class SumOfSquares:
         for at in range(0, whole, size):
             self.emit(tag, at, ids[at : at + size], self.new_window(), 0)
         rest = ids[whole:]
-        if not len(rest):
-            return
-        r, level = len(rest), self.level
+        while len(rest):
+            rest, whole = self.place(tag, whole, rest)
+
+    def place(self, tag, start: int, ids: np.ndarray) -> tuple[np.ndarray, int]:
+        """Puts a piece, or its beginning, where the sum of squares grows least; returns what is left of it, and where that starts."""
+        size, r, level = self.capacity, len(ids), self.level
         # change of the sum of squares, halved: N[h+r] - N[h] + 1; a filled window no longer counts
         change = level[r:size] - level[: size - r] + 1.0
         change[level[: size - r] == 0] = np.inf
         change[0] = level[r] + 0.5
         h = int(change.argmin())
-        if level[size - r] and 0.5 - level[size - r] <= change[h]:
-            h = size - r
+        least = change[h]
+        if level[size - r] and 0.5 - level[size - r] <= least:
+            h, least = size - r, 0.5 - level[size - r]
+        if r > 1:
+            fullest = size - 1 - int(level[size - r + 1 : size][::-1].argmax())
+            left = r - (size - fullest)
+            if level[fullest] and 0.5 - level[fullest] + level[left] + 0.5 + self.price < least:
+                gap = size - fullest
+                pieces = self.open[fullest].pop()
+                pieces.append((tag, start, ids[:gap]))
+                level[fullest] -= 1
+                self.n_open -= 1
+                self.cut += 1
+                self.close(pieces)
+                return ids[gap:], start + gap
         pieces = self.open[h].pop() if h else []
-        pieces.append((tag, whole, rest))
+        pieces.append((tag, start, ids))
         level[h] -= h > 0
         self.n_open -= h > 0
         if h + r == size:
-            self.filled += 1
+            self.placed += 1
             self.close(pieces)
-            return
-        self.open[h + r].append(pieces)
-        level[h + r] += 1
-        self.n_open += 1
-        if self.n_open > self.most_open:
-            self.settle(keep_last=True)
+        else:
+            self.open[h + r].append(pieces)
+            level[h + r] += 1
+            self.n_open += 1
+        return ids[r:], start + r
 
     def close(self, pieces: list) -> None:
         window, at = self.new_window(), 0
@@ -80,7 +98,7 @@ class SumOfSquares:
             self.emit(tag, start, ids, window, at)
             at += len(ids)
 
-    def settle(self, keep_last: bool = False) -> None:
+    def settle(self) -> None:
         """Fill the fullest open windows with ids cut from the emptiest."""
         held = [p for h in range(self.capacity, 0, -1) for p in self.open[h]]
         self.open = [[] for _ in range(self.capacity + 1)]
@@ -109,9 +127,6 @@ class SumOfSquares:
             rest, fill = held[first], fills[first]
             if fill == self.capacity:
                 self.close(rest)
-            elif keep_last:
-                self.open[fill].append(rest)
-                self.level[fill] = self.n_open = 1
             else:
                 self.powers_of_two(rest, fill)
 
@@ -129,7 +144,7 @@ class SumOfSquares:
                 self.close(own)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, most_open: int = MOST_OPEN) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, price: float = CUT) -> DataFrame:
     """One row for each piece of a document: where it starts in the document's ids (each document
     ends with ``END_ID``), its length, the CRC-32 of its ids as little-endian unsigned 32-bit
     numbers, the document's length, and its window and place there; with the ids themselves if
@@ -153,7 +168,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 arrays.append(pa.array([x.tolist() for x in columns[7]], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        packer, id_type = SumOfSquares(capacity, emit, most_open), pa.int64()
+        packer, id_type = SumOfSquares(capacity, emit, price), pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
             keys = batch.column(0)

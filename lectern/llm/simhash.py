@@ -1,6 +1,6 @@
 """Near-duplicate documents by SimHash, compared with pivot distance tables.
 
-Documents with equal fingerprints are one node, named by their smallest id. For every distinct
+Documents with equal fingerprints are one node. For every distinct
 fingerprint its Hamming distances to ``PIVOTS`` fixed reference fingerprints are computed once and
 travel with it. By the triangle inequality two fingerprints within ``d`` differ by at most ``d`` in each of
 these coordinates. That brings pairs together without comparing all with all: coordinates are dealt into cells, and a
@@ -17,7 +17,7 @@ of all shingles, the first ``n - ceil(t n) + 1`` of each share one), but only wh
 don't rule out is compared exactly too.
 
 Defined cases: a null text is an empty one and has fingerprint zero, which is linked like any other; texts of
-any length are read whole; equal rows share a fingerprint and so a component; a row without an id
+any length are read whole; equal rows share a fingerprint and so a component; rows that share an id but not the text are documents of their own; a row without an id
 doesn't name a component but has the one of its fingerprint, if any row with an id shares it or links to it;
 other columns are left alone; an empty table gives no rows.
 """
@@ -31,7 +31,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, buckets, components, hashing, storage
@@ -145,16 +145,17 @@ def within(distance: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """``(id, fingerprint, component_id)`` of every row."""
+    """``(id, fingerprint, component_id)`` of every row. Rows that share an id are rows of their own, each in its own text's component."""
     prints = storage.keep(fingerprints(docs, id_col, text_col, shingle), "prints")
-    # min() passes over null ids; a fingerprint that only such rows have isn't a node
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null")
-    nodes = storage.keep(nodes, "nodes")
-    table = pivot_table(nodes.select("id", "fp"), distance, pivots_in_keys(nodes.count(), distance))
-    found = buckets.links(storage.keep(table, "pivots"), within(distance))
+    # a fingerprint is its own number, as ids may repeat; min() passes over null ids, and a fingerprint that only such rows have isn't a node
+    nodes = storage.keep(prints.groupBy("fp").agg(F.min("id").alias("first")).where("first is not null"), "nodes")
+    table = storage.keep(pivot_table(nodes.select(F.col("fp").alias("id"), "fp"), distance, pivots_in_keys(nodes.count(), distance)), "pivots")
+    found = buckets.links(table, within(distance))
     tied = components.connected_components(found.select("id", "root"))
-    named = nodes.join(tied, nodes["id"] == tied["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    out = prints.join(named, "fp", "left")
+    placed = storage.keep(nodes.join(tied, nodes["fp"] == tied["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "placed")
+    storage.discard(table, nodes)
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    out = prints.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -357,7 +358,7 @@ def shingle_bytes(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """``(id, data, counts, keys)``: of each document's set of shingles the wide fingerprint and a digest, its size and how many hashes fall to each of ``COUNTS`` places
+    """``(id, key, data, counts, keys)``, ``key`` the text's MD5: of each document's set of shingles the wide fingerprint and a digest, its size and how many hashes fall to each of ``COUNTS`` places
     (255 at most), and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,15 +371,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
                     held = np.bincount((x % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
                     counts.append(np.array([len(x)], dtype="<i8").tobytes() + np.minimum(held, 255).astype(np.uint8).tobytes())
                     keys.append(prefix(x, similarity, last).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(data, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "data", "counts", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(data, pa.binary()), pa.array(counts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "key", "data", "counts", "keys"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, data binary, counts binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col, text_key(text_col)).mapInArrow(run, "id long, key string, data binary, counts binary, keys array<long>")
 
 
-def confirmed(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``members``: ``id, keys``. Links of the sets that are similar enough among those that share a key; exact."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(members.select("id"), "id", "left_semi")
-    sets = shingle_bytes(texts, "id", text_col, shingle).groupBy("id").agg(F.max("data").alias("data"))
+def text_key(text_col: str) -> Column:
+    """What tells rows that share an id apart."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def confirmed(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``members``: ``id, keys``, of ``nodes``: ``id, first``. Links of the sets that are similar enough among those that share a key; exact."""
+    named = members.join(nodes.select("id", "first"), "id").select(F.col("id").alias("node"), F.col("first.id").alias("id"), F.col("first.key").alias("key"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("key")).join(named, ["id", "key"])
+    sets = shingle_bytes(texts.select("node", "text"), "node", "text", shingle).groupBy("id").agg(F.max("data").alias("data"))  # equal rows have equal sets
     rows = storage.keep(sets.join(members, "id").select("id", "data", "keys"), "sets")
     found = storage.keep(buckets.links(rows, jaccard_at_least(similarity), block=256, load=buckets.arrays).select("id", "root"), "found")
     storage.discard(rows)
@@ -404,14 +411,17 @@ def across(rows: DataFrame, tied: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "id long, data binary, keys array<long>")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
-    """``(id, component_id)`` of the rows that aren't the smallest id of their group. Texts without
-    words make a group. ``miss`` only says how much of the work the fingerprints take from the prefixes."""
+def fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
+    """``(id, key, component_id, kept)`` of each distinct id and text (by ``text_key``), null ids left out. Kept is of each group the row with the smallest id, and of
+    those that share it the one with the smallest key. Texts without words make a group. ``miss`` only says how much of the work the fingerprints take from the prefixes."""
     common = common_shingles(docs, id_col, text_col, shingle)
-    prints = storage.keep(sketches(docs, id_col, text_col, shingle, similarity, common), "prints")
-    nodes = storage.keep(prints.groupBy("data").agg(F.min("id").alias("id")).where("id is not null"), "nodes")
+    prints = storage.keep(sketches(docs, id_col, text_col, shingle, similarity, common).withColumn("row", F.monotonically_increasing_id()), "prints")
+    # a node is a distinct set of shingles, numbered by one of its rows, as ids may repeat
+    each = prints.where("id is not null").groupBy("data").agg(F.min(F.struct("id", "key", "row")).alias("first"))
+    nodes = storage.keep(each.select(F.col("first.row").alias("id"), "data", F.struct("first.id", "first.key").alias("first")), "nodes")
     agree = agreement(similarity)
-    bits = min(40, max(8, math.ceil(math.log2(max(nodes.count(), 1) / 256)) if nodes.count() > 256 else 8))
+    n = nodes.count()
+    bits = min(40, max(8, math.ceil(math.log2(max(n, 1) / 256)) if n > 256 else 8))
     samples = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
     distance = math.ceil(WIDE * (1 - agree) + MARGIN * math.sqrt(WIDE * agree * (1 - agree)))
     wide = wide_nodes(nodes.select("id", F.substring("data", 1, WIDE // 8).alias("fp")), bits, samples)
@@ -420,24 +430,38 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # sets are compared in the buckets that brought their fingerprints together, at most one for each sample
     members = storage.keep(near.groupBy("id").agg(F.collect_set("key").alias("keys")), "near")
     storage.discard(wide)
-    first = confirmed(docs, members, id_col, text_col, shingle, similarity)
+    first = confirmed(docs, members, nodes, id_col, text_col, shingle, similarity)
     tied = storage.keep(components.connected_components(first), "tied")
+    storage.discard(members, first)
     # pairs that fingerprints missed share a shingle of their prefixes
-    rows = prints.select("id", "counts", "keys").join(nodes.select("id"), "id", "left_semi")
+    rows = prints.select(F.col("row").alias("id"), "counts", "keys").join(nodes.select("id"), "id", "left_semi")
     mixed = storage.keep(across(rows, tied), "across")
     loose = storage.keep(components.connected_components(buckets.links(mixed, within_counts(similarity)).select("id", "root")), "loose")
     storage.discard(mixed)
     members = loose.select(F.col("node").alias("id"), "component").union(loose.select(F.col("component").alias("id"), "component")).distinct()
-    more = confirmed(docs, members.select("id", F.array("component").alias("keys")), id_col, text_col, shingle, similarity)
+    more = confirmed(docs, members.select("id", F.array("component").alias("keys")), nodes, id_col, text_col, shingle, similarity)
     tied = components.connected_components(tied.toDF("id", "root").union(more))
-    named = nodes.join(tied, nodes["id"] == tied["node"], "left").select("data", F.coalesce("component", "id").alias("component_id"))
-    out = prints.select("id", "data").join(named, "data")
-    return out.where("id is not null and id <> component_id").select(F.col("id").alias(id_col), "component_id").distinct()
+    placed = storage.keep(nodes.join(tied, nodes["id"] == tied["node"], "left").select("data", "first", F.coalesce("component", "id").alias("root")), "placed")
+    best = placed.groupBy("root").agg(F.min("first").alias("best"))
+    named = placed.select("data", "root").join(best, "root").select("data", "best")
+    out = prints.where("id is not null").select("id", "key", "data").distinct().join(named, "data")
+    return out.select("id", "key", F.col("best.id").alias("component_id"), ((F.col("id") == F.col("best.id")) & (F.col("key") == F.col("best.key"))).alias("kept"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.01) -> DataFrame:
+    """``(id, component_id)`` of the rows that aren't kept."""
+    return fates(docs, id_col, text_col, shingle, similarity, miss).where("NOT kept").select(F.col("id").alias(id_col), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of ``similar_groups``, that with the smallest id; of rows that share an id one stays."""
-    gone = similar_groups(docs, id_col, text_col, shingle, similarity).select(id_col)
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """One row of each group of ``fates``. Rows that share an id are documents of their own: with unlike texts all stay, and of those in one group the one with the
+    smallest MD5 does; of rows with equal id and text the first by all their columns. Rows without an id all stay."""
+    gone = fates(docs, id_col, text_col, shingle, similarity).where("NOT kept").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    marked = docs.withColumn("_key", text_key(text_col))
+    kept = marked.join(gone.withColumnRenamed("_key", "_gone"), (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_gone")), "left_anti")
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull())) if repeated else kept
+    if not repeated:
+        return kept.select(docs.columns)
+    whole = F.struct(*docs.columns)
+    once = kept.where(F.col(id_col).isNotNull()).groupBy(id_col, "_key").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return once.unionByName(kept.where(F.col(id_col).isNull()).select(docs.columns))

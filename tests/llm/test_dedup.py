@@ -123,6 +123,7 @@ def test_simhash_against_all_pairs(spark, block, monkeypatch):
     monkeypatch.setattr(buckets.links, "__defaults__", (block, *buckets.links.__defaults__[1:]))
     rng = random.Random(2)
     rows = [r for r in DOCS if r[0] not in (8, None)]
+    rows += [(1, prose(77, 90)), (7, prose(78, 90)), (0, prose(78, 89) + " end"), (7, prose(1, 120))]  # ids that repeat with other texts
     for k in range(20, 140):
         words = prose(k % 9, 150).split()
         for _ in range(rng.randrange(4)):
@@ -180,6 +181,18 @@ def test_similar_groups(spark):
     assert sorted(i for i in ids if i is not None) == sorted(i for i, _ in rows if i not in want) and ids.count(None) == 1
 
 
+def test_repeated_ids_lose_no_text(spark):
+    """Ids that repeat with different texts: each text has its own group, and what stays doesn't depend on the order of rows."""
+    a, b = prose(11, 80), prose(12, 80)
+    rows = [(1, a), (1, b), (2, " ".join(a.split()[:-2])), (3, " ".join(b.split()[:-2])), (9, prose(13, 50)), (9, prose(13, 50)), (4, a), (9, prose(13, 50) + " more")]
+    for parts in (1, 3):
+        docs = documents(spark, rows).repartition(parts)
+        kept = sorted((r.doc_id, r.text) for r in simhash.without_near_duplicates(docs).select("doc_id", "text").collect())
+        nines = [t for i, t in kept if i == 9]
+        assert [x for x in kept if x[0] != 9] == sorted([(1, a), (1, b)]) and len(nines) == 1
+        assert nines[0] == min((t for i, t in rows if i == 9), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+
+
 def at_threshold(seed):
     """Two texts with a similarity of exactly 0.8: 4 of 5 shingles, or 200 shared and 25 on either side."""
     words = [f"w{seed}x{k}" for k in range(229)]

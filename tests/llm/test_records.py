@@ -157,6 +157,20 @@ def test_search_against_all(spark, monkeypatch):
     assert hits / total >= 0.9 and {r.query_id for r in got} == set(range(0, 500, 20))
 
 
+def test_repeated_query_ids_have_lists_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 8)).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(20, (-x[20]).tolist()), (40, x[40].tolist())]
+    got = ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).where("query_id in (20, 40)").collect()
+    assert len(got) == 80 and all(sum(r["rank"] == k and r.query_id == q for r in got) == 2 for k in range(1, 21) for q in (20, 40))
+    for v in (x[20], -x[20]):
+        scores = np.array([np.array(r[1], dtype=float) for r in rows]) @ v.astype(float)
+        best = sorted((-s, r[0]) for s, r in zip(scores, rows) if r[1] != v.tolist())[:20]
+        mine = {(r["rank"], r.vec_id, round(r.score, 9)) for r in got if r.query_id == 20}
+        assert len({(k + 1, i, round(-s, 9)) for k, (s, i) in enumerate(best)} & mine) >= 18
+    assert {(r.vec_id, round(r.score, 6)) for r in got if r.query_id == 40 and r["rank"] == 1} == {(40, round(float(x[40].astype(float) @ x[40]), 6))}
+
+
 def test_search_ties_and_few_rows(spark):
     rows = [(20, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (1, [0.0, 1.0])]
     got = ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).orderBy("rank").collect()

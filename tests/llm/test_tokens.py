@@ -115,20 +115,25 @@ def test_packing(spark, library, partitions):
     assert all(f & (f - 1) == 0 for f in fills)  # nothing is padded
 
 
-def test_packing_settles_when_many_windows_are_open():
+@pytest.mark.parametrize("lengths", ["any", "three quarters", "tiny", "one length"])
+def test_open_windows_stay_few(lengths):
+    """Whatever the lengths: levels that nothing else fills are filled by cut pieces."""
     got = []
-    packer = packing.SumOfSquares(64, lambda tag, start, ids, window, offset: got.append((tag, start, len(ids), window, offset)), most_open=5)
+    size = 64
+    packer = packing.SumOfSquares(size, lambda tag, start, ids, window, offset: got.append((tag, start, len(ids), window, offset)))
     rng = np.random.default_rng(0)
-    sizes = rng.integers(1, 200, 500)
+    sizes = {"any": rng.integers(1, 200, 5000), "three quarters": rng.integers(44, 56, 5000), "tiny": rng.integers(1, 3, 5000), "one length": np.full(5000, 37)}[lengths]
     for k, n in enumerate(sizes):
         packer.add(k, np.arange(n))
-        assert packer.n_open <= 6
+        assert packer.level.max() <= 8 * packing.CUT and packer.n_open == packer.level.sum()
+    placed, cut = packer.placed, packer.cut
     packer.settle()
     fill, parts = defaultdict(int), defaultdict(list)
     for tag, start, n, window, offset in got:
+        assert offset == fill[window]
         fill[window] += n
         parts[tag].append((start, n))
-    assert all(f <= 64 and f & (f - 1) == 0 for f in fill.values())
+    assert all(f <= size and f & (f - 1) == 0 for f in fill.values()) and placed + cut + packer.settled <= len(fill)
     for k, n in enumerate(sizes):
         at = 0
         for start, length in sorted(parts[k]):
@@ -139,7 +144,7 @@ def test_packing_settles_when_many_windows_are_open():
 
 def test_sum_of_squares_picks_the_least_growth():
     size = 12
-    packer = packing.SumOfSquares(size, lambda *a: None)
+    packer = packing.SumOfSquares(size, lambda *a: None, price=1e9)  # no cuts
     rng = np.random.default_rng(6)
     for n in rng.integers(1, size, 400).tolist():
         before = packer.level.copy()
