@@ -6,7 +6,8 @@ greatest count and least length among them, from which a bound on what the term
 
 A search sends the questions' terms to the blocks' rows of these terms, brings a block's rows together, and there goes through each
 question's terms by falling bounds (MaxScore): once the best ``k`` so far can't be reached by the terms that are left, chunks not seen yet are passed over, and the
-lists that are left, those of the most frequent words, are only looked up for the chunks that may still come among the best. Each block sends on its ``k`` best for each question.
+lists that are left, those of the most frequent words, are only looked up for the chunks that may still come among the best. A block whose bounds don't reach the
+best of blocks before it is passed over. A task sends on its ``k`` best for each question.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ MOST_TERMS, PUSHED_TERMS = 200_000, 500
 #: Rows of questions and terms that a block is searched for at once.
 ASKED_AT_ONCE = 500_000
 #: Chunks and tokens of a block, at most (but for one chunk of more tokens).
-BLOCK, BLOCK_TOKENS = 16_384, 4_000_000
+BLOCK, BLOCK_TOKENS = 16_384, 1_000_000
 #: Bytes for each core below which chunks are dealt anew.
-SMALL = 64 << 20
+SMALL = 16 << 20
 #: Scores count to six places; pruning leaves that much room.
 ROOM = 2e-6
 #: What ``functions.text.tokens`` finds, in Python.
@@ -193,8 +194,9 @@ class Block:
             self.parts[i] = tfs * (K1 + 1) / (tfs + self.norm[places])
         return self.parts[i]
 
-    def best(self, asked: list[tuple[float, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores, to six places, of chunks that may be among the ``k`` best for ``(weight, list)`` of a question; those that tie with the last included."""
+    def best(self, asked: list[tuple[float, int]], k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores, to six places, of chunks that may be among the ``k`` best for ``(weight, list)`` of a question; those that tie with the last included. Scores
+        below ``floor``, the last of the ``k`` best of other blocks, don't matter."""
         n = len(self.norm)
         score = np.zeros(n)
         if self.barred is not None:
@@ -203,11 +205,13 @@ class Block:
         order = sorted(asked, key=lambda x: (x[0] > 0, -x[0] * self.lists[x[1]][2]))
         bounds = np.array([max(0.0, w) * self.lists[i][2] for w, i in order])
         rest = np.append(np.cumsum(bounds[::-1])[::-1], 0.0)
-        at, least = 0, 0.0
+        at, least = 0, floor
+        if rest[0] < floor - ROOM:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
         for at, (weight, i) in enumerate(order):
             places = self.lists[i][0]
             if weight > 0 and at and len(places) * 8 > n and n > k:
-                least = max(0.0, float(np.partition(score, n - k)[n - k]))
+                least = max(floor, float(np.partition(score, n - k)[n - k]))
                 if least - ROOM > rest[at]:
                     break
             score[places] += weight * self.part(i)
@@ -236,58 +240,61 @@ class Block:
         return open_[found > 0], found[found > 0]
 
 
-def _searcher(top_k: int):
+def _searcher(top_k: int, filtered: bool):
+    """Searches a few blocks, one after the other; what the first ones gave lets later ones be passed over."""
+
+    def blocks(table: pa.Table) -> Iterator[tuple[Block, pa.Array, dict]]:
+        """Of each block its lists, its ids, and the ``(weight, list)`` of each question."""
+        kinds, numbers = np.array(table.column("kind").to_pylist()), table.column("block").to_numpy()
+        column = lambda c: table.column(c).combine_chunks()
+        places, tfs, all_ids, all_lengths, asking = (column(c) for c in ("places", "tfs", "ids", "lengths", "asking"))
+        most, least = table.column("most_tf").to_pylist(), table.column("least_length").to_pylist()
+        average = table.column("avg_length")[0].as_py()
+        flat = lambda c, i: c[int(i)].values.to_numpy(zero_copy_only=False)
+        order = np.argsort(numbers, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1):
+            chunks, lists = own[kinds[own] == CHUNKS], own[kinds[own] == LIST]
+            if not len(chunks) or not len(lists) or not average:
+                continue
+            lengths = flat(all_lengths, chunks[0])
+            barred = np.full(len(lengths), filtered)
+            for i in own[kinds[own] == KEPT]:
+                barred[flat(places, i)] = False
+            for i in own[kinds[own] == DEAD]:
+                barred[flat(places, i)] = True
+            if barred.all():
+                continue
+            block, questions = Block(lengths, average, barred if barred.any() else None), {}
+            for k, i in enumerate(lists.tolist()):
+                block.add(flat(places, i), flat(tfs, i), most[i], least[i])
+                for x in asking[i].as_py():
+                    key = x["query_id"]
+                    questions.setdefault(tuple(key.values()) if isinstance(key, dict) else key, (key, []))[1].append((x["weight"], k))
+            yield block, all_ids[int(chunks[0])].values, questions
+
     def best(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        kinds = np.array(table.column("kind").to_pylist())
-        column = lambda c: table.column(c).combine_chunks()
         query_type, id_type = table.schema.field("asking").type.value_type.field("query_id").type, table.schema.field("ids").type.value_type
-        empty = pa.table({"query_id": pa.array([], query_type), "chunk_id": pa.array([], id_type), "score": pa.array([], pa.float64())})
-        own, lists = np.flatnonzero(kinds == CHUNKS), np.flatnonzero(kinds == LIST)
-        average = table.column("avg_length")[0].as_py()
-        if not len(own) or not len(lists) or not average:
-            return empty
-        ids = column("ids")[int(own[0])].values
-        lengths = column("lengths")[int(own[0])].values.to_numpy()
-        places, tfs = column("places"), column("tfs")
-        flat = lambda i, c=places: c[int(i)].values.to_numpy(zero_copy_only=False)
-        barred = np.zeros(len(lengths), dtype=bool)
-        for i in np.flatnonzero(kinds == DEAD):
-            barred[flat(i)] = True
-        if len(kept := np.flatnonzero(kinds == KEPT)):
-            allowed = np.zeros(len(lengths), dtype=bool)
-            for i in kept:
-                allowed[flat(i)] = True
-            barred |= ~allowed
-        elif bool(table.column("filtered")[0].as_py()):
-            return empty
-        block = Block(lengths, average, barred if barred.any() else None)
-        most, least, asking = table.column("most_tf").to_pylist(), table.column("least_length").to_pylist(), column("asking")
-        questions: dict = {}
-        for i in lists.tolist():
-            block.add(flat(i), flat(i, tfs), most[i], least[i])
-            for x in asking[i].as_py():
-                key = x["query_id"]
-                questions.setdefault(tuple(key.values()) if isinstance(key, dict) else key, (key, []))[1].append((x["weight"], len(block.lists) - 1))
-        found = []
-        for key, asked in questions.values():
-            at, scores = block.best(asked, top_k)
-            if len(at) > top_k:  # ties: the smaller ids
-                names = ids.take(pa.array(at)).to_pylist()
-                order = sorted(range(len(at)), key=lambda i: (-scores[i], names[i] is not None, names[i]))[:top_k]
-                at, scores = at[order], scores[order]
-            found.append((key, at, scores))
-        if not sum(len(p) for _, p, _ in found):
-            return empty
-        keys = [key for key, p, _ in found for _ in range(len(p))]
-        return pa.table({"query_id": pa.array(keys, query_type), "chunk_id": ids.take(pa.array(np.concatenate([p for _, p, _ in found]))), "score": pa.array(np.concatenate([s for _, _, s in found]))})
+        found: dict = {}  # of each question: itself, and its best as (-score, whether there is an id, id)
+        for block, ids, questions in blocks(table):
+            for name, (key, asked) in questions.items():
+                held = found.setdefault(name, (key, []))[1]
+                at, scores = block.best(asked, top_k, -held[-1][0] if len(held) == top_k else 0.0)
+                if len(at):
+                    held += [(-s, i is not None, i) for s, i in zip(scores.tolist(), ids.take(pa.array(at)).to_pylist())]
+                    held.sort()
+                    del held[top_k:]
+        rows = [(key, x[2], -x[0]) for key, held in found.values() for x in held]
+        keys, ids, scores = zip(*rows) if rows else ((), (), ())
+        return pa.table({"query_id": pa.array(keys, query_type), "chunk_id": pa.array(ids, id_type), "score": pa.array(scores, pa.float64())})
 
     return best
 
 
 def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: str = "query_id", question: str = "question") -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: scores above zero, to six places, the best ``top_k`` of each question. A
-    repeated word of a question counts each time. Before the last sort there are at most ``top_k`` rows for each question and block."""
+    repeated word of a question counts each time. Before the last sort there are at most ``top_k`` rows for each question and
+    ``BLOCK`` chunks: small blocks are searched by one task."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(question))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = asked.select("term").distinct().limit(MOST_TERMS + 1).toArrow().column("term")
     few = len(wanted) <= MOST_TERMS
@@ -302,10 +309,11 @@ def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: s
         rows = rows.where(F.col("term").isNull() | F.col("term").isin(wanted.to_pylist()))
     lists = rows.join(some(by_term), "term", "left").where("asking IS NOT NULL OR term IS NULL")
     every = lists.join(F.broadcast(parts)).withColumn("part", F.explode(F.when(F.col("part").isNull(), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))))
-    filtered = F.lit(index.filtered).alias("filtered")
-    grouped = every.join(F.broadcast(index.totals.select("avg_length"))).select("part", "block", "kind", "most_tf", "least_length", "places", "tfs", "ids", "lengths", "asking", "avg_length", filtered)
+    lanes = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("lanes")
+    grouped = every.join(F.broadcast(index.totals.select("avg_length", lanes))).withColumn("lane", F.pmod(F.xxhash64("block"), F.col("lanes")))
+    grouped = grouped.select("part", "lane", "block", "kind", "most_tf", "least_length", "places", "tfs", "ids", "lengths", "asking", "avg_length")
     types = dict(asked.dtypes)["query_id"], dict(index.rows.dtypes)["ids"].removeprefix("array<")[:-1]
-    found = grouped.groupBy("part", "block").applyInArrow(_searcher(top_k), f"query_id {types[0]}, chunk_id {types[1]}, score double")
+    found = grouped.groupBy("part", "lane").applyInArrow(_searcher(top_k, index.filtered), f"query_id {types[0]}, chunk_id {types[1]}, score double")
     return ranked(found, top_k)
 
 
