@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import answers, catalog, chat, chunking, citations, layout, lexical, metadata
 from ..functions import text as tx
 from ..sources import store
-from ..streaming import streams
+from ..streaming import messages, streams
 from . import tables
 from .queries import _BM25, _CATALOG, _LINES, _LONG, _PAGES, _SPACE, _TERMS, _index, _short
 from .registry import query
@@ -199,6 +199,25 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_texts(docs, ["doc_id"]).select("doc_id", "chunk_seq", "chunk_id", "content_type", "formula_count", "character_count", "word_count", "group_index")
 
 
+_SECTION_DOCS = """
+sec AS (SELECT doc_id, block_no AS section_seq, (block_no % 4 + 1) || CASE block_no % 3 WHEN 1 THEN '.1' WHEN 2 THEN '.1.2' ELSE '' END AS section_id, text AS title, page_num FROM lines WHERE length(text) BETWEEN 3 AND 60),
+held AS (SELECT l.doc_id, l.block_no, max(section_seq) AS section_seq FROM lines l JOIN sec s ON s.doc_id = l.doc_id AND s.section_seq <= l.block_no GROUP BY ALL),
+section_docs AS (SELECT doc_id * 10000000 + section_seq AS doc_id, string_agg(text, chr(10) ORDER BY block_no) AS text FROM held JOIN lines USING (doc_id, block_no) GROUP BY doc_id, section_seq
+  UNION ALL SELECT doc_id * 10000000, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sec))"""
+
+
+@query(f"""WITH {_LINES}, {_SECTION_DOCS}, {_MASKED.replace('FROM documents', 'FROM section_docs')}, {_CHUNKS}, whole AS (SELECT chunks.*, list_reduce(kept, lambda s, x: {{'a': replace(s.a, x.a, x.b), 'b': ''}}, {{'a': content, 'b': ''}}).a AS text FROM chunks JOIN src USING (doc_id))
+SELECT whole.doc_id // 10000000 AS doc_id, CAST(row_number() OVER (PARTITION BY whole.doc_id // 10000000 ORDER BY whole.doc_id, chunk_seq) AS INT) AS chunk_seq, 'chunk_' || substr(md5(text), 1, 12) AS chunk_id, section_id, title AS section_title, CAST(coalesce(page_num, 1) AS INT) AS page_num
+FROM whole LEFT JOIN sec ON sec.doc_id = whole.doc_id // 10000000 AND sec.section_seq = whole.doc_id % 10000000""")
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every section, with its id, title and page; of the whole text where a document has no section."""
+    docs, sections, blocks = tables.read(spark, sf_dir, "documents"), tables.sections(spark, sf_dir), tables.blocks(spark, sf_dir)
+    doubled = lambda c: F.replace(F.col(c), F.lit("\n"), F.lit("\n\n"))
+    texts = layout.section_texts(blocks, sections).withColumn("section_text", doubled("section_text"))
+    out = chunking.chunk_documents(docs, sections, texts, layout.full_texts(blocks).withColumn("full_text", doubled("full_text")))
+    return out.select("doc_id", "chunk_seq", "chunk_id", "section_id", "section_title", "page_num")
+
+
 def _merged(items: str, sep: str) -> str:
     """SQL that merges a list of pieces up to 1000 characters, each beginning with up to 100 of the one before."""
     kind = "STRUCT(done VARCHAR[], held VARCHAR[])"
@@ -303,15 +322,20 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(tables.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     user = F.col("user_id").cast("string")
     rows = events.select(user.alias("username"), user.alias("conversation_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("props").alias("content"), "ts")
-    streams.keep_messages(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return streams.latest(spark, f"{folder}/out").select("username", "seq")
+    messages.keep_messages(rows, folder).awaitTermination()
+    return messages.kept_messages(spark, folder).select("username", "seq")
 
 
-@query("SELECT 'chunk_' || substr(md5(text), 1, 12) AS chunk_id, max(doc_id) AS document_id FROM documents GROUP BY 1")
+@query(f"""WITH {_MASKED}, {_CHUNKS}, whole AS (SELECT doc_id, list_reduce(kept, lambda s, x: {{'a': replace(s.a, x.a, x.b), 'b': ''}}, {{'a': content, 'b': ''}}).a AS text FROM chunks JOIN src USING (doc_id))
+SELECT 'chunk_' || substr(md5(text), 1, 12) AS chunk_id, max(doc_id) AS document_id, CAST(length(any_value(text)) AS INT) AS character_count FROM whole GROUP BY 1""")
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index after all documents have come by as a stream, each as one chunk."""
+    """An index after all documents have come by as a stream and were cut into chunks on their way."""
     folder = store.fresh_dir(spark, "documents")
     docs = spark.readStream.schema(tables.read(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    cut = lambda rows: rows.select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), tx.chunk_id(F.col("text")).alias("chunk_id"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        doubled = rows.select(F.col("doc_id").alias("document_id"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))
+        return chunking.chunk_texts(doubled, ["document_id"]).select("document_id", "chunk_id", "content", "character_count")
+
     streams.ingest(docs, f"{folder}/out", f"{folder}/state", cut).awaitTermination()
-    return streams.latest(spark, f"{folder}/out").select("chunk_id", "document_id")
+    return streams.latest(spark, f"{folder}/out").select("chunk_id", "document_id", "character_count")

@@ -172,6 +172,17 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.chunks(spark, sf_dir).withColumn("index_name", F.col("source"))
 
 
+@query(f"""WITH s AS ({_ASKED} AND a.vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1' AND lang = 'de')) {_TOP.format('', 5)}""", ints="rank")
+def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as named indexes and read back; files of other indexes aren't opened, and within one row groups of other types are passed over."""
+    folder = store.fresh_dir(spark, "indexes")
+    docs = tables.contents(spark, sf_dir).join(tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.col("lang").alias("content_type")), "chunk_id")
+    embeddings = tables.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    store.write_indexes(store.vector_rows(docs, embeddings, F.col("source")), folder)
+    asked = _asked(spark, sf_dir)[1].withColumnRenamed("chunk_id", "query_id")
+    return vectors.search_within(store.read_index(spark, folder, "src1"), asked, {"content_type": "de"}, 5)
+
+
 @query("SELECT source AS index_name, count(*) AS total_vectors, max(len(embedding)) AS dimension FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1", ints="dimension")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.index_stats(_vectors(spark, sf_dir))
@@ -212,6 +223,21 @@ def user_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.withColumn("index_name", catalog.index_name(F.col("source"), F.lit("personal")))
 
 
+_LEFT = "left_docs AS (SELECT * FROM documents WHERE source NOT IN ('src0', 'src3'))"
+
+
+@query(f"WITH {_LEFT}, {_BM25.replace('FROM documents', 'FROM left_docs')} SELECT query_id, chunk_id, score, rank FROM br WHERE rank <= 10", ints="rank")
+def incremental_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come to a stored index in two lots, and those of two sources are taken out, one before and one after the second lot."""
+    folder = store.fresh_dir(spark, "segments")
+    docs = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source", (F.col("doc_id") % 2).alias("lot"))
+    lexical_store.add(docs.where("lot = 0"), folder)
+    lexical_store.delete(docs.where("lot = 0 AND source IN ('src0', 'src3')"), folder)
+    lexical_store.add(docs.where("lot = 1"), folder)
+    lexical_store.delete(docs.where("source IN ('src0', 'src3')"), folder)
+    return lexical.search(lexical_store.load(spark, folder), tables.questions(spark, sf_dir), 10)
+
+
 # --- structure and metadata ----------------------------------------------------------------------
 
 
@@ -305,6 +331,54 @@ def normalized_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "documents").select("doc_id", chunking.normalize_formula(F.col("text")).alias("normalized"))
 
 
+_LATEX = r"'$\alpha_' || doc_id || ' + \beta$ \frac{\sigma}{\sqrt{\mu}} \[ \sum  x \] \begin{align}\int y\end{align} ' || text"
+_WITH_WORDS = "replace({0}, '{1}', '{2}')"
+
+
+def _plain_latex(text: str) -> str:
+    """SQL of ``chunking.normalize_formula``."""
+    for d in chunking.FORMULA_DELIMITERS:
+        text = _WITH_WORDS.format(text, d, "")
+    text = f"trim(regexp_replace({text}, '{_SPACE}+', ' ', 'g'))"
+    for command, word in chunking.FORMULA_WORDS:
+        text = _WITH_WORDS.format(text, command, word)
+    return text
+
+
+@query(f"SELECT doc_id, md5({_plain_latex(_LATEX)}) AS digest, contains({_plain_latex(_LATEX)}, 'fraction{{sigma}}{{square_root{{mu}}}}') AS has_words FROM documents")
+def latex_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts behind a formula of commands and delimiters of every kind."""
+    head = F.concat(F.lit("$\\alpha_"), F.col("doc_id").cast("string"), F.lit(" + \\beta$ \\frac{\\sigma}{\\sqrt{\\mu}} \\[ \\sum  x \\] \\begin{align}\\int y\\end{align} "), F.col("text"))
+    plain = chunking.normalize_formula(head)
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.md5(plain.cast("binary")).alias("digest"), F.contains(plain, F.lit("fraction{sigma}{square_root{mu}}")).alias("has_words"))
+
+
+_CAPTIONED = "SELECT doc_id, 'Table ' || (doc_id % 90 + 1) || ': ' || text AS t, length('Table ' || (doc_id % 90 + 1)) AS n FROM documents"
+_ENDS = r"\n\s*\n|\n\s*[A-Z]"
+
+
+@query(f"""WITH c AS ({_CAPTIONED}), w AS (SELECT doc_id, t, least(n + 200, length(t)) AS e FROM c), v AS (SELECT *, substr(t, 51, greatest(0, e - 50)) AS tail FROM w)
+SELECT doc_id, CASE WHEN regexp_matches(tail, '{_ENDS}') THEN 50 + length(regexp_split_to_array(tail, '{_ENDS}')[1]) ELSE e END AS n, md5(substr(t, 1, CASE WHEN regexp_matches(tail, '{_ENDS}') THEN 50 + length(regexp_split_to_array(tail, '{_ENDS}')[1]) ELSE e END)) AS digest FROM v""", ints="n")
+def caption_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a caption goes that stands at the beginning of each text."""
+    text = F.concat(F.lit("Table "), (F.col("doc_id") % 90 + 1).cast("string"), F.lit(": "), F.col("text"))
+    masked = chunking.paragraphs(tables.read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), ["doc_id"])
+    kept = masked.select("doc_id", F.explode("kept").alias("mark", "caption")).where(F.col("mark").rlike("^__TABLE_0__$"))
+    return kept.select("doc_id", F.length("caption").alias("n"), F.md5(F.col("caption").cast("binary")).alias("digest"))
+
+
+def _marks(texts: list[str]) -> list[list[float]]:
+    """A vector for each text that SQL can say too."""
+    return [[float(len(t)), float(t.count("e")), float(t.count(" "))] for t in texts]
+
+
+@query("SELECT doc_id AS chunk_id, CAST(length(text) AS BIGINT) AS signs, CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS letters, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS spaces FROM documents")
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded in batches by a function that counts."""
+    out = chunking.embed(tables.contents(spark, sf_dir), _marks)
+    return out.select("chunk_id", *(F.col("embedding")[k].cast("long").alias(c) for k, c in enumerate(("signs", "letters", "spaces"))))
+
+
 # --- citations -----------------------------------------------------------------------------------
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 50 * 1024 * 1024
@@ -29,14 +30,27 @@ def upsert(stored: DataFrame | None, new: DataFrame, keys: tuple[str, ...] = ("i
     return both.withColumn("_at", F.row_number().over(order)).where("_at = 1").drop("_at")
 
 
-def vector_rows(chunks: DataFrame, embeddings: DataFrame, index: str, user: str | None = None, sequence: int = 0) -> DataFrame:
-    """Rows for an index: chunks joined to their embeddings, with who stored them and when."""
-    return chunks.join(embeddings.select("chunk_id", "embedding"), "chunk_id").withColumns({"index_name": F.lit(index), "upload_user": F.lit(user).cast("string"), "upload_date": F.current_timestamp(), "ingest_seq": F.lit(sequence).cast("long")})
+def vector_rows(chunks: DataFrame, embeddings: DataFrame, index: str | Column, user: str | None = None, sequence: int = 0) -> DataFrame:
+    """Rows for an index (or for one by each row's own column): chunks joined to their embeddings, with who stored them and when."""
+    name = F.lit(index) if isinstance(index, str) else index
+    return chunks.join(embeddings.select("chunk_id", "embedding"), "chunk_id").withColumns({"index_name": name, "upload_user": F.lit(user).cast("string"), "upload_date": F.current_timestamp(), "ingest_seq": F.lit(sequence).cast("long")})
+
+
+#: What searches filter by, within an index.
+CLUSTERED = ["section_id", "content_type", "document_id"]
 
 
 def write_indexes(vectors: DataFrame, path: str) -> None:
-    """Replaces the indexes that ``vectors`` holds; others stay."""
-    vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_name").parquet(path)
+    """Replaces the indexes that ``vectors`` holds; others stay. An index is a folder; its files are ranges of section, type and document, so
+    a filter on them leaves most files and row groups unread. A large index, or section, is several files."""
+    order = ["index_name", *(c for c in CLUSTERED if c in vectors.columns), "chunk_id"]
+    dealt = vectors.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_name").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, index: str) -> DataFrame:
+    """An index that was written; the folders of others aren't opened."""
+    return spark.read.parquet(path).where(F.col("index_name") == index)
 
 
 def clear(vectors: DataFrame, index: str) -> DataFrame:
@@ -65,7 +79,7 @@ def search_stats(chunks: DataFrame, has_lexical: bool = True, rrf_k: int = 60) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share. Where a session on a single machine (tests) has none, one is made and set; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
+    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not folder:

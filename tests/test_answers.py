@@ -5,6 +5,7 @@ from lectern.functions.text import chunk_id
 from lectern.operators import answers, catalog, chat
 from lectern.plans import queries
 from lectern.sources import store
+from lectern.streaming import messages as kept
 from lectern.streaming import streams
 
 RAW = "Answer: CAPM gives 12%.\n\nExplanation: It uses beta.\n\nSources:\n1. [Paper, Page 4] - \"quoted text\"\n2. no brackets\n3. [Other] - Contains data\n\nConfidence: High - solid"
@@ -106,14 +107,52 @@ def test_upsert(spark):
     assert {tuple(r) for r in store.upsert(once, new).collect()} == {tuple(r) for r in once.collect()}
 
 
-def test_streams_equal_batches(spark, tmp_path):
+def test_filters_leave_files_of_indexes_unread(spark, tmp_path):
+    """Other indexes' folders aren't opened; within an index files are ranges of sections, so a section's filter skips most of them."""
+    rows = spark.range(4000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("i"), (F.col("id") % 4).cast("string")).alias("index_name"), F.lpad((F.col("id") % 50).cast("string"), 2, "0").alias("section_id"), F.array(F.col("id").cast("float")).alias("embedding"))
+    path = str(tmp_path / "indexes")
+    store.write_indexes(rows.repartition(6), path)
+    store.write_indexes(rows.where("index_name = 'i2' AND section_id < '10'"), path)  # replaces one index
+    assert spark.read.parquet(path).groupBy("index_name").count().where("count = 1000").count() == 3
+    found = store.read_index(spark, path, "i1").where("section_id = '01'")
+    assert found.count() == 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(index_name" in plan and "EqualTo(section_id,01)" in plan
+    files = store.read_index(spark, path, "i1").select(F.input_file_name().alias("f"), "section_id").groupBy("f").agg(F.min("section_id").alias("a"), F.max("section_id").alias("b"))
+    ranges = sorted((r.a, r.b) for r in files.collect())
+    assert all(b <= c for (_, b), (c, _) in zip(ranges, ranges[1:]))  # so footers tell most files apart
+
+
+def test_streamed_messages_are_those_of_a_batch(spark, tmp_path):
+    """Shuffled, repeated and late, and after a restart in between."""
     rows = messages(spark, [("a", "x", 120), ("b", "x", 3)])
-    for k in range(3):
+    source = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = lambda: kept.keep_messages(source(), str(tmp_path / "state")).awaitTermination(120)
+    for k in (2, 0):
         rows.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    for k in (1, 0):
+        rows.where(F.col("seq") % 3 == k).withColumn("content", F.concat("content", F.lit("" if k else " again"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    want = {tuple(r) for r in chat.last_messages(rows).select("username", "conversation_id", "seq", "type", "content", "ts").collect()}
+    stored = kept.kept_messages(spark, str(tmp_path / "state"))
+    assert {tuple(r) for r in stored.collect()} == want and stored.count() == 53
+
+
+def test_messages_repeated_within_a_delay(spark, tmp_path):
+    rows = messages(spark, [("a", "x", 60)]).coalesce(1)
+    for _ in range(2):
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.keep_messages(source, str(tmp_path / "out"), str(tmp_path / "ck"), 120).awaitTermination(120)
-    stored = streams.latest(spark, str(tmp_path / "out"))
-    assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in rows.collect()}
+    kept.keep_messages(source, str(tmp_path / "state"), delay="365 days").awaitTermination(120)
+    assert kept.kept_messages(spark, str(tmp_path / "state")).count() == 50
+
+
+def test_merged_messages():
+    held = [(1, "q", "stored", None)]
+    new = [(1, "q", "clashes", None), (2, "a", "b", None), (2, "a", "a", None), (None, "a", "x", None)]
+    assert kept.merged(held, new, 5) == [(None, "a", "x", None), (1, "q", "stored", None), (2, "a", "a", None)]
+    assert kept.merged(held, new, 1) == [(2, "a", "a", None)]
 
 
 def test_streamed_documents(spark, tmp_path):
@@ -153,17 +192,24 @@ def test_stored_messages_stay_as_they_are(spark):
         assert got == {(1, "stored"), (2, "a")}
 
 
-def test_stream_writes_the_buckets_it_touches(spark, tmp_path):
-    docs = spark.createDataFrame([(k, f"text {k}") for k in range(12)], "doc_id long, content string")
-    for k in range(4):
-        docs.where(f"doc_id % 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+def test_what_a_batch_writes_does_not_grow_with_the_index(spark, tmp_path):
+    """Batches of ten rows while the index grows twentyfold: buckets split (not always into halves), and a batch rewrites its own ones alone."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, content string")
+    for k in range(20):
+        docs.where(f"doc_id div 10 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     cut = lambda df: df.select(F.col("doc_id").alias("document_id"), "content", chunk_id(F.col("content")).alias("chunk_id"))
     out = str(tmp_path / "out")
-    streams.ingest(source, out, str(tmp_path / "ck"), cut, buckets=3).awaitTermination(240)
-    assert sorted(r.document_id for r in streams.latest(spark, out).collect()) == list(range(12))
+    streams.ingest(source, out, str(tmp_path / "ck"), cut, most=4).awaitTermination(400)
+    stored = streams.latest(spark, out)
+    assert sorted(r.document_id for r in stored.collect()) == list(range(200))
+    held = streams._list(spark, out)
+    assert sum(n for _, n in held.values()) == 200 and max(n for _, n in held.values()) <= 8 and len(held) > 50
+    assert sum(2.0 ** -int(b.split("-")[0]) for b in held) == 1  # no key without a bucket
+    written = spark.read.parquet(f"{out}/v=19").count()
+    assert written <= 10 * 8
     assert len(streams._numbers(spark, out, "m")) == 2  # older lists are gone
-    named = {v for n in streams._numbers(spark, out, "m") for v in streams._list(spark, out, n + 1).values()}
+    named = {v for n in streams._numbers(spark, out, "m") for v, _ in streams._list(spark, out, n + 1).values()}
     assert set(streams._numbers(spark, out, "v")) == named
 
 
