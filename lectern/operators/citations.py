@@ -10,6 +10,8 @@ from .layout import section_of_chunks
 
 UNKNOWN = "Unknown Document"
 AROUND = 50  # points that a citation's box is widened by on each side
+#: Height of the bands that boxes and blocks meet in, and the last band's number.
+BAND, LAST_BAND = 50.0, 4095
 
 
 def build(chunks: DataFrame, documents: DataFrame, sections: DataFrame | None = None, boxes: DataFrame | None = None) -> DataFrame:
@@ -67,13 +69,31 @@ def context_window(text: Column, wanted: Column, around: int = 200) -> Column:
     return F.when(at >= 0, found).otherwise(missing)
 
 
+def bands(low: Column, high: Column) -> tuple[Column, Column]:
+    """The band that ``low`` is in, and all from there to that of ``high``; what lies above the last band or below the first counts to it."""
+    place = lambda y: F.least(F.greatest(F.floor(y / BAND), F.lit(0)), F.lit(LAST_BAND))
+    return place(low), F.sequence(F.least(place(low), place(high)), F.greatest(place(low), place(high)))
+
+
+def touching(boxes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of ``boxes`` (``low, high``) and ``texts`` (``y0, y1``) of a page whose heights overlap. Both are dealt into bands of the page and meet in bands alone, each pair in that where the later of them begins;
+    so what a page with many blocks costs grows with its blocks and not with their square."""
+    first, every = bands(F.col("low"), F.col("high"))
+    left = boxes.withColumn("first", first).withColumn("band", F.explode(every))
+    begin, of_text = bands(F.col("y0"), F.col("y1"))
+    right = texts.withColumn("begin", begin).withColumn("band", F.explode(of_text))
+    met = left.join(right, ["document_id", "page_number", "band"]).where("band = greatest(first, begin) AND y1 >= low AND y0 <= high")
+    return met.drop("band", "first", "begin")
+
+
 def contexts(citations: DataFrame, blocks: DataFrame, pages: DataFrame, around: int = 200) -> DataFrame:
     """Citations with ``context`` from the blocks of their page that touch their box, widened and kept to the page (from the whole page where the box isn't known)."""
     box, b = F.col("coordinates"), F.col("bbox")
     wide = citations.join(pages.select(F.col("doc_id").alias("document_id"), F.col("page_num").alias("page_number"), "width", "height"), ["document_id", "page_number"])
-    texts = blocks.where("block_type = 'text'").select(F.col("doc_id").alias("document_id"), F.col("page_num").alias("page_number"), "block_no", "text", "bbox")
-    touching = wide.join(texts, ["document_id", "page_number"]).where((b["x1"] >= F.greatest(F.lit(0.0), box["x1"] - AROUND)) & (b["x0"] <= F.least(F.col("width"), box["x2"] + AROUND)) & (b["y1"] >= F.greatest(F.lit(0.0), box["y1"] - AROUND)) & (b["y0"] <= F.least(F.col("height"), box["y2"] + AROUND)))
-    near = touching.groupBy("document_id", "chunk_id").agg(gathered(F.col("block_no"), F.col("text")).alias("area"))
+    low, high = F.greatest(F.lit(0.0), box["y1"] - AROUND), F.least(F.col("height"), box["y2"] + AROUND)
+    boxes = wide.select("document_id", "page_number", "chunk_id", low.alias("low"), high.alias("high"), F.greatest(F.lit(0.0), box["x1"] - AROUND).alias("left"), F.least(F.col("width"), box["x2"] + AROUND).alias("right"))
+    texts = blocks.where("block_type = 'text'").select(F.col("doc_id").alias("document_id"), F.col("page_num").alias("page_number"), "block_no", "text", b["x0"].alias("x0"), b["x1"].alias("x1"), b["y0"].alias("y0"), b["y1"].alias("y1"))
+    near = touching(boxes, texts).where("x1 >= left AND x0 <= right").groupBy("document_id", "chunk_id").agg(gathered(F.col("block_no"), F.col("text")).alias("area"))
     return citations.join(near, ["document_id", "chunk_id"], "left").withColumn("context", context_window(F.coalesce("area", F.lit("")), F.col("text_snippet"), around)).drop("area")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers, catalog, chat, chunking, citations, layout, lexical, metadata
 from ..functions import text as tx
-from ..sources import store
+from ..sources import layouts, store
 from ..streaming import messages, streams
 from . import tables
 from .queries import _BM25, _CATALOG, _LINES, _LONG, _PAGES, _SPACE, _TERMS, _index, _short
@@ -130,6 +130,17 @@ def blocks_from_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.blocks_from_spans(tables.word_spans(spark, sf_dir)).select("doc_id", "page_num", "block_no", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query(f"WITH {_LINES}, b AS (SELECT doc_id, page_num, block_no // 4 - (page_num - 1) * 5 AS block_no, trim(string_agg(text || ' ', chr(10) ORDER BY block_no)) AS t, min(y) AS y0, max(y) + 10 AS y1 FROM lines GROUP BY doc_id, page_num, lines.block_no // 4 - (page_num - 1) * 5) SELECT doc_id, page_num, block_no, md5(t) AS digest, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1 FROM b WHERE t <> ''", ints="block_no")
+def blocks_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, by digest and place, of pages that were written as files of laid-out text and read from there."""
+    folder = store.fresh_dir(spark, "layouts")
+    # places on a page: five blocks of four lines
+    words = tables.word_spans(spark, sf_dir).withColumn("block_no", F.col("block_no") - (F.col("page_num") - 1) * 5)
+    layouts.write(words.withColumns({"size": F.lit(10.0), "flags": F.lit(0), "font": F.lit("serif")}), folder)
+    blocks = layout.blocks_from_spans(layouts.spans(spark, folder))
+    return blocks.select("doc_id", "page_num", "block_no", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"))
+
+
 @query(rf"""WITH {_LINES}, c AS (SELECT doc_id, block_no, text, trim(text) AS w FROM lines)
 SELECT doc_id, block_no, coalesce({', '.join(f"CASE WHEN regexp_matches(w, '(?i){p}') THEN trim(regexp_extract(w, '(?i){p}', {g})) END" for p, g in layout.HEADING_PATTERNS)}) AS title,
 CASE WHEN regexp_matches(w, '^[0-9]+') THEN regexp_extract(w, '^([0-9]+(?:\.[0-9]+)*)', 1) WHEN regexp_matches(w, '^[A-Z]') THEN substr(w, 1, 1) ELSE 'sec' END AS section_id FROM c""")

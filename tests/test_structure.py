@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking, citations, layout, metadata
+from lectern.sources import layouts
 
 
 def spans(spark, rows):
@@ -187,3 +190,39 @@ def test_citation_contexts(spark, placed):
     found = {r.chunk_id: r.context for r in citations.contexts(cited, placed[0], pages).collect()}
     assert (found["c1"].before, found["c1"].after) == ("", "\nb3") and found["c2"].full_context == "b4"  # without a box: the page
     assert citations.of_section(cited, "d", "A").count() == 2 and citations.of_page(cited, "d", 2).count() == 1
+
+
+def test_boxes_meet_in_bands(spark):
+    """Against all pairs, with boxes of any height, upside down, off the page and far below; and few candidates on a page of many blocks."""
+    rng = random.Random(3)
+    height = lambda: rng.choice([rng.uniform(-60, 900), float(rng.randrange(0, 900, 50)), 1e9])
+    boxes = [(k, *(sorted((a, b)) if k % 9 else (b, a))) for k in range(80) for a, b in [(height(), height() if k % 3 else 40.0)]]
+    texts = [(k, *(sorted((a, b)) if k % 7 else (b, a))) for k in range(120) for a, b in [(height(), height())]] + [(500, None, 3.0)]
+    left = spark.createDataFrame([("d", 1, *b) for b in boxes], "document_id string, page_number int, k int, low double, high double")
+    right = spark.createDataFrame([("d", 1, *t) for t in texts], "document_id string, page_number int, n int, y0 double, y1 double")
+    got = sorted((r.k, r.n) for r in citations.touching(left, right).collect())
+    assert got == sorted((k, n) for k, low, high in boxes for n, y0, y1 in texts if y0 is not None and y1 >= low and y0 <= high)
+    many = spark.range(10_000).select(F.lit("d").alias("document_id"), F.lit(1).alias("page_number"), F.col("id").alias("n"), (F.col("id") * 10.0).alias("y0"), (F.col("id") * 10.0 + 9).alias("y1"))
+    asked = many.select("document_id", "page_number", F.col("n").alias("k"), (F.col("y0") - 50).alias("low"), (F.col("y1") + 50).alias("high"))
+    assert citations.touching(asked, many).count() < 12 * 10_000
+    bands = asked.withColumn("band", F.explode(citations.bands(F.col("low"), F.col("high"))[1])).groupBy("band").count()
+    of_texts = many.withColumn("band", F.explode(citations.bands(F.col("y0"), F.col("y1"))[1])).groupBy("band").agg(F.count("*").alias("m"))
+    assert bands.join(of_texts, "band").agg(F.sum(F.col("count") * F.col("m"))).first()[0] < 40 * 10_000  # all candidates of a page of 10,000 blocks
+
+
+def test_layout_files(spark, tmp_path):
+    """What is written comes back; lines that aren't pages are set apart."""
+    box = (0.0, 0.0, 5.0, 5.0)
+    rows = [(1, 1, b, line, k, f"t{b}{line}{k}", 9.5, 0, None, box) for b in range(2) for line in range(2) for k in range(3)] + [(2, 3, 0, 0, 0, "é\n\"x\"", None, 1, "f", None)]
+    schema = "doc_id long, page_num int, block_no int, line_no int, span_no int, text string, size double, flags int, font string, bbox struct<x0: double, y0: double, x1: double, y1: double>"
+    data = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "pages")
+    layouts.write(data.repartition(3), path)
+    assert sorted(map(str, layouts.spans(spark, path).collect())) == sorted(map(str, data.collect()))
+    (tmp_path / "pages" / "broken.json").write_text('{"doc_id": 5, "page_num": 1, "blocks": [\n{"page_num": 4}\nnot json\n{"doc_id": 6, "page_num": 2, "width": 10.0, "height": 20.0, "blocks": [{"type": "image", "lines": null}]}\n')
+    assert layouts.spans(spark, path).count() == len(rows)
+    bad = layouts.bad_pages(spark, path).collect()
+    assert len(bad) == 3 and all(r.file.endswith("broken.json") for r in bad) and any("not json" == r.line for r in bad)
+    assert layouts.page_sizes(spark, path).where("width = 10").first().doc_id == 6
+    plan = layouts.page_sizes(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "blocks" not in plan[plan.index("ReadSchema") :]
