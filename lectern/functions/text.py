@@ -1,4 +1,4 @@
-"""Column expressions over text. All stay inside the JVM."""
+"""Column expressions over text. All stay inside the JVM, but for those over more than ``MANY`` terms."""
 
 from __future__ import annotations
 
@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+from . import terms as many_terms
+
+#: Terms up to which a text is gone through once for each.
+MANY = 64
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of three or more letters a-z that stand between characters that are no letters, digits or underscores."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[a-z]{3,}$"))
@@ -57,16 +63,22 @@ def quote(text: Column) -> Column:
 
 def occurrences(text: Column, terms: list[str]) -> Column:
     """How often the terms occur in the text, as substrings that don't overlap (each term by itself)."""
+    if len(terms) > MANY:
+        return many_terms.occurrences(text, terms)
     each = [((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t)).cast("int") for t in terms]
     return sum(each[1:], each[0]) if each else F.lit(0)
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:
+    if len(terms) > MANY:
+        return many_terms.contains_any(text, terms)
     return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)) if terms else F.lit(False)
 
 
 def terms_in(text: Column, terms: list[str]) -> Column:
     """The terms that occur, in the order of the list."""
+    if len(terms) > MANY:
+        return many_terms.terms_in(text, terms)
     return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 
 

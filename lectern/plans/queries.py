@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import answers, catalog, chat, chunking, citations, hybrid, layout, lexical, metadata, vectors
-from ..sources import lexical_store, store
+from ..sources import lexical_store, store, summaries
 from . import tables
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .tables import COMMON_TERMS, QUERY_STEP
@@ -194,6 +194,20 @@ def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.array_join(c, ",") for c in ("content_types", "sections")})
 
 
+@query("SELECT count(*) AS total_documents, count(embedding) AS total_embeddings, true AS has_bm25_index, 60 AS rrf_k_parameter, array_to_string(list_sort(list(DISTINCT lang)), ',') AS content_types, array_to_string(list_sort(list(DISTINCT source)), ',') AS sections FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE source NOT IN ('src0', 'src7')")
+def kept_search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures from summaries alone, after documents came in two lots, one of them twice, and those of two sources went."""
+    folder = store.fresh_dir(spark, "figures")
+    rows = _vectors(spark, sf_dir).withColumn("lot", F.col("chunk_id") % 2)
+    keys, sums = summaries.CHUNK_KEYS, summaries.CHUNK_SUMS
+    for batch, lot in (("a", 0), ("b", 1), ("b", 1)):
+        summaries.record(rows.where(F.col("lot") == lot), folder, batch, keys, sums)
+    for batch, source in (("c", "src0"), ("d", "src7")):
+        summaries.record(rows.where(F.col("index_name") == source), folder, batch, keys, sums, gone=True)
+    out = summaries.search_stats(summaries.merged(spark, folder, keys, sums))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("content_types", "sections")})
+
+
 @query("SELECT DISTINCT source AS index_name FROM documents WHERE source <> 'src0'")
 def clear_and_list_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.index_names(store.clear(_vectors(spark, sf_dir), "src0"))
@@ -257,6 +271,18 @@ def term_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "has_mathematical_formulas", "has_financial_terms", F.col("financial_term_count").cast("long").alias("financial_term_count"), "has_tables", "has_references")
 
 
+#: More terms than are looked for one by one: every pair of letters.
+_PAIRS = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+
+
+@query(f"""SELECT doc_id, CAST(list_sum(list_transform(p, lambda w: (length(t) - length(replace(t, w, ''))) // 2)) AS INT) AS n, CAST(len(list_filter(p, lambda w: contains(t, w))) AS INT) AS n_terms
+FROM (SELECT doc_id, lower(text) AS t, [{", ".join(f"'{t}'" for t in _PAIRS)}] AS p FROM documents)""")
+def many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often 676 terms occur in each text, and how many of them do."""
+    text = F.lower("text")
+    return tables.read(spark, sf_dir, "documents").select("doc_id", tx.occurrences(text, _PAIRS).alias("n"), F.size(tx.terms_in(text, _PAIRS)).alias("n_terms"))
+
+
 @query(f"WITH {_LINES}, p AS (SELECT doc_id, lower(string_agg(text, chr(10) ORDER BY block_no)) AS t FROM lines WHERE page_num <= 5 GROUP BY 1) SELECT doc_id, array_to_string(list_filter({_TERMS}, lambda w: contains(t, w)), ',') AS keywords FROM p")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.keywords(layout.page_texts(tables.blocks(spark, sf_dir)), COMMON_TERMS).withColumn("keywords", F.array_join("keywords", ","))

@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import chunking, citations, layout, metadata
-from lectern.sources import layouts
+from lectern.functions import text as tx
+from lectern.operators import catalog, chunking, citations, layout, metadata
+from lectern.sources import layouts, summaries
 
 
 def spans(spark, rows):
@@ -226,3 +227,38 @@ def test_layout_files(spark, tmp_path):
     assert layouts.page_sizes(spark, path).where("width = 10").first().doc_id == 6
     plan = layouts.page_sizes(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "blocks" not in plan[plan.index("ReadSchema") :]
+
+
+def test_many_terms_are_found_as_few_are(spark, monkeypatch):
+    """The automaton's results are the columns', for overlapping, nested, repeated and odd terms; nulls stay null."""
+    rng = random.Random(1)
+    terms = ["aa", "a", "ab", "ba", "aba", "é", "x y", "aa", "zzz", "ß"]
+    texts = ["".join(rng.choice("aab é xyß") for _ in range(rng.randrange(40))) for _ in range(200)] + ["", None, "aaaaa", "ababab"]
+    data = spark.createDataFrame([(t,) for t in texts], "t string")
+    results = []
+    for most in (64, 0):
+        monkeypatch.setattr(tx, "MANY", most)
+        results.append([tuple(r) for r in data.select("t", tx.occurrences(F.col("t"), terms), tx.terms_in(F.col("t"), terms), tx.contains_any(F.col("t"), terms)).collect()])
+    few, many = results
+    assert few == many
+    words = [f"w{k}q" for k in range(3000)]
+    monkeypatch.setattr(tx, "MANY", 64)
+    assert spark.createDataFrame([("w7q w7q w2999q",)], "t string").select(tx.occurrences(F.col("t"), words)).first()[0] == 3
+
+
+def test_kept_figures(spark, tmp_path):
+    """After adds, a repeated add, deletes and compaction: those of a scan."""
+    rows = [("pdf-qa-shared", 10, 1), ("pdf-qa-shared", 20, None), ("pdf-qa-personal-a", None, 3), ("pdf-qa-personal-b", 5, 4)]
+    data = spark.createDataFrame(rows, "index_name string, file_size long, chunk_count long")
+    keys, sums = summaries.CATALOG_KEYS, summaries.CATALOG_SUMS
+    path = str(tmp_path / "figures")
+    for batch, part in (("1", data), ("2", data), ("2", data)):
+        summaries.record(part, path, batch, keys, sums)
+    summaries.record(data.where("index_name like '%-b'"), path, "3", keys, sums, gone=True)
+    summaries.record(data.where("index_name like '%-b'"), path, "4", keys, sums, gone=True)
+    left = data.union(data).where("index_name not like '%-b'")
+    want = [tuple(r) for r in catalog.statistics(left).collect()]
+    figures = lambda: [tuple(r) for r in summaries.catalog_stats(summaries.merged(spark, path, keys, sums), catalog.SHARED_INDEX, catalog.PERSONAL_PREFIX).collect()]
+    assert figures() == want
+    summaries.compact(spark, path, keys, sums, "all")
+    assert figures() == want and len(summaries._batches(spark, path)) == 1
