@@ -314,7 +314,8 @@ def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: s
     grouped = grouped.select("part", "lane", "block", "kind", "most_tf", "least_length", "places", "tfs", "ids", "lengths", "asking", "avg_length")
     types = dict(asked.dtypes)["query_id"], dict(index.rows.dtypes)["ids"].removeprefix("array<")[:-1]
     found = grouped.groupBy("part", "lane").applyInArrow(_searcher(top_k, index.filtered), f"query_id {types[0]}, chunk_id {types[1]}, score double")
-    return ranked(found, top_k)
+    # columns of their own, as Spark doesn't tell the two sides of a self-join of such groups apart
+    return ranked(found.select(*(F.col(c).alias(c) for c in found.columns)), top_k)
 
 
 def ranked(scored: DataFrame, top_k: int | None) -> DataFrame:

@@ -291,3 +291,12 @@ def test_best_of_many_batches():
     query, score, found = best.settle()
     want = [(q, s, i) for q in (0, 2) for s, i in sorted(((s, i) for s, i in zip(scores[q], ids)), key=lambda x: (-x[0], x[1] is not None, x[1]))[:7]]
     assert [*zip(query.tolist(), score.tolist(), found.to_pylist())] == want
+
+
+def test_results_join_themselves(spark, corpus, questions):
+    """Both sides of a self-join of search results keep their own columns."""
+    for found in (lexical.search(lexical.build_index(corpus), questions), vectors.search(corpus, questions), hybrid.search(lexical.build_index(corpus), corpus, questions)):
+        n = found.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+        best = found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("best"))
+        assert n.join(best, ["query_id", "chunk_id"]).count() == found.count() > 0
+        assert found.where("rank = 1").join(found.select("query_id", F.col("chunk_id").alias("other")), "query_id").count() == found.count()
