@@ -80,6 +80,9 @@ class Tokens:
         every = [raw.decode(errors="replace") for raw in self.bytes_a] + [p.replace(MARK, " ") for i, p in enumerate(pieces) if plain[i]]
         self.cuts = not any(EDGE.search(x) or x[:2] in (" \t", " \n") for x in every)
         self.width = len(pieces)
+        #: Ids as text, and a token with its identical one as a group.
+        self.text_a, self.text_b = ([*map(str, range(len(side)))] for side in (self.bytes_a, self.bytes_b))
+        self.single = [f"{a}|{b}" for a, b in enumerate(self.identity.tolist())]
 
     def most_pairs(self) -> int:
         """How many pairs of ids there are of which one's bytes end the other's."""
@@ -152,9 +155,13 @@ class Words:
         link_a, link_b = flat_a[last_a], flat_b[last_b]
         single = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1)
         cuts = np.searchsorted(last_a, np.cumsum(n_a))  # groups up to each word's end
-        texts_a, texts_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        at_a, at_b = [0, *(last_a + 1).tolist()], [0, *(last_b + 1).tolist()]
-        rows = [",".join(texts_a[i:j]) + "|" + ",".join(texts_b[k:m]) for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
+        regular = single & (both.identity[link_a] == link_b)
+        rows = [*map(both.single.__getitem__, link_a.tolist())]
+        ids_a, ids_b = ([*map(t.__getitem__, x.tolist())] for t, x in ((both.text_a, flat_a), (both.text_b, flat_b)))
+        first_a, first_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
+        other = np.flatnonzero(~regular)
+        for g, i, j, k, m in zip(other.tolist(), first_a[other].tolist(), (last_a[other] + 1).tolist(), first_b[other].tolist(), (last_b[other] + 1).tolist()):
+            rows[g] = f"{ids_a[i] if j - i == 1 else ','.join(ids_a[i:j])}|{ids_b[k] if m - k == 1 else ','.join(ids_b[k:m])}"
         begin = len(self.number)
         self.number.update(zip(words, range(begin, begin + len(words))))
         self.groups += [";".join(rows[i:j]).encode() for i, j in zip([0, *cuts.tolist()], cuts.tolist())]
@@ -162,7 +169,7 @@ class Words:
         self.seen = np.concatenate([self.seen, np.zeros(len(words), dtype=np.int64)])
         self.cuts = np.concatenate([self.cuts, self.cuts[-1] + cuts])
         self.links = np.concatenate([self.links, link_a * both.width + link_b])
-        self.regular = np.concatenate([self.regular, single & (both.identity[link_a] == link_b)])
+        self.regular = np.concatenate([self.regular, regular])
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,12 +204,15 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str | None, path_b: str
         kind = batch.column(0).type
         for at, texts in bpe.in_blocks(batch):
             split = [both.split(t) if t else [] for t in texts]
-            if new := {w for words in split for w in words if w not in known.number}:
-                known.add(sorted(new))
+            coded = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if new := [w for w in distinct if w not in known.number]:
+                known.add(new)
+            numbers = np.array([*map(known.number.__getitem__, distinct)], dtype=np.int64)[coded.indices.to_numpy()]
             n_a, n_b, n_groups, digests, links, times = [], [], [], [], [], []
             seen = np.zeros(len(known.number), dtype=np.int64)
-            for words in split:
-                own = np.fromiter(map(known.number.__getitem__, words), dtype=np.int64, count=len(words))
+            for end, words in zip(np.cumsum([len(words) for words in split]).tolist(), split):
+                own = numbers[end - len(words) : end]
                 each = known.n_a[own]
                 if not len(own) or not each.all():  # a word that isn't the same bytes again: no tokens at all
                     own = own[:0]
