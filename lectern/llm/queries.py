@@ -101,6 +101,43 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(storage.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def _least(*options: str) -> str:
+    """SQL of the cheapest way, of equal ones that with the ASCII-least audit. Ways are ``{c: cost, a: audit, r: repaired rows}``."""
+    return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _way(edit: str, cost: str, after: str, row: str | None = None, when: str | None = None) -> str:
+    """SQL of an edit before the way ``after``."""
+    way = f"{{'c': {after}.c + {cost}, 'a': '{edit}' || {after}.a, 'r': {f'list_prepend({row}, {after}.r)' if row else f'{after}.r'}}}"
+    return f"CASE WHEN {when} THEN {way} END" if when else way
+
+
+def _op11_sql() -> str:
+    """From the last row of each conversation to its first, the cheapest way from each state of the grammar: 1 nothing, 2 system, 3 user, 4 assistant."""
+    then, kept = {1: 3, 2: 3, 3: 4, 4: 3}, {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+    name, more = {3: "user", 4: "assistant"}, "CASE WHEN truncated THEN 3 ELSE 0 END"
+    own = [_least(_way("D", "4", f"v[{q}]"), *(_way("K", f"({more})", f"v[{p}]", "role || ':' || text", f"NOT gone AND initial = '{i}'") for i, p in kept[q].items()), _way("R", f"(3 + {more})", f"v[{then[q]}]", f"'{name[then[q]]}:' || text", "NOT gone")) for q in then]
+    insert = lambda v: "[" + ", ".join(_least(f"b[{q}]", _way("I", "3", f"{v}[{then[q]}]", f"'{name[then[q]]}:'")) for q in then) + "]"
+    end = "[{'c': 0, 'a': '', 'r': []::VARCHAR[]}, {'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']}, {'c': 3, 'a': 'I', 'r': ['assistant:']}, {'c': 0, 'a': '', 'r': []::VARCHAR[]}]"
+    step = "list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda k, i: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END, xor(c, b))"
+    return f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce('c' || conv_id, '') AS conv, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS signs FROM conversations),
+hashed AS (SELECT *, xor(list_reduce(signs, lambda c, b: {step}, 4294967295), 4294967295) % 20 AS kind FROM keyed),
+damaged AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM hashed, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i FROM damaged),
+judged AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(role[1]) OVER (PARTITION BY conv ORDER BY i) || role[1] AS pair FROM placed),
+faulty AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated, blank OR again AS gone, role[1] AS initial FROM judged),
+counts AS (SELECT conv, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY 1),
+ways AS (SELECT conv, n + 1 AS i, {end} AS v FROM counts
+  UNION ALL SELECT conv, i, {insert('w')} FROM (SELECT *, {insert('b')} AS w FROM (SELECT f.conv, f.i, [{', '.join(own)}] AS b FROM ways JOIN faulty f ON f.conv = ways.conv AND f.i = ways.i - 1)))
+SELECT DISTINCT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('blank', 'duplicate', 'truncated', 'illegal'))}, CAST(coalesce(v[1].c, 0) AS BIGINT) AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].r, chr(10)), '')) AS repaired_sha256
+FROM keyed LEFT JOIN counts USING (conv) LEFT JOIN (SELECT * FROM ways WHERE i = 1) USING (conv)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(storage.table(spark, sf_dir, "documents", "doc_id", "text", "source"), with_text=False).taken()
 
@@ -114,4 +151,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op3_suffix_array_dedup": OP3_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op3_suffix_array_dedup": OP3_SQL, "op7_url_filter": OP7_SQL, "op11_conversation_repair": OP11_SQL}

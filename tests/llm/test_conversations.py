@@ -102,6 +102,22 @@ def test_cheapest_edits(spark, most):
     assert not wrong, list(wrong.items())[:2]
 
 
+def test_sql_says_the_same():
+    """The query's SQL against the plain search, on odd rows."""
+    import duckdb
+    import pyarrow as pa
+
+    from lectern.llm import queries
+
+    rows = made(2, 150)
+    con = duckdb.connect()
+    con.register("conversations", pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*rows))))))
+    got = {r[0]: r[1:] for r in con.sql(f"SELECT conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 FROM ({queries.OP11_SQL})").fetchall()}
+    want = plain(rows)
+    wrong = {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]}
+    assert len(got) == len(want) and not wrong, list(wrong.items())[:2]
+
+
 def test_ties_and_inserts():
     """Inserting both of a pair before a lone assistant row costs as much as other ways; the least initials win."""
     rows = [(1, t, r, "A.") for t, r in enumerate(["assistant", "assistant"])]
