@@ -48,6 +48,8 @@ MARGIN = 2.0
 COUNTS, COARSE = 512, 64
 SAMPLE = 20_000
 COMMON = 100_000
+#: Characters whose shingles are hashed at once.
+SIGNS = 500_000
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -338,7 +340,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in bpe.in_blocks(batch):
+            for at, texts in bpe.in_blocks(batch, most=SIGNS):
                 found = [x.view(np.int64) for x in shingles(texts, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(found, pa.list_(pa.int64()))], names=["id", "keys"])
 
@@ -350,7 +352,7 @@ def shingle_bytes(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in bpe.in_blocks(batch):
+            for at, texts in bpe.in_blocks(batch, most=SIGNS):
                 found = [x.tobytes() for x in shingles(texts, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(found, pa.binary())], names=["id", "data"])
 
@@ -364,7 +366,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = Common(common)
         for batch in batches:
-            for at, texts in bpe.in_blocks(batch):
+            for at, texts in bpe.in_blocks(batch, most=SIGNS):
                 data, counts, keys = [], [], []
                 for x in shingles(texts, shingle):
                     data.append(wide_fingerprint(x) + xxhash.xxh128_digest(x.tobytes()))
