@@ -74,7 +74,7 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
 @query(f"WITH {_BM25}, src AS (SELECT br.*, text, 'chunk_' || substr(md5(text), 1, 12) AS content_id FROM br JOIN documents ON doc_id = chunk_id WHERE rank <= 10) SELECT query_id, chunk_id, content_id, score, rank, short AS snippet FROM ({_short('text', 200, 120)})", ints="rank")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best ten documents of every benchmark text, with content id and snippet."""
-    found = lexical.search(_index(spark, sf_dir), tables.questions(spark, sf_dir), 10)
+    found = store.kept(lexical.search(_index(spark, sf_dir), tables.questions(spark, sf_dir), 10), "found")
     rows = found.join(tables.contents(spark, sf_dir), "chunk_id")
     return rows.select("query_id", "chunk_id", tx.chunk_id(F.col("content")).alias("content_id"), "score", "rank", tx.snippet(F.col("content")).alias("snippet"))
 
@@ -423,7 +423,9 @@ def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("text").alias("content"), (F.floor(F.col("n_chars") / 1000)).alias("page_num"), F.lit(None).cast("string").alias("section_id"), F.col("lang").alias("section_title"))
     titles = docs.select(F.col("source").alias("doc_id"), F.concat(F.lit("Title "), F.col("source")).alias("title")).distinct()
-    return citations.look_up(_hybrid(spark, sf_dir), citations.build(chunks, titles))
+    found = store.kept(_hybrid(spark, sf_dir), "found")
+    wanted = chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")  # snippets of what was found alone
+    return citations.look_up(found, citations.build(wanted, titles))
 
 
 _CITED = f"{_HYBRID}, src AS (SELECT hyb.*, text, source AS document_id, 'Title ' || source AS document_title, n_chars // 1000 AS page_number, lang AS section_title FROM hyb LEFT JOIN documents ON doc_id = chunk_id), cited AS ({_short('text', 200, 120)})"
@@ -541,7 +543,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn scored with the best five documents for the question before it."""
     rows = tables.answers(spark, sf_dir)
     docs = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("document_title"), F.col("lang").alias("section_id"), (F.col("n_chars") % 2).alias("formula_count"), F.lit(0).alias("table_count"))
-    chunks = lexical.search(_index(spark, sf_dir), rows.select("query_id", "question"), 5).join(docs, "chunk_id")
+    chunks = store.kept(lexical.search(_index(spark, sf_dir), rows.select("query_id", "question"), 5), "found").join(docs, "chunk_id")
     out = answers.score_answers(rows.select("query_id", "question"), rows.select("query_id", "raw_response"), chunks)
     return out.select("query_id.conv_id", "query_id.turn", "source_quality", "source_consistency", "response_coherence", "domain_relevance", F.col("confidence.score").alias("score"), F.col("confidence.level").alias("level"))
 

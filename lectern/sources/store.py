@@ -92,6 +92,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str = "kept") -> DataFrame:
+    """Rows written to the shared folder and read from there: made once however often they are used, and of a size that Spark knows, so that few of them are sent
+    to the scan of a large table they are joined with, and many aren't."""
+    path = fresh_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def export_citations(citations: DataFrame, document_id=None) -> DataFrame:
     """Citations, of one document if asked, with their number and the time."""
     out = citations if document_id is None else citations.where(F.col("document_id") == F.lit(document_id))
