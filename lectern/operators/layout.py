@@ -20,6 +20,8 @@ HEADING_PATTERNS = [
     (r"^(?:\d+\.\d+)\s*([A-Z][^\n]+)$", 1),
     (r"^(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*$", 0),
 ]
+#: The same with groups that give nothing back: what they give back can't match here, and Java would go a level deeper for each repetition, to a stack overflow on long lines.
+_FLAT = {HEADING_PATTERNS[3][0]: r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+\s*$"}
 
 
 def blocks_from_spans(spans: DataFrame) -> DataFrame:
@@ -66,14 +68,14 @@ def is_header(text: Column, size: Column, body_size: Column) -> Column:
 def heading_title(text: Column, patterns: list[tuple[str, int]] | None = None) -> Column:
     """Title of the first pattern that the text matches, null if none does."""
     clean = F.trim(text)
-    found = [F.when(clean.rlike("(?i)" + p), F.trim(F.regexp_extract(clean, "(?i)" + p, g))) for p, g in (HEADING_PATTERNS if patterns is None else patterns)]
+    found = [F.when(clean.rlike("(?i)" + _FLAT.get(p, p)), F.trim(F.regexp_extract(clean, "(?i)" + _FLAT.get(p, p), g))) for p, g in (HEADING_PATTERNS if patterns is None else patterns)]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 def section_id(text: Column) -> Column:
     """The number at the beginning, else the capital letter there, else an id from the text's hash."""
     clean = F.trim(text)
-    number = F.regexp_extract(clean, r"^(\d+(?:\.\d+)*)", 1)
+    number = F.regexp_extract(clean, r"^(\d+(?:\.\d+)*+)", 1)
     letter = F.regexp_extract(clean, r"^([A-Z])", 1)
     return F.when(number != "", number).when(letter != "", letter).otherwise(F.concat(F.lit("sec_"), F.pmod(F.xxhash64(text), F.lit(1000)).cast("string")))
 

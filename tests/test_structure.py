@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,20 @@ def test_headings(spark, text, title, id_, level):
     assert (row.title, row.id, row.level) == (title, id_, level)
 
 
+def test_headings_of_long_lines(spark):
+    """A line of very many words, or a number of very many parts, doesn't overflow Java's stack; what matches stays the same."""
+    words, number = "Word " * 20000, "1." * 20000 + "1"
+    signs = random.Random(3)
+    texts = [words + "end", words + "end.", number, *("".join(signs.choices("aB \t.1", k=signs.randint(1, 9))) for _ in range(500))]
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").select("i", layout.heading_title(F.col("t"), layout.HEADING_PATTERNS[3:]).alias("title"), layout.section_id(F.col("t")).alias("id")).orderBy("i").collect()
+    assert [r.title for r in rows[:3]] == [words + "end", None, None] and rows[2].id == number
+    for text, r in zip(texts[3:], rows[3:]):
+        found = re.match(r"(?i)(?:[a-z][a-z]+(?:\s+[a-z][a-z]+)*)\s*$", text.strip(" "))
+        assert r.title == (found and found.group().strip(" ")), text
+        number = re.match(r"\d+(?:\.\d+)*", text.strip(" "))
+        assert not number or r.id == number.group(), text
+
+
 def test_section_ids_without_letters(spark):
     assert spark.createDataFrame([("éclat",)], "t string").select(layout.section_id(F.col("t")).alias("i")).first().i.startswith("sec_")
 
