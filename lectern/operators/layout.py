@@ -31,6 +31,18 @@ def blocks_from_spans(spans: DataFrame) -> DataFrame:
     return blocks.where("text <> ''").withColumn("block_type", F.lit("text"))
 
 
+def blocks_of_pages(pages: DataFrame) -> DataFrame:
+    """The same of pages that hold their blocks, lines and spans as arrays, in order (``doc_id, page_num, blocks``, as in ``sources.layouts``): each page lies in one row, so nothing is
+    shuffled. A page is a row's: pages that share their number aren't put together."""
+    lines = lambda b: F.filter(b["lines"], lambda x: F.size(x["spans"]) > 0)
+    text = lambda b: F.trim(F.array_join(F.transform(lines(b), lambda x: F.array_join(F.transform(x["spans"], lambda s: s["text"]), "")), "\n"))
+    edge = lambda b, of, side: of(F.flatten(F.transform(lines(b), lambda x: F.transform(x["spans"], lambda s: s["bbox"][side])))).alias(side)
+    box = lambda b: F.struct(edge(b, F.array_min, "x0"), edge(b, F.array_min, "y0"), edge(b, F.array_max, "x1"), edge(b, F.array_max, "y1"))
+    kept = lambda b, i: F.when(b["type"] == "text", F.struct(i.alias("block_no"), text(b).alias("text"), box(b).alias("bbox")))
+    each = pages.select("doc_id", "page_num", F.explode(F.transform("blocks", kept)).alias("b"))
+    return each.select("doc_id", "page_num", "b.block_no", "b.text", "b.bbox").where("text <> ''").withColumn("block_type", F.lit("text"))
+
+
 def _box_of(box: str) -> list[Column]:
     b = F.col(box)
     return [F.struct(F.min(b["x0"]).alias("x0"), F.min(b["y0"]).alias("y0"), F.max(b["x1"]).alias("x1"), F.max(b["y1"]).alias("y1")).alias(box)]

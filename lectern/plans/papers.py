@@ -134,10 +134,8 @@ def blocks_from_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, by digest and place, of pages that were written as files of laid-out text and read from there."""
     folder = store.fresh_dir(spark, "layouts")
-    # places on a page: five blocks of four lines
-    words = tables.word_spans(spark, sf_dir).withColumn("block_no", F.col("block_no") - (F.col("page_num") - 1) * 5)
-    layouts.write(words.withColumns({"size": F.lit(10.0), "flags": F.lit(0), "font": F.lit("serif")}), folder)
-    blocks = layout.blocks_from_spans(layouts.spans(spark, folder))
+    layouts.write_pages(tables.laid_out(spark, sf_dir), folder)
+    blocks = layout.blocks_of_pages(layouts.pages(spark, folder).where("is_page"))
     return blocks.select("doc_id", "page_num", "block_no", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"))
 
 

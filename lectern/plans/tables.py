@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import layout
 
 PEOPLE = ["Ann Smith", "Bob Jones", "Carl M. Quinn", "Dora 2 Lind"]
 PAGE_LINES = 20
+BLOCK_LINES = 4
 COMMON_TERMS = ["the", "that", "and", "der", "und", "les", "que", "tion", "for", "with"]
 QUERY_STEP = 50  # searches take every row whose id is divisible by this
 
@@ -102,10 +103,25 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as spans (each with a space after it), lines as lines, four of them to a block."""
     lines = blocks(spark, sf_dir)
-    words = lines.select("doc_id", "page_num", F.floor(F.col("block_no") / 4).cast("int").alias("block_no"), (F.col("block_no") % 4).alias("line_no"), "bbox", F.posexplode(F.split("text", " ")).alias("span_no", "word"))
+    words = lines.select("doc_id", "page_num", F.floor(F.col("block_no") / BLOCK_LINES).cast("int").alias("block_no"), (F.col("block_no") % BLOCK_LINES).alias("line_no"), "bbox", F.posexplode(F.split("text", " ")).alias("span_no", "word"))
     return words.select("doc_id", "page_num", "block_no", "line_no", "span_no", F.concat("word", F.lit(" ")).alias("text"), "bbox")
 
 
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, page_num, blocks)``: the same as pages that hold blocks, their lines and the spans of these. A page is cut from its document's row."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    cut = lambda rows, n: F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / n).cast("int")), lambda i: F.slice(rows, i * n + 1, n))
+    pages = lines.select("doc_id", F.posexplode(cut(F.col("lines"), PAGE_LINES)).alias("page", "lines")).select("doc_id", (F.col("page") + 1).alias("page_num"), cut(F.col("lines"), BLOCK_LINES).alias("parts"))
+
+    def line(text: Column, place: Column) -> Column:
+        y = (place * 10).cast("double")
+        box = F.struct(F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 10).alias("y1")).alias("bbox")
+        return F.struct(F.transform(F.split(text, " "), lambda w: F.struct(F.concat(w, F.lit(" ")).alias("text"), F.lit(10.0).alias("size"), F.lit(0).alias("flags"), F.lit("serif").alias("font"), box)).alias("spans"))
+
+    blocks = F.transform("parts", lambda part, b: F.struct(F.lit("text").alias("type"), F.transform(part, lambda text, i: line(text, b * BLOCK_LINES + i)).alias("lines")))
+    return pages.select("doc_id", "page_num", blocks.alias("blocks"))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns wrapped as raw answers, each with the user turn before it (``''`` without one): ``(query_id struct(conv_id, turn), question, raw_response)``."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,7 +3,8 @@
     {"doc_id": 7, "page_num": 1, "width": 500.0, "height": 800.0, "blocks": [{"type": "text", "lines": [{"spans": [
         {"text": "Some ", "size": 11.0, "flags": 0, "font": "serif", "bbox": {"x0": 0.0, "y0": 0.0, "x1": 40.0, "y1": 10.0}}]}]}]}
 
-Files are read with a declared schema, so nothing is read to find it out, and Spark splits them by lines. A line that isn't such a page
+Files are read with a declared schema, so nothing is read to find it out. Plain files are split by lines; those written here are compressed (every span repeats the names of its fields) and of
+a bounded number of pages instead. A line that isn't such a page
 is set apart with its file (``bad_pages``) and doesn't end the job. Places within a block, and on a page, are those in the file.
 """
 
@@ -16,6 +17,8 @@ BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
 SPAN = f"struct<text: string, size: double, flags: int, font: string, bbox: {BOX}>"
 PAGE = f"doc_id long, page_num int, width double, height double, blocks array<struct<type: string, lines: array<struct<spans: array<{SPAN}>>>>>"
 BAD = "_bad"
+#: Pages of a file that is written, at most.
+FILE_PAGES = 5_000
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -49,4 +52,9 @@ def write(spans: DataFrame, path: str) -> None:
     lines = spans.groupBy("doc_id", "page_num", "block_no", "line_no").agg(gather("span_no", F.struct("text", "size", "flags", "font", "bbox")).alias("spans"))
     blocks = lines.groupBy("doc_id", "page_num", "block_no").agg(gather("line_no", F.struct("spans")).alias("lines"))
     rows = blocks.groupBy("doc_id", "page_num").agg(gather("block_no", F.struct(F.lit("text").alias("type"), "lines")).alias("blocks"))
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    write_pages(rows, path)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Pages that hold their blocks as such files."""
+    pages.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip").option("maxRecordsPerFile", FILE_PAGES).json(path)

@@ -277,3 +277,17 @@ def test_kept_figures(spark, tmp_path):
     assert figures() == want
     summaries.compact(spark, path, keys, sums, "all")
     assert figures() == want and len(summaries._batches(spark, path)) == 1
+
+
+def test_blocks_of_pages_without_a_shuffle(spark, tmp_path):
+    """Pages that lie in one row give the blocks of their spans; files are compressed."""
+    box = lambda x, y: (x, y, x + 1.0, y + 2.0)
+    span = lambda t, x, y: (t, 9.0, 0, "serif", box(x, y))
+    pages = [(1, 1, 5.0, 8.0, [("text", [([span("b ", 2.0, 3.0), span(None, 9.0, 9.0), span("a", 1.0, 4.0)],), ([],), (None,), ([span(" c", 0.5, 7.0)],)]), ("image", [([span("no", 0.0, 0.0)],)]), ("text", []), ("text", None), ("text", [([span(" ", 0.0, 0.0)],)])]), (1, 2, 5.0, 8.0, [("text", [([span("d", 0.0, 0.0)],)])]), (2, 1, 5.0, 8.0, None)]
+    layouts.write_pages(spark.createDataFrame(pages, layouts.PAGE), str(tmp_path / "pages"))
+    assert list((tmp_path / "pages").glob("*.json.gz")) and not list((tmp_path / "pages").glob("*.json"))
+    got = layout.blocks_of_pages(layouts.pages(spark, str(tmp_path / "pages")).where("is_page"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = layout.blocks_from_spans(layouts.spans(spark, str(tmp_path / "pages")))
+    rows = lambda df: sorted((r.doc_id, r.page_num, r.block_no, r.text, tuple(r.bbox), r.block_type) for r in df.collect())
+    assert rows(got) == rows(want) == [(1, 1, 0, "b a\n c", (0.5, 3.0, 10.0, 11.0), "text"), (1, 2, 0, "d", (0.0, 0.0, 1.0, 2.0), "text")]
