@@ -33,6 +33,8 @@ MOST_TERMS, PUSHED_TERMS = 200_000, 500
 ASKED_AT_ONCE = 500_000
 #: Chunks and tokens of a block, at most (but for one chunk of more tokens).
 BLOCK, BLOCK_TOKENS = 16_384, 1_000_000
+#: Chunks of blocks that are searched as one, at most; a lane has ``BLOCK`` on the average.
+TOGETHER = 2 * BLOCK
 #: Bytes for each core below which chunks are dealt anew.
 SMALL = 16 << 20
 #: Scores count to six places; pruning leaves that much room.
@@ -182,16 +184,24 @@ class Block:
         self.norm = K1 * (1 - B + B * lengths / average)
         self.average, self.barred = average, barred
         self.lists: list[tuple[np.ndarray, np.ndarray, float]] = []
-        self.parts: dict[int, np.ndarray] = {}
+        self.parts: dict[int, np.ndarray] = {}  # of lists of many chunks a number for every chunk
         self.seen = self.looked_up = 0
 
     def add(self, places: np.ndarray, tfs: np.ndarray, most_tf: int, least_length: int) -> None:
         self.lists.append((places, tfs, most_tf * (K1 + 1) / (most_tf + K1 * (1 - B + B * least_length / self.average))))
 
+    def dense(self, i: int) -> bool:
+        return len(self.lists[i][0]) * 4 > len(self.norm)
+
     def part(self, i: int) -> np.ndarray:
         if i not in self.parts:
             places, tfs, _ = self.lists[i]
-            self.parts[i] = tfs * (K1 + 1) / (tfs + self.norm[places])
+            own = tfs * (K1 + 1) / (tfs + self.norm[places])
+            if self.dense(i):
+                every = np.zeros(len(self.norm))
+                every[places] = own
+                own = every
+            self.parts[i] = own
         return self.parts[i]
 
     def best(self, asked: list[tuple[float, int]], k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -210,24 +220,32 @@ class Block:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         for at, (weight, i) in enumerate(order):
             places = self.lists[i][0]
-            if weight > 0 and at and len(places) * 8 > n and n > k:
+            # counting is cheap where finding the k-th best isn't
+            if weight > 0 and at and len(places) * 8 > n and n > k and (floor - ROOM > rest[at] or np.count_nonzero(score > rest[at] + ROOM) >= k):
                 least = max(floor, float(np.partition(score, n - k)[n - k]))
                 if least - ROOM > rest[at]:
                     break
-            score[places] += weight * self.part(i)
+            if self.dense(i):
+                score += weight * self.part(i)
+            else:
+                score[places] += weight * self.part(i)
             self.seen += len(places)
         else:
             at = len(order)
         if at == len(order):
-            open_ = np.flatnonzero(score > 0)
+            least = max(floor, float(np.partition(score, n - k)[n - k])) if n > k else floor
+            open_ = np.flatnonzero((score > 0) & (score >= least - ROOM))
         else:
             open_ = np.flatnonzero(score + rest[at] >= least - ROOM)
             for left, (weight, i) in enumerate(order[at:], at):
-                places = self.lists[i][0]
-                where = np.searchsorted(places, open_)
-                hit = where < len(places)
-                hit[hit] = places[where[hit]] == open_[hit]
-                score[open_[hit]] += weight * self.part(i)[where[hit]]
+                if self.dense(i):
+                    score[open_] += weight * self.part(i)[open_]
+                else:
+                    places = self.lists[i][0]
+                    where = np.searchsorted(places, open_)
+                    hit = where < len(places)
+                    hit[hit] = places[where[hit]] == open_[hit]
+                    score[open_[hit]] += weight * self.part(i)[where[hit]]
                 self.looked_up += len(open_)
                 if len(open_) > k:
                     own = score[open_]
@@ -241,17 +259,36 @@ class Block:
 
 
 def _searcher(top_k: int, filtered: bool):
-    """Searches a few blocks, one after the other; what the first ones gave lets later ones be passed over."""
+    """Searches a few blocks, as one as long as they have no more than ``TOGETHER`` chunks: what a question costs in a block besides its lists' length is paid once then. What the first ones gave lets later ones be passed over."""
 
     def blocks(table: pa.Table) -> Iterator[tuple[Block, pa.Array, dict]]:
-        """Of each block its lists, its ids, and the ``(weight, list)`` of each question."""
+        """Of blocks put together their lists, their ids, and the ``(weight, list)`` of each question."""
         kinds, numbers = np.array(table.column("kind").to_pylist()), table.column("block").to_numpy()
         column = lambda c: table.column(c).combine_chunks()
         places, tfs, all_ids, all_lengths, asking = (column(c) for c in ("places", "tfs", "ids", "lengths", "asking"))
         most, least = table.column("most_tf").to_pylist(), table.column("least_length").to_pylist()
+        terms = column("term").dictionary_encode().indices.fill_null(-1).to_numpy()
         average = table.column("avg_length")[0].as_py()
         flat = lambda c, i: c[int(i)].values.to_numpy(zero_copy_only=False)
-        order = np.argsort(numbers, kind="stable")
+        order = np.lexsort((terms, numbers))
+        held: list[tuple[np.ndarray, int, np.ndarray, pa.Array, np.ndarray]] = []  # of a block: its lists, where its places begin, lengths, ids, what is barred
+
+        def together() -> tuple[Block, pa.Array, dict]:
+            barred = np.concatenate([x[4] for x in held])
+            block, questions = Block(np.concatenate([x[2] for x in held]), average, barred if barred.any() else None), {}
+            lists, begins = np.concatenate([x[0] for x in held]), np.concatenate([np.full(len(x[0]), x[1], dtype=np.int32) for x in held])
+            by_term = np.argsort(terms[lists], kind="stable")
+            lists, begins = lists[by_term], begins[by_term]
+            cuts = [0, *(np.flatnonzero(np.diff(terms[lists])) + 1).tolist(), len(lists)]
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                own = lists[i:j].tolist()
+                block.add(np.concatenate([flat(places, x) + y for x, y in zip(own, begins[i:j])]), np.concatenate([flat(tfs, x) for x in own]), max(most[x] for x in own), min(least[x] for x in own))
+                for x in asking[own[0]].as_py():
+                    key = x["query_id"]
+                    questions.setdefault(tuple(key.values()) if isinstance(key, dict) else key, (key, []))[1].append((x["weight"], k))
+            return block, pa.concat_arrays([x[3] for x in held]), questions
+
+        size = 0
         for own in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1):
             chunks, lists = own[kinds[own] == CHUNKS], own[kinds[own] == LIST]
             if not len(chunks) or not len(lists) or not average:
@@ -264,13 +301,13 @@ def _searcher(top_k: int, filtered: bool):
                 barred[flat(places, i)] = True
             if barred.all():
                 continue
-            block, questions = Block(lengths, average, barred if barred.any() else None), {}
-            for k, i in enumerate(lists.tolist()):
-                block.add(flat(places, i), flat(tfs, i), most[i], least[i])
-                for x in asking[i].as_py():
-                    key = x["query_id"]
-                    questions.setdefault(tuple(key.values()) if isinstance(key, dict) else key, (key, []))[1].append((x["weight"], k))
-            yield block, all_ids[int(chunks[0])].values, questions
+            if held and size + len(lengths) > TOGETHER:
+                yield together()
+                held, size = [], 0
+            held.append((lists, size, lengths, all_ids[int(chunks[0])].values, barred))
+            size += len(lengths)
+        if held:
+            yield together()
 
     def best(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -311,7 +348,7 @@ def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: s
     every = lists.join(F.broadcast(parts)).withColumn("part", F.explode(F.when(F.col("part").isNull(), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))))
     lanes = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).alias("lanes")
     grouped = every.join(F.broadcast(index.totals.select("avg_length", lanes))).withColumn("lane", F.pmod(F.xxhash64("block"), F.col("lanes")))
-    grouped = grouped.select("part", "lane", "block", "kind", "most_tf", "least_length", "places", "tfs", "ids", "lengths", "asking", "avg_length")
+    grouped = grouped.select("part", "lane", "block", "kind", "term", "most_tf", "least_length", "places", "tfs", "ids", "lengths", "asking", "avg_length")
     types = dict(asked.dtypes)["query_id"], dict(index.rows.dtypes)["ids"].removeprefix("array<")[:-1]
     found = grouped.groupBy("part", "lane").applyInArrow(_searcher(top_k, index.filtered), f"query_id {types[0]}, chunk_id {types[1]}, score double")
     # columns of their own, as Spark doesn't tell the two sides of a self-join of such groups apart
