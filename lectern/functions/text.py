@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from . import terms as many_terms
 MANY = 64
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, for which the value is found once however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of three or more letters a-z that stand between characters that are no letters, digits or underscores."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x.rlike("^[a-z]{3,}$"))
@@ -41,16 +48,20 @@ def last_place(text: Column, sign: str) -> Column:
 def shortened(text: Column, most: int, share: float) -> Column:
     """Text of at most ``most`` characters as it is; else cut after the last sentence that ends beyond ``share`` of them, else
     before the last space, else hard, the last two with dots."""
-    clean = squeezed(text)
-    cut = F.substring(clean, 1, most)
-    sentence = F.greatest(*(last_place(cut, s) for s in ".!?"))
-    space = last_place(cut, " ")
-    return (
-        F.when(F.length(clean) <= most, clean)
-        .when(sentence > most * share, cut.substr(F.lit(1), sentence + 1))
-        .when(space > 0, F.concat(cut.substr(F.lit(1), space), F.lit("...")))
-        .otherwise(F.concat(cut, F.lit("...")))
-    )
+    begin = F.substring(text, 1, 4 * most)  # enough, unless most of it is white space
+
+    def cut_at(cut: Column, sentence: Column, space: Column) -> Column:
+        return F.when(sentence > most * share, cut.substr(F.lit(1), sentence + 1)).when(space > 0, F.concat(cut.substr(F.lit(1), space), F.lit("..."))).otherwise(F.concat(cut, F.lit("...")))
+
+    def placed(cut: Column) -> Column:
+        places = F.struct(F.greatest(*(last_place(cut, s) for s in ".!?")).alias("sentence"), last_place(cut, " ").alias("space"))
+        return bound(places, lambda p: cut_at(cut, p["sentence"], p["space"]))
+
+    def whole(clean: Column) -> Column:
+        return F.when(F.length(clean) <= most, clean).otherwise(bound(F.substring(clean, 1, most), placed))
+
+    of_begin = bound(squeezed(begin), lambda c: F.when(F.length(c) > most, whole(c)))
+    return F.coalesce(F.when(F.length(text) > 4 * most, of_begin), bound(squeezed(text), whole))
 
 
 def snippet(text: Column) -> Column:

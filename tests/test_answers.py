@@ -1,6 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as tx
 from lectern.functions.text import chunk_id
 from lectern.operators import answers, catalog, chat
 from lectern.plans import queries
@@ -246,3 +250,24 @@ def test_every_assistant_turn_is_an_answer(spark, tmp_path):
     assert scored == {(1, 1): (0.8, 0.3), (1, 3): (0.5, 0.0), (2, 0): (0.2, 0.0)}
     shown = {(r.conv_id, r.turn): r.formatted for r in queries.formatted_answers(spark, str(tmp_path)).collect()}
     assert len(shown) == 3 and long in shown[(1, 3)]
+
+
+def test_quotes_of_long_texts(spark):
+    """Of a long text no more is cleaned than is quoted, but where its beginning is white space; a cleaned text is made once."""
+    def plain(text, most, share):
+        clean = re.sub("^ | $", "", re.sub(r"\s+", " ", text))
+        if len(clean) <= most:
+            return clean
+        cut = clean[:most]
+        sentence, space = max(cut.rfind(s) for s in ".!?"), cut.rfind(" ")
+        return cut[: sentence + 1] if sentence > most * share else cut[:space] + "..." if space > 0 else cut + "..."
+
+    signs = random.Random(5)
+    texts = ["".join(signs.choices("ab \n.", [9, 9, w, w, d], k=k)) for w in (0, 1, 60) for d in (0, 0.1) for k in (10, 299, 301, 1300, 4000)]
+    texts += [" " * 5000 + "a b " * 200, "a " + " " * 5000 + "b" * 400, " " * 5000, "", "x" * 1201]
+    for most, share in ((300, 0.7), (200, 0.6)):
+        short = tx.shortened(F.col("t"), most, share)
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", short.alias("s")).collect()
+        assert all(r.s == plain(r.t, most, share) for r in rows)
+    assert str(tx.quote(F.col("t"))).count("regexp_replace") <= 4
+    assert spark.createDataFrame([(None,)], "t string").select(tx.quote(F.col("t")).alias("s")).first().s is None
