@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id, long_words, word_count
+from ..functions.text import bound, chunk_id, long_words, word_count
 
 SIZE, OVERLAP = 1000, 100
 
@@ -34,6 +34,8 @@ FORMULA_WORDS = [("\\alpha", "alpha"), ("\\beta", "beta"), ("\\sigma", "sigma"),
 
 _CURRENCY = re.compile(CURRENCY_PATTERN, re.IGNORECASE)
 _SPECIAL = re.compile("|".join(f"(?P<f{i}>{p})" for i, p in enumerate(FORMULA_PATTERNS[:5])) + f"|(?P<money>(?i:{CURRENCY_PATTERN}))|(?P<inline>{FORMULA_PATTERNS[5]})|(?P<caption>(?i:{CAPTION_PATTERN}))", re.DOTALL)
+#: What every formula, amount and caption begins with. A search for it passes over most texts many times faster.
+_MAYBE = re.compile(r"[$\\]|[Tt][Aa][Bb][Ll][Ee]|[Ff][Iiıİ][Gg][Uu][Rr][Ee]")
 _CAPTION_END = re.compile(r"\n\s*\n|\n\s*[A-Z]")
 _PLACEHOLDER = r"__(?:FORMULA|TABLE)_\d+__"
 
@@ -42,6 +44,8 @@ def mask_special(text: str) -> tuple[str, dict[str, str]]:
     """The text with placeholders, and what they stand for; one pass from left to right. Putting the
     originals back gives the text again."""
     out, kept, at, number = [], {}, 0, 0
+    if not _MAYBE.search(text):
+        return text, kept
     while found := _SPECIAL.search(text, at):
         start, end, kind = found.start(), found.end(), found.lastgroup
         if kind == "caption":
@@ -115,11 +119,12 @@ def normalize_formula(formula: Column) -> Column:
 def related(before: Column, here: Column, size: int = SIZE) -> Column:
     """Whether neighbouring paragraphs belong together: short enough, at most one placeholder, and
     three tenths of the smaller set of long words shared."""
-    a, b = long_words(before), long_words(here)
     marks = F.size(F.regexp_extract_all(F.concat(before, here), F.lit(f"({_PLACEHOLDER})"), F.lit(1)))
-    smaller = F.least(F.size(a), F.size(b))
-    enough = F.size(F.array_intersect(a, b)) * 10 >= smaller * 3
-    return F.coalesce((F.length(before) + F.length(here) <= size * 0.8) & (marks <= 1) & (smaller > 0) & enough, F.lit(False))
+    smaller = lambda w: F.least(F.size(w["a"]), F.size(w["b"]))
+    alike = lambda w: (smaller(w) > 0) & (F.size(F.array_intersect(w["a"], w["b"])) * 10 >= smaller(w) * 3)
+    words = F.struct(long_words(before).alias("a"), long_words(here).alias("b"))
+    short = F.length(before) + F.length(here) <= size * 0.8
+    return F.coalesce(F.when(short, F.when(marks <= 1, bound(words, alike))), F.lit(False))
 
 
 def group_paragraphs(paragraphs: DataFrame, keys: list[str], order: str = "para_no", text: str = "paragraph", size: int = SIZE) -> DataFrame:

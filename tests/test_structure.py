@@ -291,3 +291,17 @@ def test_blocks_of_pages_without_a_shuffle(spark, tmp_path):
     want = layout.blocks_from_spans(layouts.spans(spark, str(tmp_path / "pages")))
     rows = lambda df: sorted((r.doc_id, r.page_num, r.block_no, r.text, tuple(r.bbox), r.block_type) for r in df.collect())
     assert rows(got) == rows(want) == [(1, 1, 0, "b a\n c", (0.5, 3.0, 10.0, 11.0), "text"), (1, 2, 0, "d", (0.0, 0.0, 1.0, 2.0), "text")]
+
+
+def test_long_words_are_found_once(spark):
+    """Neighbours' words, for whichever of the tests name them."""
+    assert str(chunking.related(F.col("a"), F.col("b"))).count("split(") <= 2
+
+
+def test_texts_without_marks_are_passed_over(monkeypatch):
+    signs = random.Random(2)
+    parts = ["$5", "$$a$$", "\\(x\\)", "\\[y\\]", "TABLE 3", "f\u0131gure 1", "F\u0130GURE 2", "table", "Figure", "plain", ". ", "\n\n", "$ab$"]
+    texts = ["".join(signs.choices(parts, k=signs.randint(0, 4))) for _ in range(500)]
+    quick = [chunking.mask_special(t) for t in texts]
+    monkeypatch.setattr(chunking, "_MAYBE", re.compile(""))
+    assert quick == [chunking.mask_special(t) for t in texts]
