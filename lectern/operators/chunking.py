@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.text import bound, chunk_id, long_words, word_count
 
 SIZE, OVERLAP = 1000, 100
+#: Characters that a task hands on at once.
+FRAME = 1 << 20
 
 #: What formulas, amounts of money and captions look like, and LaTeX commands as words.
 FORMULA_PATTERNS = [
@@ -135,18 +137,33 @@ def group_paragraphs(paragraphs: DataFrame, keys: list[str], order: str = "para_
     return paragraphs.withColumn("_new", F.when(first | same, 0).otherwise(1)).withColumn("group_no", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
+def in_frames(rows: Iterator[tuple], columns: list[str], at: int) -> Iterator[pd.DataFrame]:
+    """Rows as tables of some ``FRAME`` characters in column ``at`` each, so that what a task holds of its results doesn't follow the length of its texts."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[at]) + 100
+        if size >= FRAME:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def paragraphs(texts: DataFrame, keys: list[str], text: str = "text", size: int = SIZE, mask: bool = True) -> DataFrame:
     """``(keys, para_no, paragraph, kept)``: paragraphs, masked unless ``mask`` is false, and what their placeholders stand for."""
     kinds = dict(texts.dtypes)
 
+    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for row in pdf.itertuples(index=False):
+            masked, kept = mask_special(row[-1] or "") if mask else (row[-1] or "", {})
+            for n, p in enumerate(split_paragraphs(masked, size)):
+                yield *row[:-1], n, p, {m: kept[m] for m in re.findall(_PLACEHOLDER, p) if m in kept} if kept else {}
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                masked, kept = mask_special(row[-1] or "") if mask else (row[-1] or "", {})
-                for n, p in enumerate(split_paragraphs(masked, size)):
-                    rows.append((*row[:-1], n, p, {m: kept[m] for m in re.findall(_PLACEHOLDER, p) if m in kept}))
-            yield pd.DataFrame(rows, columns=[*keys, "para_no", "paragraph", "kept"])
+            yield from in_frames(rows(pdf), [*keys, "para_no", "paragraph", "kept"], -2)
 
     return texts.select(*keys, text).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", para_no int, paragraph string, kept map<string,string>")
 
@@ -159,14 +176,16 @@ def chunk_texts(texts: DataFrame, keys: list[str], text: str = "text", size: int
     groups = grouped.groupBy(*keys, "group_no").agg(F.array_sort(F.collect_list(F.struct("para_no", "paragraph", F.map_entries("kept").alias("kept")))).alias("rows"))
     groups = groups.select(*keys, "group_no", F.transform("rows", lambda r: r["paragraph"]).alias("paragraphs"), F.flatten(F.transform("rows", lambda r: r["kept"])).alias("kept"))
 
+    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for *key, group, own, kept in pdf.itertuples(index=False):
+            originals = {k["key"]: k["value"] for k in kept}
+            for n, masked in enumerate(pack_paragraphs(list(own), size, overlap)):
+                whole, marks = (restore_special(masked, originals), [m for m in re.findall(_PLACEHOLDER, masked) if m in originals]) if originals else (masked, [])
+                yield *key, group, n, whole, marks
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for *key, group, own, kept in pdf.itertuples(index=False):
-                originals = {k["key"]: k["value"] for k in kept}
-                for n, masked in enumerate(pack_paragraphs(list(own), size, overlap)):
-                    rows.append((*key, group, n, restore_special(masked, originals), [m for m in re.findall(_PLACEHOLDER, masked) if m in originals]))
-            yield pd.DataFrame(rows, columns=[*keys, "group_index", "_n", "content", "placeholders"])
+            yield from in_frames(rows(pdf), [*keys, "group_index", "_n", "content", "placeholders"], -2)
 
     cut = groups.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", group_index int, _n int, content string, placeholders array<string>")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("group_index", "_n"))
@@ -231,10 +250,14 @@ def split_fixed(pages: DataFrame, keys: list[str], text: str = "page_text", size
     """``(keys, piece_no, content)`` of each page's text."""
     kinds = dict(pages.dtypes)
 
+    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for row in pdf.itertuples(index=False):
+            for n, p in enumerate(recursive_pieces(row[-1] or "", size, overlap)):
+                yield *row[:-1], n, p
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(*row[:-1], n, p) for row in pdf.itertuples(index=False) for n, p in enumerate(recursive_pieces(row[-1] or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[*keys, "piece_no", "content"])
+            yield from in_frames(rows(pdf), [*keys, "piece_no", "content"], -1)
 
     return pages.select(*keys, text).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", piece_no int, content string")
 

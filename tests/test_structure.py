@@ -305,3 +305,12 @@ def test_texts_without_marks_are_passed_over(monkeypatch):
     quick = [chunking.mask_special(t) for t in texts]
     monkeypatch.setattr(chunking, "_MAYBE", re.compile(""))
     assert quick == [chunking.mask_special(t) for t in texts]
+
+
+def test_results_go_on_in_small_tables(monkeypatch):
+    monkeypatch.setattr(chunking, "FRAME", 1000)
+    asked = []
+    rows = ((k, "x" * 300) for k in range(50) if asked.append(k) is None)
+    frames = chunking.in_frames(rows, ["k", "t"], 1)
+    assert len(next(frames)) == 3 and len(asked) == 3  # no more is made than is handed on
+    assert [k for f in frames for k in f.k] == list(range(3, 50)) and not list(chunking.in_frames(iter(()), ["k", "t"], 1))
