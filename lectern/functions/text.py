@@ -99,12 +99,12 @@ def chunk_id(content: Column) -> Column:
 
 
 def joined(rows: Column, sep: str = "\n") -> Column:
-    """A gathered array of ``struct(place, value)`` as one text in the order of the places."""
+    """A gathered array of ``struct(places.., value)`` as one text in the order of the places."""
     return F.array_join(F.transform(F.array_sort(rows), lambda x: x["value"]), sep)
 
 
 def gathered(order: list[Column] | Column, value: Column, sep: str = "\n") -> Column:
     """Aggregate: the values of a group joined in a stated order."""
     keys = order if isinstance(order, list) else [order]
-    place = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
-    return joined(F.collect_list(F.struct(place.alias("place"), value.alias("value"))), sep)
+    # one flat struct, as a nested one takes half as much again of every row that is shuffled
+    return joined(F.collect_list(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), value.alias("value"))), sep)

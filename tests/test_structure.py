@@ -314,3 +314,10 @@ def test_results_go_on_in_small_tables(monkeypatch):
     frames = chunking.in_frames(rows, ["k", "t"], 1)
     assert len(next(frames)) == 3 and len(asked) == 3  # no more is made than is handed on
     assert [k for f in frames for k in f.k] == list(range(3, 50)) and not list(chunking.in_frames(iter(()), ["k", "t"], 1))
+
+
+def test_gathered_rows_are_flat(spark):
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "c"), (0, 9, "a"), (1, 1, "b"), (2, 0, None)], "p int, q int, t string")
+    got = rows.repartition(3).groupBy().agg(tx.gathered([F.col("p"), F.col("q")], F.col("t")).alias("all"))
+    assert got.first().all == "a\nb\nc\nb"
+    assert "collect_list(struct(k0, p" in got._jdf.queryExecution().optimizedPlan().toString()
