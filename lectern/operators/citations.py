@@ -12,6 +12,8 @@ UNKNOWN = "Unknown Document"
 AROUND = 50  # points that a citation's box is widened by on each side
 #: Height of the bands that boxes and blocks meet in, and the last band's number.
 BAND, LAST_BAND = 50.0, 4095
+#: Height of the strips of a page whose blocks are put together for its citations: most pages are one.
+STRIP = 1000.0
 
 
 def build(chunks: DataFrame, documents: DataFrame, sections: DataFrame | None = None, boxes: DataFrame | None = None) -> DataFrame:
@@ -69,9 +71,14 @@ def context_window(text: Column, wanted: Column, around: int = 200) -> Column:
     return F.when(at >= 0, found).otherwise(missing)
 
 
-def bands(low: Column, high: Column) -> tuple[Column, Column]:
-    """The band that ``low`` is in, and all from there to that of ``high``; what lies above the last band or below the first counts to it."""
-    place = lambda y: F.least(F.greatest(F.floor(y / BAND), F.lit(0)), F.lit(LAST_BAND))
+def band_of(y: Column, height: float = BAND) -> Column:
+    """What lies above the last band or below the first counts to it."""
+    return F.least(F.greatest(F.floor(y / height), F.lit(0)), F.lit(LAST_BAND))
+
+
+def bands(low: Column, high: Column, height: float = BAND) -> tuple[Column, Column]:
+    """The band that ``low`` is in, and all from there to that of ``high``."""
+    place = lambda y: band_of(y, height)
     return place(low), F.sequence(F.least(place(low), place(high)), F.greatest(place(low), place(high)))
 
 
@@ -87,14 +94,27 @@ def touching(boxes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def contexts(citations: DataFrame, blocks: DataFrame, pages: DataFrame, around: int = 200) -> DataFrame:
-    """Citations with ``context`` from the blocks of their page that touch their box, widened and kept to the page (from the whole page where the box isn't known)."""
+    """Citations with ``context`` from the blocks of their page that touch their box, widened and kept to the page (from the whole page where the box isn't known).
+
+    A page's blocks are put together once, by strips, and a citation cuts its own out of the strip that it lies in, so the text around it isn't shuffled for each citation. Boxes that
+    reach over several strips meet the blocks in bands, one by one."""
     box, b = F.col("coordinates"), F.col("bbox")
-    wide = citations.join(pages.select(F.col("doc_id").alias("document_id"), F.col("page_num").alias("page_number"), "width", "height"), ["document_id", "page_number"])
+    wide = citations.join(pages.select(F.col("doc_id").alias("document_id"), F.col("page_num").alias("page_number"), "width", "height", F.lit(True).alias("placed")), ["document_id", "page_number"], "left")
     low, high = F.greatest(F.lit(0.0), box["y1"] - AROUND), F.least(F.col("height"), box["y2"] + AROUND)
-    boxes = wide.select("document_id", "page_number", "chunk_id", low.alias("low"), high.alias("high"), F.greatest(F.lit(0.0), box["x1"] - AROUND).alias("left"), F.least(F.col("width"), box["x2"] + AROUND).alias("right"))
+    wide = wide.select(*citations.columns, "placed", low.alias("low"), high.alias("high"), F.greatest(F.lit(0.0), box["x1"] - AROUND).alias("left"), F.least(F.col("width"), box["x2"] + AROUND).alias("right"))
+    wide = wide.withColumn("strip", F.when(F.col("placed"), band_of(F.col("low"), STRIP)))
+    tall = F.coalesce(F.col("strip") != band_of(F.col("high"), STRIP), F.lit(False))
     texts = blocks.where("block_type = 'text'").select(F.col("doc_id").alias("document_id"), F.col("page_num").alias("page_number"), "block_no", "text", b["x0"].alias("x0"), b["x1"].alias("x1"), b["y0"].alias("y0"), b["y1"].alias("y1"))
+    strips = texts.withColumn("strip", F.explode(bands(F.col("y0"), F.col("y1"), STRIP)[1])).groupBy("document_id", "page_number", "strip")
+    strips = strips.agg(F.sort_array(F.collect_list(F.struct("block_no", F.col("text").alias("value"), "x0", "x1", "y0", "y1"))).alias("texts"))
+    touched = F.filter("texts", lambda t: (t["y1"] >= F.col("low")) & (t["y0"] <= F.col("high")) & (t["x1"] >= F.col("left")) & (t["x0"] <= F.col("right")))
+    low_ones = wide.where(~tall).join(strips, ["document_id", "page_number", "strip"], "left")
+    found = low_ones.select(*citations.columns, F.array_join(F.transform(touched, lambda t: t["value"]), "\n").alias("area"))
+    tall_ones = wide.where(tall)
+    boxes = tall_ones.select("document_id", "page_number", "chunk_id", "low", "high", "left", "right")
     near = touching(boxes, texts).where("x1 >= left AND x0 <= right").groupBy("document_id", "chunk_id").agg(gathered(F.col("block_no"), F.col("text")).alias("area"))
-    return citations.join(near, ["document_id", "chunk_id"], "left").withColumn("context", context_window(F.coalesce("area", F.lit("")), F.col("text_snippet"), around)).drop("area")
+    every = found.unionByName(tall_ones.select(*citations.columns).join(near, ["document_id", "chunk_id"], "left"))
+    return every.withColumn("context", context_window(F.coalesce("area", F.lit("")), F.col("text_snippet"), around)).drop("area")
 
 
 def detailed(cited: DataFrame, key: str = "query_id") -> DataFrame:

@@ -208,6 +208,46 @@ def test_citation_contexts(spark, placed):
     assert citations.of_section(cited, "d", "A").count() == 2 and citations.of_page(cited, "d", 2).count() == 1
 
 
+def shuffled_bytes(spark):
+    """Bytes written to shuffles so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    return sum(s.shuffleWriteBytes() for s in (lambda x: [x.apply(i) for i in range(x.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+
+
+def test_citation_contexts_in_strips(spark):
+    """Against all pairs, with boxes within a strip, over several, unknown and on pages that aren't given; and the text around a citation isn't shuffled for each."""
+    rng = random.Random(5)
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    cited = []
+    for k in range(120):
+        y = rng.uniform(0, 3400)
+        cited.append(("d", k, rng.choice([1, 2, 3]), rng.choice(["b7", "lost", "b11"]), None if k % 10 == 0 else (100.0, y, 200.0, y + rng.choice([10.0, 400.0, 2500.0]))))
+    blocks = [("d", page, n, kind, f"b{n}", (float(n % 7 * 60), n * 12.0, n * 60.0, n * 12.0 + rng.choice([9.0, 1200.0]))) for page in (1, 2) for n in range(280) for kind in ["image" if n % 13 == 0 else "text"]]
+    blocks = [(d, p, n, kind, t, (x0, y0, x0 + 50, y1)) for d, p, n, kind, t, (x0, y0, _, y1) in blocks]
+    left = spark.createDataFrame(cited + [(None, 500, 1, "b7", None)], f"document_id string, chunk_id int, page_number int, text_snippet string, coordinates {box}")
+    right = spark.createDataFrame(blocks, "doc_id string, page_num int, block_no int, block_type string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>")
+    pages = spark.createDataFrame([("d", 1, 450.0, 3360.0), ("d", 2, 300.0, 900.0)], "doc_id string, page_num int, width double, height double")
+    sizes = {1: (450.0, 3360.0), 2: (300.0, 900.0)}
+    want = {500: ""}
+    for d, k, page, _, c in cited:
+        width, height = sizes.get(page, (-1e9, -1e9))
+        x1, y1, x2, y2 = c or (0.0, 0.0, 1e9, 1e9)
+        x1, y1, x2, y2 = max(0.0, x1 - 50), max(0.0, y1 - 50), min(width, x2 + 50), min(height, y2 + 50)
+        want[k] = "\n".join(t for _, p, n, kind, t, (a, b, e, f) in blocks if page in sizes and p == page and kind == "text" and f >= y1 and b <= y2 and e >= x1 and a <= x2)
+    out = citations.contexts(left, right, pages, 100_000)
+    assert out.columns == [*left.columns, "context"]
+    got = {r.chunk_id: r for r in out.collect()}
+    assert len(got) == 121 and {k: r.context.full_context for k, r in got.items()} == want
+    assert all(r.context.before == ("" if r.text_snippet not in want[k] else want[k][: want[k].index(r.text_snippet)]) for k, r in got.items())
+    long = spark.range(4000).select(F.lit("d").alias("doc_id"), F.floor(F.col("id") / 20).cast("int").alias("page_num"), F.col("id").cast("int").alias("block_no"), F.lit("text").alias("block_type"), F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 256) for i in range(8))).alias("text"), (F.col("id") % 20 * 10.0).alias("y"))
+    of_lines = long.select("doc_id", "page_num", "block_no", "block_type", "text", F.struct(F.lit(0.0).alias("x0"), F.col("y").alias("y0"), F.lit(500.0).alias("x1"), (F.col("y") + 10).alias("y1")).alias("bbox"))
+    asked = long.select(F.col("doc_id").alias("document_id"), F.col("block_no").alias("chunk_id"), F.col("page_num").alias("page_number"), F.substring("text", 1, 20).alias("text_snippet"), F.struct(F.lit(0.0).alias("x1"), F.col("y").alias("y1"), F.lit(500.0).alias("x2"), (F.col("y") + 10).alias("y2")).alias("coordinates"))
+    before = shuffled_bytes(spark)
+    found = citations.contexts(asked, of_lines, long.select("doc_id", "page_num").distinct().withColumns({"width": F.lit(500.0), "height": F.lit(200.0)}), 100_000)
+    assert found.agg(F.sum(F.length("context.full_context"))).first()[0] > 4000 * 5000
+    assert shuffled_bytes(spark) - before < 5 * 4000 * 512
+
+
 def test_boxes_meet_in_bands(spark):
     """Against all pairs, with boxes of any height, upside down, off the page and far below; and few candidates on a page of many blocks."""
     rng = random.Random(3)
