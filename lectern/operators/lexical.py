@@ -33,6 +33,8 @@ MOST_TERMS, PUSHED_TERMS = 200_000, 500
 ASKED_AT_ONCE = 500_000
 #: Chunks and tokens of a block, at most (but for one chunk of more tokens).
 BLOCK, BLOCK_TOKENS = 16_384, 1_000_000
+#: Tokens that a task holds as strings at once; the others of a block it holds as numbers of terms.
+STRINGS = 65_536
 #: Chunks of blocks that are searched as one, at most; a lane has ``BLOCK`` on the average.
 TOGETHER = 2 * BLOCK
 #: Bytes for each core below which chunks are dealt anew.
@@ -77,17 +79,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
     ids: list[pa.Array] = []
     flat: list[str] = []
     sizes: list[int] = []
+    coded: list[pa.DictionaryArray] = []  # the block's tokens but those in flat
+
+    def code() -> None:
+        coded.append(pa.array(flat, pa.string()).dictionary_encode())
+        flat.clear()
 
     def block() -> Iterator[pa.RecordBatch]:
         nonlocal number
         lengths = np.array(sizes, dtype=np.int32)
         n = len(lengths)
-        coded = pa.array(flat, pa.string()).dictionary_encode()
-        terms = coded.dictionary
+        code()
+        unified = pa.chunked_array(coded).unify_dictionaries()
+        coded.clear()
+        terms = unified.chunk(0).dictionary
         order = pc.sort_indices(terms).to_numpy()
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        keys = rank[coded.indices.to_numpy()] * n + np.repeat(np.arange(n), lengths)
+        keys = rank[np.concatenate([c.indices.to_numpy() for c in unified.chunks])]
+        keys *= n
+        keys += np.repeat(np.arange(n), lengths)
         keys.sort()
         first = np.flatnonzero(np.diff(keys, prepend=-1))
         tfs, term, places = np.diff(first, append=len(keys)).astype(np.int32), keys[first] // n, (keys[first] % n).astype(np.int32)
@@ -113,7 +124,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         arrays = [pa.array(own, pa.int64()), pa.array([kind] * len(own)), pa.array(term, pa.string()), *(pa.array(x, pa.int32()) for x in (df, highest, least)), none(places, numbers), none(tfs, numbers), none(chunk_ids, pa.list_(id_type)), none(lengths, numbers)]
         return pa.RecordBatch.from_arrays(arrays, names=["block", "kind", "term", "df", "most_tf", "least_length", "places", "tfs", "ids", "lengths"])
 
-    id_type = pa.string()
+    id_type, held = pa.string(), 0
     for batch in batches:
         id_type = batch.column(0).type
         begin = 0
@@ -121,11 +132,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             found = TOKEN.findall((text.as_py() or "").lower())
             flat += found
             sizes.append(len(found))
-            if len(sizes) == most or len(flat) >= BLOCK_TOKENS:
+            held += len(found)
+            if len(flat) >= STRINGS:
+                code()
+            if len(sizes) == most or held >= BLOCK_TOKENS:
                 ids.append(batch.column(0).slice(begin, i + 1 - begin))
                 begin = i + 1
                 yield from block()
-                ids.clear(), flat.clear(), sizes.clear()
+                ids.clear(), sizes.clear()
+                held = 0
         if begin < len(batch):
             ids.append(batch.column(0).slice(begin))
     if sizes:
