@@ -72,6 +72,12 @@ class LexicalIndex:
         return LexicalIndex(self.rows.unionByName(kept.select("block", F.lit(KEPT).alias("kind"), "places"), allowMissingColumns=True), self.terms, self.totals, True)
 
 
+def give_back() -> None:
+    """Memory that is free again goes to the system; a worker is used for many tasks and would hold it. Arrow is to use C's allocator, as NumPy does, so that one can use what the other freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    pa.default_memory_pool().release_unused()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -92,18 +98,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         code()
         unified = pa.chunked_array(coded).unify_dictionaries()
         coded.clear()
+        give_back()
         terms = unified.chunk(0).dictionary
         order = pc.sort_indices(terms).to_numpy()
         rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        keys = rank[np.concatenate([c.indices.to_numpy() for c in unified.chunks])]
-        keys *= n
-        keys += np.repeat(np.arange(n), lengths)
+        rank[order] = np.arange(len(order)) * n
+        keys, at = np.repeat(np.arange(n), lengths), 0
+        for part in unified.chunks:
+            keys[at : at + len(part)] += rank[part.indices.to_numpy()]
+            at += len(part)
+        del unified, part
         keys.sort()
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        tfs, term, places = np.diff(first, append=len(keys)).astype(np.int32), keys[first] // n, (keys[first] % n).astype(np.int32)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        tfs, term = np.diff(first, append=len(keys)).astype(np.int32), keys[first]
+        del keys, first  # what is as long as the block's tokens isn't held while rows are handed on
+        places = (term % n).astype(np.int32)
+        term //= n
         starts = np.searchsorted(term, np.arange(len(order)))
-        df = np.diff(starts, append=len(term)).astype(np.int32)
+        ends = np.append(starts, len(term)).astype(np.int32)
+        del term
+        df = np.diff(ends)
         own = base + number
         number += 1
         chunk_ids = pa.concat_arrays(ids)
@@ -111,7 +125,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         if not len(order):
             return
         highest, least = np.maximum.reduceat(tfs, starts), np.minimum.reduceat(lengths[places], starts)
-        ends = np.append(starts, len(term)).astype(np.int32)
         names = terms.take(pa.array(order))
         for i in range(0, len(order), 8192):
             j = min(i + 8192, len(order))
@@ -124,10 +137,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         arrays = [pa.array(own, pa.int64()), pa.array([kind] * len(own)), pa.array(term, pa.string()), *(pa.array(x, pa.int32()) for x in (df, highest, least)), none(places, numbers), none(tfs, numbers), none(chunk_ids, pa.list_(id_type)), none(lengths, numbers)]
         return pa.RecordBatch.from_arrays(arrays, names=["block", "kind", "term", "df", "most_tf", "least_length", "places", "tfs", "ids", "lengths"])
 
+    give_back()
     id_type, held = pa.string(), 0
     for batch in batches:
-        id_type = batch.column(0).type
-        begin = 0
+        batch_ids, begin = pa.concat_arrays([batch.column(0)]), 0  # copied, since a batch is one buffer: what keeps its ids keeps its texts
+        id_type = batch_ids.type
         for i, text in enumerate(batch.column(1)):
             found = TOKEN.findall((text.as_py() or "").lower())
             flat += found
@@ -136,15 +150,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             if len(flat) >= STRINGS:
                 code()
             if len(sizes) == most or held >= BLOCK_TOKENS:
-                ids.append(batch.column(0).slice(begin, i + 1 - begin))
+                ids.append(batch_ids.slice(begin, i + 1 - begin))
                 begin = i + 1
                 yield from block()
                 ids.clear(), sizes.clear()
                 held = 0
         if begin < len(batch):
-            ids.append(batch.column(0).slice(begin))
+            ids.append(batch_ids.slice(begin))
+        give_back()
     if sizes:
         yield from block()
+        give_back()
 
 
 def spread(chunks: DataFrame, id_col: str) -> DataFrame:
@@ -325,6 +341,7 @@ def _searcher(top_k: int, filtered: bool):
             yield together()
 
     def best(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.combine_chunks()
         query_type, id_type = table.schema.field("asking").type.value_type.field("query_id").type, table.schema.field("ids").type.value_type
         found: dict = {}  # of each question: itself, and its best as (-score, whether there is an id, id)
