@@ -83,14 +83,14 @@ def occurrences(text: Column, terms: list[str]) -> Column:
 def contains_any(text: Column, terms: list[str]) -> Column:
     if len(terms) > MANY:
         return many_terms.contains_any(text, terms)
-    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)) if terms else F.lit(False)
+    return bound(text, lambda once: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(once, t))) if terms else F.lit(False)
 
 
 def terms_in(text: Column, terms: list[str]) -> Column:
     """The terms that occur, in the order of the list."""
     if len(terms) > MANY:
         return many_terms.terms_in(text, terms)
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
+    return bound(text, lambda once: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(once, t)))
 
 
 def chunk_id(content: Column) -> Column:

@@ -99,12 +99,21 @@ def wording(level_: Column, wordings: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in wordings.items() for x in pair)), level_)
 
 
-def source_scores(queries: DataFrame, chunks: DataFrame, has_title: bool = True, has_section: bool = True) -> DataFrame:
-    """``chunks``: a row for each chunk of a question. ``(query_id, source_quality, source_consistency)``. Quality is the mean of what each chunk has (fitting length, formulas, tables, a section); consistency that of one over the
-    numbers of titles and of sections, null counting as one, 0.5 for a column that isn't there, 1 for fewer than two chunks."""
+def _quality() -> Column:
     has = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     of = lambda test, points: F.when(test, points).otherwise(0.0)
-    quality = F.least(F.lit(1.0), of(F.length("content").between(100, 2000), 0.3) + of(has("formula_count"), 0.2) + of(has("table_count"), 0.2) + of(F.coalesce("section_id", F.lit("")) != "", 0.3))
+    return F.least(F.lit(1.0), of(F.length("content").between(100, 2000), 0.3) + of(has("formula_count"), 0.2) + of(has("table_count"), 0.2) + of(F.coalesce("section_id", F.lit("")) != "", 0.3))
+
+
+def judged(chunks: DataFrame) -> DataFrame:
+    """Chunks with their ``chunk_quality`` in place of what it follows from, so that texts needn't be joined to questions."""
+    return chunks.withColumn("chunk_quality", _quality()).drop("content", "formula_count", "table_count")
+
+
+def source_scores(queries: DataFrame, chunks: DataFrame, has_title: bool = True, has_section: bool = True) -> DataFrame:
+    """``chunks``: a row for each chunk of a question, judged or not. ``(query_id, source_quality, source_consistency)``. Quality is the mean of what each chunk has (fitting length, formulas, tables, a section); consistency that of one over the
+    numbers of titles and of sections, null counting as one, 0.5 for a column that isn't there, 1 for fewer than two chunks."""
+    quality = F.col("chunk_quality") if "chunk_quality" in chunks.columns else _quality()
     distinct = lambda c, there: (F.lit(1.0) / F.countDistinct(F.struct(F.col(c)))) if there else F.lit(0.5)
     each = chunks.groupBy("query_id").agg(F.avg(quality).alias("q"), F.count(F.lit(1)).alias("n"), distinct("document_title", has_title).alias("d"), distinct("section_id", has_section).alias("s"))
     out = queries.select("query_id").join(each, "query_id", "left")

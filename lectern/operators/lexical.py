@@ -8,6 +8,9 @@ A search sends the questions' terms to the blocks' rows of these terms, brings a
 question's terms by falling bounds (MaxScore): once the best ``k`` so far can't be reached by the terms that are left, chunks not seen yet are passed over, and the
 lists that are left, those of the most frequent words, are only looked up for the chunks that may still come among the best. A block whose bounds don't reach the
 best of blocks before it is passed over. A task sends on its ``k`` best for each question.
+
+Of ``MANY`` questions and more, their terms would be repeated at every block's rows. They go the other way then: chunks are dealt into lanes, a task for each, and a lane's task takes
+its lists once and then the questions as they come, a batch at a time. There all of a question's lists are added up.
 """
 
 from __future__ import annotations
@@ -41,10 +44,18 @@ TOGETHER = 2 * BLOCK
 SMALL = 16 << 20
 #: Scores count to six places; pruning leaves that much room.
 ROOM = 2e-6
+#: Questions from which on they are brought to lanes of chunks; chunks of a lane at most on the average, and where there are cores enough, at least.
+MANY, LANE, SMALL_LANE = 4096, 32_768, 8192
+#: Tasks for each core that lanes make where there are chunks enough.
+LANES_A_CORE = 2
+#: A list that holds one of so many chunks of a lane is held as a number for every chunk.
+FREQUENT = 8
 #: What ``functions.text.tokens`` finds, in Python.
 TOKEN = re.compile(r"\b[a-z]{3,}\b")
 
 LIST, CHUNKS, DEAD, KEPT = "list", "chunks", "dead", "kept"
+#: In what order a lane's rows come.
+TURNS = [CHUNKS, KEPT, DEAD, LIST, "asked"]
 
 
 @dataclass
@@ -360,11 +371,138 @@ def _searcher(top_k: int, filtered: bool):
     return best
 
 
+class Lane:
+    """The lists of a lane's chunks, for many questions one after the other. ``of``: by ``TURNS`` the batches of its chunks' rows, of places kept and deleted, and of lists by term and block."""
+
+    def __init__(self, of: list[list[pa.RecordBatch]], average: float, filtered: bool):
+        chunks, flat = pa.Table.from_batches(of[0]), lambda x: x.flatten().to_numpy(zero_copy_only=False)
+        blocks, sizes = chunks.column("block").to_numpy(), pc.list_value_length(chunks.column("ids")).to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        base = lambda batch: np.repeat(begins[np.searchsorted(blocks, batch.column("block").to_numpy())], pc.list_value_length(batch.column("places")).to_numpy())
+        lengths, self.ids = (chunks.column(c).combine_chunks().flatten() for c in ("lengths", "ids"))
+        self.n = n = len(lengths)
+        #: Places of the ids in their order, null first.
+        self.rank = np.empty(n, dtype=np.int64)
+        self.rank[pc.sort_indices(self.ids, null_placement="at_start").to_numpy()] = np.arange(n)
+        barred = np.full(n, filtered)
+        for turn in (1, 2):
+            for batch in of[turn]:
+                barred[flat(batch.column("places")) + base(batch)] = turn == 2
+        self.barred = np.flatnonzero(barred)
+        norm, lists = K1 * (1 - B + B * lengths.to_numpy() / average), of[3]
+        empty = pa.array([], pa.string())
+        coded = pa.chunked_array([b.column("term") for b in lists] or [empty]).combine_chunks().dictionary_encode()
+        self.terms = coded.dictionary
+        self.places, self.parts, sizes = [np.zeros(0, dtype=np.intp)], [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+        while lists:
+            batch = lists.pop(0)
+            places, tfs = flat(batch.column("places")) + base(batch).astype(np.intp), flat(batch.column("tfs"))
+            sizes.append(pc.list_value_length(batch.column("places")).to_numpy())
+            self.places.append(places)
+            self.parts.append(tfs * (K1 + 1) / (tfs + norm[places]) * np.repeat(batch.column("idf").to_numpy(), sizes[-1]))
+        self.places, self.parts = np.concatenate(self.places), np.concatenate(self.parts)
+        df = np.bincount(coded.indices.to_numpy(), np.concatenate(sizes), len(self.terms)).astype(np.int64)
+        self.starts = np.append(0, np.cumsum(df)).tolist()
+        #: Of a frequent word a number for every chunk.
+        self.frequent: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(df * FREQUENT > n).tolist():
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.frequent[t] = np.zeros(n)
+            self.frequent[t][self.places[own]] = self.parts[own]
+
+    def best(self, asked: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores, to six places, of the ``k`` best for ``(term, how often)`` of a question; of equals those with the least ids. All scores are added up: passing over some
+        costs more here than it saves."""
+        own = [(slice(self.starts[t], self.starts[t + 1]), times) for t, times in asked if t not in self.frequent]
+        if own:
+            score = np.bincount(np.concatenate([self.places[x] for x, _ in own]), np.concatenate([self.parts[x] if times == 1 else times * self.parts[x] for x, times in own]), self.n)
+        else:
+            score = np.zeros(self.n)
+        for t, times in asked:
+            if t in self.frequent:
+                score += self.frequent[t] if times == 1 else times * self.frequent[t]
+        score[self.barred] = -np.inf
+        # the k-th of the best of groups of chunks is no more than the k-th best
+        groups = self.n // 64
+        some = score[: groups * 64].reshape(64, groups).max(axis=0) if groups >= 8 * k else score
+        least = float(np.partition(some, len(some) - k)[len(some) - k]) if len(some) > k else 0.0
+        open_ = np.flatnonzero(score >= max(least - ROOM, ROOM / 8))
+        found = np.round(score[open_], 6)
+        if len(found) > k:
+            first = np.lexsort((self.rank[open_], -found))[:k]
+            open_, found = open_[first], found[first]
+        return open_[found > 0], found[found > 0]
+
+    def answers(self, rows: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        words = pc.split_pattern(rows.column("words"), " ")
+        codes = pc.index_in(words.flatten(), self.terms)
+        asking = np.repeat(np.arange(len(rows)), pc.list_value_length(words).to_numpy())[codes.is_valid().to_numpy(zero_copy_only=False)]
+        pairs, times = np.unique(asking * len(self.terms) + codes.drop_null().to_numpy(), return_counts=True)
+        asking, terms = np.divmod(pairs, max(1, len(self.terms)))
+        ends = np.cumsum(np.bincount(asking, minlength=len(rows))).tolist()
+        asked, begin, best = list(zip(terms.tolist(), times.tolist())), 0, []
+        for end in ends:
+            best.append(self.best(asked[begin:end], k) if end > begin else (np.zeros(0, dtype=np.int64), np.zeros(0)))
+            begin = end
+        at = np.repeat(np.arange(len(rows)), [len(x[0]) for x in best])
+        places, scores = (np.concatenate(x) for x in zip(*best))
+        return pa.RecordBatch.from_arrays([rows.column("query_id").take(pa.array(at)), self.ids.take(pa.array(places)), pa.array(scores)], names=["query_id", "chunk_id", "score"])
+
+
+def _in_lanes(batches: Iterator[pa.RecordBatch], top_k: int, average: float, filtered: bool) -> Iterator[pa.RecordBatch]:
+    """Rows come by lane and turn, so that a lane's lists are there before its questions."""
+    give_back()
+    lane, of, own = -1, [], None
+    for batch in batches:
+        lanes, turns = batch.column("lane").to_numpy(), batch.column("turn").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(lanes) != 0) | (np.diff(turns) != 0)) + 1).tolist(), len(batch)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if lanes[i] != lane:
+                lane, of, own = lanes[i], [[] for _ in TURNS], None
+            if turns[i] + 1 < len(TURNS):
+                of[turns[i]].append(batch.slice(i, j - i))
+            elif of[0] and average:
+                if own is None:
+                    own = Lane(of, average, filtered)
+                    give_back()
+                yield own.answers(batch.slice(i, j - i), top_k)
+
+
+def _search_many(index: LexicalIndex, queries: DataFrame, top_k: int) -> DataFrame:
+    """``(query_id, chunk_id, score)``: the best of each lane. A question goes to each lane once, as its words; words' weights come with the lists."""
+    spark = queries.sparkSession
+    asked = queries.groupBy("query_id").agg(F.array_join(F.flatten(F.collect_list(tokens(F.col("question")))), " ").alias("words")).where("words <> ''")
+    wanted = asked.select(F.explode(F.split("words", " ")).alias("term")).distinct()
+    some = F.broadcast if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS else lambda df: df
+    total = index.totals.first()
+    lanes = max(1, -(-total.n // LANE), min(LANES_A_CORE * spark.sparkContext.defaultParallelism, -(-total.n // SMALL_LANE)))
+    known = index.terms.select("term", "idf").join(wanted, "term", "left_semi")
+    rows = index.rows.join(some(known), "term", "left").where("idf IS NOT NULL OR term IS NULL")
+    # a block's number is made of its place in a task, the task and the segment; each is spread over the lanes
+    number = lambda shift, bits: F.shiftrightunsigned("block", shift).bitwiseAND((1 << bits) - 1)
+    lane = F.pmod(31 * number(0, 20) + number(20, 12) + number(32, 12) + 5 * number(44, 20), F.lit(lanes)).cast("int").alias("lane")
+    turn = F.array_position(F.array(*map(F.lit, TURNS)), F.col("kind")).cast("int") - 1
+    kind = dict(index.rows.dtypes)
+    # empty lists, not null ones: Spark goes through a batch's last nulls for every row that it adds
+    full = lambda c: F.coalesce(F.col(c), F.array().cast(kind[c])).alias(c)
+    arrays = ["places", "tfs", "ids", "lengths"]
+    lists = rows.select(lane, turn.alias("turn"), "block", "term", "idf", *map(full, arrays))
+    questions = asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(len(TURNS) - 1).alias("turn"), "query_id", "words", *(F.array().cast(kind[c]).alias(c) for c in arrays))
+    dealt = lists.unionByName(questions, allowMissingColumns=True).repartitionById(lanes, "lane").sortWithinPartitions("lane", "turn", "term", "block")
+    types = dict(asked.dtypes)["query_id"], kind["ids"].removeprefix("array<")[:-1]
+    return dealt.mapInArrow(partial(_in_lanes, top_k=top_k, average=total.avg_length, filtered=index.filtered), f"query_id {types[0]}, chunk_id {types[1]}, score double")
+
+
 def search(index: LexicalIndex, queries: DataFrame, top_k: int = 10, query_id: str = "query_id", question: str = "question") -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: scores above zero, to six places, the best ``top_k`` of each question. A
     repeated word of a question counts each time. Before the last sort there are at most ``top_k`` rows for each question and
     ``BLOCK`` chunks: small blocks are searched by one task."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(question))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    queries = queries.select(F.col(query_id).alias("query_id"), F.col(question).alias("question"))
+    if queries.limit(MANY).count() == MANY:
+        return ranked(_search_many(index, queries, top_k), top_k)
+    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = asked.select("term").distinct().limit(MOST_TERMS + 1).toArrow().column("term")
     few = len(wanted) <= MOST_TERMS
     some = (lambda df: F.broadcast(df)) if few else (lambda df: df)

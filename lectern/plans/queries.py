@@ -543,8 +543,9 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant turn scored with the best five documents for the question before it."""
     rows = tables.answers(spark, sf_dir)
     docs = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("document_title"), F.col("lang").alias("section_id"), (F.col("n_chars") % 2).alias("formula_count"), F.lit(0).alias("table_count"))
-    chunks = store.kept(lexical.search(_index(spark, sf_dir), rows.select("query_id", "question"), 5), "found").join(docs, "chunk_id")
-    out = answers.score_answers(rows.select("query_id", "question"), rows.select("query_id", "raw_response"), chunks)
+    asked = store.kept(rows.select("query_id", "question"), "asked")
+    chunks = store.kept(lexical.search(_index(spark, sf_dir), asked, 5), "found").join(answers.judged(docs), "chunk_id")
+    out = answers.score_answers(asked, rows.select("query_id", "raw_response"), chunks)
     return out.select("query_id.conv_id", "query_id.turn", "source_quality", "source_consistency", "response_coherence", "domain_relevance", F.col("confidence.score").alias("score"), F.col("confidence.level").alias("level"))
 
 

@@ -43,6 +43,22 @@ def test_confidence(spark):
     assert (c.factors.response_coherence, c.factors.domain_relevance) == (0.4, 0.8) and c.score == pytest.approx(0.84) and c.level == "High"
 
 
+def test_chunks_are_judged_before_they_are_joined(spark):
+    """A chunk's quality may be found first, so that texts aren't joined to questions."""
+    rows = [(1, "x" * 200, "T", "s1", 1, 0), (1, "short", "T", "", 0, 2), (2, None, None, None, None, None)]
+    chunks = spark.createDataFrame(rows, "query_id long, content string, document_title string, section_id string, formula_count int, table_count int")
+    asked = spark.createDataFrame([(1, "q"), (2, "q"), (3, "q")], "query_id long, question string")
+    judged = answers.judged(chunks)
+    assert "content" not in judged.columns
+    assert sorted(answers.source_scores(asked, judged).collect()) == sorted(answers.source_scores(asked, chunks).collect())
+
+
+def test_a_text_is_made_once_for_many_terms(spark):
+    text = F.when(F.rand(1) < 0.5, "alpha").otherwise("beta")
+    rows = spark.range(400).select(tx.contains_any(text, ["alpha", "beta"]).alias("any"), F.size(tx.terms_in(text, ["alpha", "beta"])).alias("n")).collect()
+    assert all(r.any and r.n == 1 for r in rows)
+
+
 def test_retrieval_confidence(spark):
     asked = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
     found = spark.createDataFrame([(1, 0.5), (1, 0.7), (2, 4.0), (2, 2.0)], "query_id long, score double")
